@@ -250,7 +250,7 @@ similar_pairs AS (
   SELECT a.vec_id AS source_doc, b.vec_id AS target_doc,
          round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight
   FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
-similar AS (
+similar_edges AS (
   SELECT source_doc, target_doc, weight FROM (
     SELECT *, row_number() OVER (PARTITION BY source_doc ORDER BY weight DESC, target_doc) AS r
     FROM similar_pairs WHERE weight >= 0.3) WHERE r <= 5)"""

@@ -1 +1,267 @@
+"""Queries on the request log, in batch and as streams (M, X)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.functions.text import query_key
+from docweave.operators import requests as rq
+from docweave.operators import validation
+from docweave.plans.documents import _LEN, CHUNKS_SQL, _match_sql
+from docweave.plans.registry import query
+from docweave.session import work_path
+from docweave.sources.tables import table
+from docweave.streaming import ingest as live_ingest
+from docweave.streaming import live, repeats
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events")
+
+
+def _start(seconds: int) -> str:
+    return f"(floor(epoch_us(ts) / {seconds * 1_000_000}.0)::BIGINT * {seconds})"
+
+
+# ---- windows -------------------------------------------------------------------------------
+
+
+@query(
+    "request_rate_5m",
+    f"""SELECT {_start(300)} AS window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate
+        FROM events GROUP BY 1, 2""",
+)
+def request_rate_5m(spark, d):
+    return rq.request_rate(events(spark, d), "event_type")
+
+
+_P95_SQL = f"""
+p95 AS (SELECT {_start(3600)} AS window_start, event_type, count(*) AS requests, round(avg(value), 6) AS mean_latency,
+               round(quantile_cont(value, 0.95), 6) AS latency_quantile FROM events GROUP BY 1, 2)"""
+
+
+@query(
+    "latency_p95_5m",
+    f"""SELECT {_start(300)} AS window_start, count(*) AS requests, round(avg(value), 6) AS mean_latency,
+               round(quantile_cont(value, 0.95), 6) AS latency_quantile FROM events GROUP BY 1""",
+)
+def latency_p95_5m(spark, d):
+    return rq.latency_quantile(events(spark, d), "value")
+
+
+def latency_p95_1h(spark: SparkSession, d: str) -> DataFrame:
+    return rq.latency_quantile(events(spark, d), "value", "event_type", seconds=3600)
+
+
+@query("latency_p95_by_type", f"WITH {_P95_SQL} SELECT * FROM p95")
+def latency_p95_by_type(spark, d):
+    return latency_p95_1h(spark, d)
+
+
+_BUCKETS = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+
+
+def _histogram_sql() -> str:
+    les = ", ".join(f"count(*) FILTER (value <= {b}) AS le{i}" for i, b in enumerate(_BUCKETS))
+    whens = []
+    for i, b in enumerate(_BUCKETS):
+        low, below = (_BUCKETS[i - 1], f"le{i - 1}") if i else (0.0, "0")
+        whens.append(f"WHEN le{i} >= target THEN {low} + ({b} - {low}) * (target - {below}) / (le{i} - {below})")
+    return f"""WITH counted AS (SELECT {_start(3600)} AS window_start, event_type, count(*) * 0.95::DOUBLE AS target, {les}
+                              FROM events GROUP BY 1, 2)
+      SELECT window_start, event_type, round((CASE {' '.join(whens)} ELSE {_BUCKETS[-1]} END)::DOUBLE, 6) AS latency_quantile
+      FROM counted"""
+
+
+@query("latency_histogram", _histogram_sql())
+def latency_histogram(spark, d):
+    return rq.histogram_quantile(events(spark, d), "value", "event_type", buckets=_BUCKETS, seconds=3600)
+
+
+@query(
+    "success_ratio_5m",
+    f"""SELECT {_start(300)} AS window_start, count(*) FILTER (event_type <> 'error') AS matching, count(*) AS requests,
+               round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS ratio FROM events GROUP BY 1""",
+)
+def success_ratio_5m(spark, d):
+    return rq.ratio(events(spark, d), F.col("event_type") != "error")
+
+
+@query(
+    "token_cost",
+    """SELECT role, input_tokens, output_tokens,
+              round(input_tokens * 0.00003::DOUBLE + output_tokens * 0.00006::DOUBLE, 6) AS cost FROM (
+         SELECT role, sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) // 4 END)::BIGINT AS input_tokens,
+                sum(CASE WHEN role = 'assistant' THEN length(text) // 4 ELSE 0 END)::BIGINT AS output_tokens
+         FROM conversations GROUP BY role)""",
+)
+def token_cost(spark, d):
+    tokens = F.floor(F.length("text") / 4)
+    answer = F.col("role") == "assistant"
+    return rq.token_cost(
+        table(spark, d, "conversations"),
+        F.when(answer, F.lit(0)).otherwise(tokens),
+        F.when(answer, tokens).otherwise(F.lit(0)),
+        "role",
+    )
+
+
+_ALERTS_SQL = f"""
+errors AS (SELECT {_start(3600)} AS window_start,
+                  round(count(*) FILTER (event_type = 'error') / count(*), 6) AS v FROM events GROUP BY 1),
+slow AS (SELECT {_start(3600)} AS window_start, round(quantile_cont(value, 0.95), 6) AS v FROM events GROUP BY 1),
+breaches AS (SELECT 'HighErrorRate' AS alert, * FROM errors WHERE v > 0.05
+             UNION ALL SELECT 'SlowResponseTime', * FROM slow WHERE v > 100),
+spans AS (SELECT *, window_start - 3600 * row_number() OVER (PARTITION BY alert ORDER BY window_start) AS island FROM breaches)"""
+
+
+@query(
+    "alerts",
+    f"""WITH {_ALERTS_SQL}
+        SELECT alert, min(window_start) AS started, max(window_start) + 3600 AS ended, count(*) AS windows, max(v) AS peak
+        FROM spans GROUP BY alert, island HAVING max(window_start) + 3600 - min(window_start) >= 10800""",
+)
+def alerts(spark, d):
+    ev = events(spark, d)
+    errors = rq.ratio(ev, F.col("event_type") == "error", seconds=3600)
+    slow = rq.latency_quantile(ev, "value", seconds=3600)
+    metric = errors.select(F.lit("HighErrorRate").alias("alert"), "window_start", F.col("ratio").alias("v")).union(
+        slow.select(F.lit("SlowResponseTime"), "window_start", "latency_quantile")
+    )
+    breach = F.when(F.col("alert") == "HighErrorRate", F.col("v") > 0.05).otherwise(F.col("v") > 100)
+    return rq.alerts(metric, "v", breach, 10_800, "alert", seconds=3600)
+
+
+@query(
+    "over_limit",
+    f"""SELECT {_start(3600)} AS window_start, caller, count(*) AS requests, count(*) - 2 AS excess
+        FROM (SELECT ts, CASE WHEN event_type = 'view' THEN 'ip:10.0.0.' || user_id::VARCHAR
+                              ELSE 'key:' || event_type END AS caller FROM events)
+        GROUP BY 1, 2 HAVING count(*) > 2""",
+)
+def over_limit(spark, d):
+    """Views come without an API key and are counted by forwarded address."""
+    keyed = F.col("event_type") != "view"
+    caller = rq.caller_key(
+        F.when(keyed, F.concat("event_type", F.lit(" "))).otherwise(F.lit(" ")),
+        F.concat(F.lit(" 10.0.0."), F.col("user_id").cast("string"), F.lit(", 172.16.0.1")),
+        F.lit(None).cast("string"),
+        F.lit(None).cast("string"),
+        F.lit("127.0.0.1"),
+    )
+    return rq.over_limit(events(spark, d).withColumn("caller", caller), "caller", 2, seconds=3600)
+
+
+@query(
+    "peak_concurrency",
+    """WITH ends AS (SELECT epoch_us(ts) AS moment, 1 AS d FROM events
+                     UNION ALL SELECT epoch_us(ts) + round(value * 100)::BIGINT * 10000, -1 FROM events),
+       instants AS (SELECT moment, sum(d) AS net, count(*) FILTER (d > 0) AS started FROM ends GROUP BY moment),
+       running AS (SELECT *, sum(net) OVER (ORDER BY moment) AS open FROM instants)
+       SELECT floor(moment / 3600000000.0)::BIGINT * 3600 AS bucket_start, sum(started)::BIGINT AS total_requests,
+              max(open)::BIGINT AS peak_concurrent FROM running GROUP BY 1""",
+)
+def peak_concurrency(spark, d):
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = events(spark, d).select(
+        start.alias("start_us"), (start + F.round(F.col("value") * 100).cast("long") * 10_000).alias("end_us")
+    )
+    return rq.peak_concurrency(spans, "start_us", "end_us")
+
+
+# ---- streams over the same table -----------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all present files into a table of the shared folder, and read it."""
+    out = work_path(spark, name)
+    done = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+# a window is out once the watermark, kept in milliseconds, has passed its end
+def _closed(seconds: int, lateness: int) -> str:
+    return f"""{_start(seconds)} + {seconds} <=
+               (SELECT epoch_ms(max(ts)) / 1000.0 - {lateness} FROM events)"""
+
+
+@query(
+    "stream_metrics",
+    f"""SELECT {_start(300)} AS window_start, event_type, count(*) AS requests, round(count(*) / 300.0::DOUBLE, 6) AS rate,
+               round(avg(value), 6) AS mean_latency, round(count(*) FILTER (value < 50) / count(*), 6) AS ratio
+        FROM events WHERE {_closed(300, 600)} GROUP BY 1, 2""",
+)
+def stream_metrics(spark, d):
+    metrics = live.live_metrics(_stream(spark, d, "events"), "value", F.col("value") < 50, "event_type")
+    return _drain(spark, metrics, "live-metrics")
+
+
+@query(
+    "stream_over_limit",
+    f"""SELECT {_start(3600)} AS window_start, user_id, count(*) AS requests FROM events
+        WHERE {_closed(3600, 120)} GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def stream_over_limit(spark, d):
+    breaches = live.live_over_limit(_stream(spark, d, "events"), "user_id", 1, seconds=3600)
+    return _drain(spark, breaches, "live-limit")
+
+
+@query("stream_first_asked")
+def stream_first_asked(spark, d):
+    """Distinct keys of requests; which of the repeats passes depends on arrival."""
+    key = query_key(
+        F.col("event_type"), F.lit("default"), F.lit(5), F.lit(True), F.lit(True), F.create_map(F.lit("props"), F.col("props"))
+    )
+    keyed = _stream(spark, d, "events").withColumn("cache_key", key).select("ts", "cache_key")
+    return _drain(spark, repeats.first_asked(keyed, "cache_key"), "first-asked").select("cache_key")
+
+
+def _ingest(spark: SparkSession, d: str) -> str:
+    out = work_path(spark, "ingest")
+    docs = _stream(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "source", F.col("text").alias("content")
+    )
+    metadata = F.create_map(
+        F.lit("source"), F.col("source"), F.lit("file_type"), F.lit("txt"), F.lit("filename"), F.col("doc_id")
+    )
+    live_ingest.start_ingest(docs, metadata, out, f"{out}/checkpoint").awaitTermination()
+    return out
+
+
+_VALID_SQL = f"{_LEN} >= 50 AND NOT (" + " OR ".join(
+    _match_sql("text", p) for p in validation.DOCUMENT_RULES.values()
+) + ")"
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {CHUNKS_SQL}, valid AS (SELECT doc_id, {_VALID_SQL} AS ok FROM documents)
+        SELECT source || '_' || substr(sha256(chunks[i]), 1, 16) AS chunk_id, length(any_value(chunks[i])) AS chars
+        FROM (SELECT source, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM chunked JOIN valid USING (doc_id) WHERE ok)
+        GROUP BY 1""",
+)
+def stream_ingest(spark, d):
+    chunks = live_ingest.read_chunks(spark, _ingest(spark, d))
+    return chunks.select("chunk_id", F.length("content").cast("long").alias("chars"))
+
+
+@query(
+    "stream_rejects",
+    f"SELECT source, count(*) AS rejected FROM documents WHERE NOT ({_VALID_SQL}) GROUP BY source",
+)
+def stream_rejects(spark, d):
+    return live_ingest.read_rejected(spark, _ingest(spark, d)).groupBy("source").agg(F.count(F.lit(1)).alias("rejected"))
