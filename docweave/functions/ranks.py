@@ -16,22 +16,43 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def salted(df: DataFrame, by: list[str], salts: int, name: str = "_salt") -> DataFrame:
-    """Tag each row with a salt from the hash of ``by`` (stable when a task is retried)."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+# A key is hot when it holds more than 1/HOT_SHARE of all rows and more rows than
+# one task should get. At most HOT_SHARE keys can hold such a share, so a table
+# of hot keys is always small enough to send to every task.
+HOT_SHARE = 1000
+HOT_ROWS = 100_000
+HOT_SALTS = 64
 
 
-def all_salts(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
-    """Repeat each row once per salt; the small side of a salted join."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def hot_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Hot keys of a table with one row and one row count per key; at most HOT_SHARE of them."""
+    total = counts.agg(F.sum(count)).scalar()
+    return counts.where((F.col(count) > HOT_ROWS) & (F.col(count) * HOT_SHARE > total)).select(*keys)
 
 
-def salted_join(
-    rows: DataFrame, per_key: DataFrame, on: list[str], spread_by: list[str], salts: int = 16, how: str = "inner"
+def tag_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_hot``: true for hot keys, else null."""
+    return df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+
+
+def salt_rows(df: DataFrame, hot: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+    """Give rows of hot keys a salt from the hash of ``spread_by``; all others salt 0."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(HOT_SALTS)).cast("int")).otherwise(0)
+    return tag_hot(df, hot, keys).withColumn("_salt", salt).drop("_hot")
+
+
+def repeat_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeat rows of hot keys once per salt; all others stay one row."""
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return tag_hot(df, hot, keys).withColumn("_salt", F.explode(salts)).drop("_hot")
+
+
+def skew_join(
+    rows: DataFrame, per_key: DataFrame, on: list[str], spread_by: list[str], hot: DataFrame, how: str = "inner"
 ) -> DataFrame:
-    """Join many rows to one row per key; a hot key is spread over ``salts`` tasks."""
-    left = salted(rows, spread_by, salts)
-    return left.join(all_salts(per_key, salts), [*on, "_salt"], how).drop("_salt")
+    """Join many rows to few rows per key; only hot keys are spread over salts."""
+    left, right = salt_rows(rows, hot, on, spread_by), repeat_hot(per_key, hot, on)
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def bucketed_row_number(

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.ranks import all_salts, salted, top_per_group
+from docweave.functions.ranks import hot_keys, repeat_hot, salt_rows, skew_join, top_per_group
 from docweave.operators.vectors import exact_topk
 from docweave.session import cut_lineage
 
 RELATIONSHIP_TYPES = ["citation", "reference", "similarity", "hierarchy", "related"]
-HUB_SALTS = 8
 
 
 def checked_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,12 +67,23 @@ def related(
     return top_per_group(best, ["doc_id"], order, max_results)
 
 
-def _links(edges: DataFrame, directed: bool) -> DataFrame:
-    """Distinct (src, dst) pairs, both ways when undirected, salted by target."""
+def _links(edges: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct (src, dst) pairs, both ways when undirected, and the hubs among ``src``.
+
+    Links of a hub carry salts, so that per-node state meets them in many tasks.
+    Both tables are stored once, as every round reads them.
+    """
     out = edges.select(F.col("source_doc").alias("src"), F.col("target_doc").alias("dst"))
     if not directed:
         out = out.union(out.select("dst", "src"))
-    return salted(out.where("src != dst").distinct(), ["dst"], HUB_SALTS)
+    pairs = cut_lineage(out.where("src != dst").distinct())
+    hubs = cut_lineage(hot_keys(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")), ["src"], "n"))
+    return cut_lineage(salt_rows(pairs, hubs, ["src"], ["dst"])), hubs
+
+
+def _along(state: DataFrame, links: DataFrame, hubs: DataFrame) -> DataFrame:
+    """State of ``src`` nodes next to each of their links."""
+    return repeat_hot(state, hubs, ["src"]).join(links, ["src", "_salt"]).drop("_salt")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, directed: bool = False) -> DataFrame:
@@ -83,7 +93,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, direc
     equally short paths, and a pair stops when its target is reached. Pairs
     without a path within ``max_hops`` have null results.
     """
-    links = cut_lineage(_links(edges, directed))
+    links, hubs = _links(edges, directed)
     frontier = pairs.select(
         "pair_id", F.col("source_doc").alias("node"), F.col("target_doc").alias("goal"), F.array("source_doc").alias("path")
     )
@@ -93,12 +103,11 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, direc
     for _ in range(max_hops):
         open_pairs = frontier.join(done.select("pair_id"), "pair_id", "left_anti")
         reached = (
-            all_salts(open_pairs.withColumnRenamed("node", "src"), HUB_SALTS)
-            .join(links, ["src", "_salt"])
+            _along(open_pairs.withColumnRenamed("node", "src"), links, hubs)
             .select("pair_id", F.col("dst").alias("node"), "goal", F.array_append("path", F.col("dst")).alias("path"))
-            .join(visited, ["pair_id", "node"], "left_anti")
             .groupBy("pair_id", "node", "goal")
             .agg(F.min("path").alias("path"))
+            .join(visited, ["pair_id", "node"], "left_anti")
         )
         frontier = cut_lineage(reached)
         if frontier.isEmpty():
@@ -116,12 +125,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     that label, so the number of rounds grows with the logarithm of long chains
     in the usual case. Ends when nothing changes.
     """
-    links = cut_lineage(_links(edges, directed=False))
+    links, hubs = _links(edges, directed=False)
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
     for _ in range(max_rounds):
         offered = (
-            all_salts(labels.withColumnRenamed("node", "src"), HUB_SALTS)
-            .join(links, ["src", "_salt"])
+            _along(labels.withColumnRenamed("node", "src"), links, hubs)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("label").alias("offer"))
         )
@@ -129,29 +137,23 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
             "node", F.col("label").alias("before"), F.least("label", F.coalesce("offer", "label")).alias("label")
         )
         lower = cut_lineage(lower)
-        # jump: the label of the label; one label may own most nodes, so salt by node
+        if lower.where("label != before").isEmpty():
+            return lower.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+        # jump: the label of the label; one label may own most nodes
+        crowded = hot_keys(lower.groupBy("label").agg(F.count(F.lit(1)).alias("n")), ["label"], "n")
         hop = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = (
-            salted(lower, ["node"], HUB_SALTS)
-            .join(all_salts(hop, HUB_SALTS), ["label", "_salt"], "left")
-            .select("node", "before", F.coalesce("jump", "label").alias("label"))
-        )
-        jumped = cut_lineage(jumped)
-        changed = not jumped.where("label != before").isEmpty()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+        jumped = skew_join(lower, hop, ["label"], ["node"], crowded, "left")
+        labels = cut_lineage(jumped.select("node", F.coalesce("jump", "label").alias("label")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, min_size: int = 3) -> DataFrame:
     """Components with at least ``min_size`` documents and their sizes."""
     labels = components(nodes, edges)
-    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
-    return (
-        salted(labels, ["doc_id"], HUB_SALTS)
-        .join(all_salts(sizes, HUB_SALTS), ["cluster", "_salt"])
-        .select("doc_id", "cluster", "size")
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where(F.col("size") >= min_size)
+    return skew_join(labels, large, ["cluster"], ["doc_id"], hot_keys(sizes, ["cluster"], "size")).select(
+        "doc_id", "cluster", "size"
     )
 
 
@@ -179,13 +181,15 @@ def pagerank(
 
     Rank of nodes without outgoing edges spreads evenly over all nodes.
     """
-    strength = F.sum("weight") if weighted else F.count(F.lit(1)).cast("double")
+    strength = F.sum("weight") if weighted else F.lit(1.0)
     pairs = edges.groupBy(F.col("source_doc").alias("src"), F.col("target_doc").alias("dst")).agg(strength.alias("w"))
-    if not weighted:
-        pairs = pairs.withColumn("w", F.lit(1.0))
-    totals = pairs.groupBy("src").agg(F.sum("w").alias("out"))
-    spread = salted(pairs, ["dst"], HUB_SALTS).join(all_salts(totals, HUB_SALTS), ["src", "_salt"])
-    links = cut_lineage(spread.select("src", "dst", "_salt", (F.col("w") / F.col("out")).alias("share")))
+    pairs = cut_lineage(pairs)
+    totals = pairs.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n"))
+    hubs = cut_lineage(hot_keys(totals, ["src"], "n"))
+    shared = salt_rows(pairs, hubs, ["src"], ["dst"]).join(
+        repeat_hot(totals.drop("n"), hubs, ["src"]), ["src", "_salt"]
+    )
+    links = cut_lineage(shared.select("src", "dst", "_salt", (F.col("w") / F.col("out")).alias("share")))
     base = cut_lineage(
         nodes.select(F.col("doc_id").alias("node"))
         .distinct()
@@ -196,8 +200,7 @@ def pagerank(
     ranks = base.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     for step in range(1, iterations + 1):
         received = (
-            all_salts(ranks.select(F.col("node").alias("src"), "rank"), HUB_SALTS)
-            .join(links, ["src", "_salt"])
+            _along(ranks.select(F.col("node").alias("src"), "rank"), links, hubs)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )

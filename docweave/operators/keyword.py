@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.ranks import salted_join, top_per_group
+from docweave.functions.ranks import hot_keys, skew_join, top_per_group
 from docweave.functions.text import tokens
+from docweave.session import cut_lineage
 
 # --- fixed values: Okapi parameters ------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # -----------------------------------------------------------------------------------
+QUERY_TERMS_BYTES = 32 * 1024 * 1024
 
 
 @dataclass
@@ -39,25 +41,36 @@ def _document_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
 
 
-def corpus_table(tokenized: DataFrame) -> DataFrame:
-    return tokenized.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg(F.size("tokens").cast("double")), F.lit(0.0)).alias("avg_len")
-    )
+def _statistics(tokenized: DataFrame) -> DataFrame:
+    """Documents and tokens per term, from one pass over the corpus.
 
+    The row of the null term counts all documents and all their tokens. Rows
+    combine before the shuffle, so frequent terms cost one row per task. The
+    result is as small as the vocabulary; it is stored because idf, its floor
+    and the corpus figures all read it.
+    """
+    every_term = F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))
+    rows = tokenized.select(F.explode(every_term).alias("term"), F.size("tokens").alias("length"))
+    return cut_lineage(
+        rows.groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("total_len")
+        )
+    )
 
-def term_table(tokenized: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Document frequency and idf per term.
 
-    Counts are combined before the shuffle, so frequent terms cost one row per
-    task. A negative idf becomes a quarter of the mean idf of the vocabulary.
-    """
-    df = tokenized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
+def corpus_table(statistics: DataFrame) -> DataFrame:
+    """One row with the number of documents and their mean length."""
+    return statistics.where("term IS NULL").select(
+        F.col("df").alias("n_docs"), (F.col("total_len") / F.col("df")).alias("avg_len")
     )
-    n = corpus.select("n_docs").scalar()
+
+
+def term_table(statistics: DataFrame) -> DataFrame:
+    """Document frequency and idf per term; a negative idf becomes a quarter of the mean idf."""
+    n = (corpus_table(statistics).first() or {"n_docs": 0})["n_docs"]
     raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighted = df.withColumn("idf_raw", raw)
-    floor = weighted.select(F.avg("idf_raw") * EPSILON).scalar()
+    weighted = statistics.where("term IS NOT NULL").select("term", "df", raw.alias("idf_raw"))
+    floor = EPSILON * (weighted.agg(F.avg("idf_raw")).first()[0] or 0.0)
     idf = F.when(F.col("idf_raw") < 0, floor).otherwise(F.col("idf_raw"))
     return weighted.select("term", "df", idf.alias("idf"))
 
@@ -73,8 +86,8 @@ def posting_table(tokenized: DataFrame, vocabulary: DataFrame | None = None) ->
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TermIndex:
     """Plans of the term tables (R8); ``write`` them when they serve many searches."""
     tokenized = _document_tokens(docs, doc_id, text)
-    corpus = corpus_table(tokenized)
-    return TermIndex(posting_table(tokenized), term_table(tokenized, corpus), corpus)
+    statistics = _statistics(tokenized)
+    return TermIndex(posting_table(tokenized), term_table(statistics), corpus_table(statistics))
 
 
 def _query_terms(queries: DataFrame, text: str) -> DataFrame:
@@ -86,7 +99,7 @@ def _query_terms(queries: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _score(hits: DataFrame, avg_len: Column, k: int, decimals: int) -> DataFrame:
+def _score(hits: DataFrame, avg_len: float, k: int, decimals: int) -> DataFrame:
     tf, dl = F.col("tf"), F.col("doc_len")
     part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avg_len))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), decimals).alias("score"))
@@ -99,13 +112,20 @@ def _score(hits: DataFrame, avg_len: Column, k: int, decimals: int) -> DataFrame
 def search_index(index: TermIndex, queries: DataFrame, k: int, text: str = "text", decimals: int = 6) -> DataFrame:
     """Best ``k`` documents with a positive score per query (R9); ties by document id.
 
-    A frequent term holds a large share of the postings, so the join on the term
-    is salted by document unless AQE finds the query side small enough to send
-    to every task.
+    Query terms of checked size go to every task: postings then stay where they
+    are, and counts of a document meet without moving when the postings are
+    partitioned by document. More query terms than that are joined by shuffle,
+    where frequent terms, known from their document frequencies, are spread.
     """
     weighted = _query_terms(queries, text).join(index.terms, "term")
-    hits = salted_join(index.postings, weighted, ["term"], ["doc_id"])
-    return _score(hits, index.corpus.select("avg_len").scalar(), k, decimals)
+    size = weighted.agg(F.sum(F.octet_length("term") + 40).alias("bytes")).first()
+    if (size["bytes"] or 0) <= QUERY_TERMS_BYTES:
+        hits = index.postings.join(F.broadcast(weighted), "term")
+    else:
+        hot = hot_keys(index.terms, ["term"], "df")
+        hits = skew_join(index.postings, weighted, ["term"], ["doc_id"], hot)
+    figures = index.corpus.first()
+    return _score(hits, figures["avg_len"] if figures else 1.0, k, decimals)
 
 
 def search_documents(
@@ -117,9 +137,7 @@ def search_documents(
     the whole vocabulary, which the idf floor needs.
     """
     tokenized = _document_tokens(docs, doc_id, text)
-    corpus = corpus_table(tokenized)
-    asked = _query_terms(queries, text)
-    index = TermIndex(
-        posting_table(tokenized, asked.select("term").distinct()), term_table(tokenized, corpus), corpus
-    )
+    statistics = _statistics(tokenized)
+    asked = _query_terms(queries, text).select("term").distinct()
+    index = TermIndex(posting_table(tokenized, asked), term_table(statistics), corpus_table(statistics))
     return search_index(index, queries, k, text, decimals)

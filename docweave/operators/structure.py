@@ -24,6 +24,10 @@ LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 SEPARATOR_LINE = rf"^[{SPACE}\-\+|]+$"
 PRELUDE_TITLE = "Introduction"
 # ------------------------------------------------------------------------------
+# every chart pattern needs one of these words; looking for them first is cheap
+CHART_WORDS = ["figure", "chart", "graph", "plot"]
+# a text without such a line holds no table and is not taken apart
+ANY_SEPARATOR = rf"(?m)^[{SPACE}\-\+|]*[\-\+|][{SPACE}\-\+|]*$"
 
 
 def lines_of(text: Column) -> Column:
@@ -105,7 +109,8 @@ def tables_of(text: Column) -> Column:
             ),
         )
 
-    return let(F.transform(lines_of(text), strip), tables)
+    none = F.array().cast("array<struct<line:int,headers:array<string>,rows:array<array<string>>>>")
+    return F.when(text.rlike(ANY_SEPARATOR), let(F.transform(lines_of(text), strip), tables)).otherwise(none)
 
 
 def _padded(row: Column, headers: Column) -> Column:
@@ -176,13 +181,15 @@ def charts_of(text: Column) -> Column:
 
     def one(line: Column, i: Column) -> Column:
         low = F.lower(line)
-        hit = F.lit(False)
+        worded, hit = F.lit(False), F.lit(False)
+        for word in CHART_WORDS:
+            worded = worded | F.contains(low, F.lit(word))
         for pattern in CHART_PATTERNS:
             hit = hit | low.rlike(pattern)
         kind = F.lit(None).cast("string")
         for name in reversed(CHART_TYPES):
             kind = F.when(F.contains(low, F.lit(name)), name).otherwise(kind)
-        return F.when(hit, F.struct(i.alias("line"), strip(line).alias("description"), kind.alias("chart_type")))
+        return F.when(worded & hit, F.struct(i.alias("line"), strip(line).alias("description"), kind.alias("chart_type")))
 
     return F.filter(F.transform(lines_of(text), one), lambda c: c.isNotNull())
 

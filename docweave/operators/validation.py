@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -12,15 +13,33 @@ from docweave.functions.text import SPACE, W, WS, strip
 # --- fixed values: rule patterns that results must reproduce exactly -------------
 # Document rules, one family per error code.
 DOCUMENT_RULES = {
-    "SECURITY_XSS": r"(?is)<script[^>]*>.*?</script>|javascript:|on" + W + r"+" + WS + r"*=|<iframe[^>]*>",
-    "SECURITY_SQL_INJECTION": (
-        r"(?is)(';.*--)|(\bor\b" + WS + r"+\p{Nd}+" + WS + r"*=" + WS + r"*\p{Nd}+)|(\bunion\b.*\bselect\b)"
-        r"|(;.*\bdrop\b)|(;\bdelete\b)|(;\btruncate\b)|(\bexec\b)|(execute" + WS + r"*\()"
-    ),
-    "SECURITY_PATH_TRAVERSAL": r"(?i)\.\./|\.\.\\|%2e%2e",
-    "SECURITY_COMMAND_INJECTION": (
-        r"(?i);" + WS + r"*" + W + r"+" + WS + r"+|\|" + WS + r"*" + W + r"+|`[^\n]*`|\$\([^\n]*\)"
-    ),
+    "SECURITY_XSS": [
+        r"(?is)<script[^>]*>.*?</script>",
+        r"(?i)javascript:",
+        r"(?i)on" + W + r"+" + WS + r"*=",
+        r"(?i)<iframe[^>]*>",
+    ],
+    "SECURITY_SQL_INJECTION": [
+        r"(?is)';.*--",
+        r"(?i)\bor\b" + WS + r"+\p{Nd}+" + WS + r"*=" + WS + r"*\p{Nd}+",
+        r"(?is)\bunion\b.*\bselect\b",
+        r"(?is);.*\bdrop\b",
+        r"(?i);\bdelete\b",
+        r"(?i);\btruncate\b",
+        r"(?i)\bexec\b",
+        r"(?i)execute" + WS + r"*\(",
+    ],
+    "SECURITY_PATH_TRAVERSAL": [
+        r"\.\./",
+        r"\.\.\\",
+        r"(?i)%2e%2e",
+    ],
+    "SECURITY_COMMAND_INJECTION": [
+        r";" + WS + r"*" + W + r"+" + WS + r"+",
+        r"\|" + WS + r"*" + W + r"+",
+        r"`[^\n]*`",
+        r"\$\([^\n]*\)",
+    ],
 }
 PII_RULES = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -83,6 +102,29 @@ REQUEST_RULES = {
 # ------------------------------------------------------------------------------------
 
 
+def _linear(pattern: str) -> str:
+    """The same test in one pass for patterns of the shape ``head.*tail``.
+
+    Such a pattern holds when a tail follows the first head. Searching it as it
+    stands tries every head against the whole rest of the text, which is far
+    too slow for long texts with many heads.
+    """
+    flags, body = re.fullmatch(r"(\(\?\w+\))?(.*)", pattern, re.S).groups()
+    if flags is None or "s" not in flags or body.count(".*") != 1:
+        return pattern
+    head, tail = body.split(".*")
+    tail = tail.removeprefix("?")
+    return rf"{flags}\A(?>.*?{head}).*?{tail}"
+
+
+def any_rule(value: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns occurs; null counts as no."""
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | value.rlike(_linear(p))
+    return F.coalesce(hit, F.lit(False))
+
+
 @dataclass(frozen=True)
 class ValidationOptions:
     """Limits and switches of the document checks."""
@@ -137,7 +179,7 @@ def content_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
 
 def security_flags(content: Column) -> dict[str, Column]:
     """One boolean per rule family on the raw content (V3)."""
-    return {code: F.coalesce(content.rlike(p), F.lit(False)) for code, p in DOCUMENT_RULES.items()}
+    return {code: any_rule(content, patterns) for code, patterns in DOCUMENT_RULES.items()}
 
 
 def security_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
@@ -153,7 +195,10 @@ def security_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column
 
 
 def pii_count(content: Column, kind: str) -> Column:
-    return F.coalesce(F.regexp_count(content, F.lit(PII_RULES[kind])), F.lit(0))
+    found = F.regexp_count(content, F.lit(PII_RULES[kind]))
+    if kind == "email":  # most texts hold no address and need no pattern search
+        found = F.when(F.contains(content, F.lit("@")), found)
+    return F.coalesce(found, F.lit(0))
 
 
 def pii_warnings(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
@@ -283,23 +328,26 @@ def summary(validated: DataFrame, *by: str) -> DataFrame:
 
 def request_flags(value: Column) -> dict[str, Column]:
     """One boolean per family of request rules; null is harmless."""
-    out = {}
-    for family, patterns in REQUEST_RULES.items():
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | value.rlike(p)
-        out[family] = F.coalesce(hit, F.lit(False))
-    return out
+    return {family: any_rule(value, patterns) for family, patterns in REQUEST_RULES.items()}
 
 
 def first_request_rule(value: Column) -> Column:
-    """Name of the first family that matches, else null."""
+    """Name of the first family that matches, else null; later families are then not tried."""
     rule = F.lit(None).cast("string")
     for family, flag in reversed(request_flags(value).items()):
         rule = F.when(flag, family).otherwise(rule)
     return rule
 
 
+def with_request_rules(rows: DataFrame, value: str) -> DataFrame:
+    """Add a ``<family>_hit`` flag per family and the ``first_rule`` among them."""
+    flagged = rows.select("*", *[f.alias(f"{name}_hit") for name, f in request_flags(F.col(value)).items()])
+    rule = F.lit(None).cast("string")
+    for family in reversed(REQUEST_RULES):
+        rule = F.when(F.col(f"{family}_hit"), family).otherwise(rule)
+    return flagged.withColumn("first_rule", rule)
+
+
 def scan_json(rows: DataFrame, key: str, json: str, max_depth: int = 4) -> DataFrame:
     """Rule hits in keys and string values of JSON, with their path.
 

@@ -11,22 +11,27 @@ bounded query and vector blocks.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.ranks import salted_join, top_per_group
+from docweave.functions.ranks import hot_keys, skew_join, top_per_group
 from docweave.functions.text import tokens
 from docweave.functions.vector import dot, unit
 from docweave.operators.validation import metadata_filter
 
+# tasks receive the kernels below inside the job, so no worker has to install this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERY_ROWS_BOUND = 4096
 QUERY_BYTES_BOUND = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 65_536
@@ -317,7 +322,7 @@ def approximate_topk(
 
     A query meets the vectors that share one of its ``tables`` bucket ids; the
     scored pairs are deduplicated and ranked exactly. A bucket may be large, so
-    the join is salted and pairs are scored before the rank's group limit.
+    its join is salted and pairs are scored before the rank's group limit.
     """
     dim = queries.select(F.max(F.size("embedding"))).first()[0]
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
@@ -330,7 +335,8 @@ def approximate_topk(
 
     q = queries.select("query_id", unit(F.col("embedding")).alias("_q"), F.explode(buckets("embedding")).alias("_b"))
     v = vectors.select("id", unit(F.col("embedding")).alias("_e"), F.explode(buckets("embedding")).alias("_b"))
-    pairs = salted_join(v, q, ["_b"], ["id"])
+    hot = hot_keys(v.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")), ["_b"], "_n")
+    pairs = skew_join(v, q, ["_b"], ["id"], hot)
     scored = pairs.select("query_id", "id", F.round(dot(F.col("_q"), F.col("_e")), decimals).alias("score"))
     return top_per_group(scored.distinct(), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
 

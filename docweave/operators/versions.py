@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.ranks import salted_join
+from docweave.functions.ranks import hot_keys, skew_join
 
 KEY = "document_id"
 
@@ -95,7 +95,7 @@ def history(versions: DataFrame, include_content: bool = False) -> DataFrame:
     )
     rows = with_hashes(versions)
     rows = rows if include_content else rows.drop("content")
-    return salted_join(rows, totals, [KEY], ["version_number"])
+    return skew_join(rows, totals, [KEY], ["version_number"], hot_keys(totals, [KEY], "total_versions"))
 
 
 def get_version(versions: DataFrame, wanted: DataFrame) -> DataFrame:

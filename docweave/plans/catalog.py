@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import chunking, graph, ingest, tenants, vectors, versions
 from docweave.plans import inputs as inp
-from docweave.plans.documents import CHUNKS_SQL
+from docweave.plans.documents import CHUNKS_SQL, docs
 from docweave.plans.registry import query
 from docweave.sources.tables import table
 
@@ -41,16 +41,16 @@ def index_size(spark, d):
                (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM documents) AS collections FROM chunked""",
 )
 def corpus_stats(spark, d):
-    docs = table(spark, d, "documents").withColumn("collection", F.col("lang"))
-    return ingest.corpus_stats(docs, F.size(chunking.split_text(F.col("text"))))
+    rows = docs(spark, d).withColumn("collection", F.col("lang"))
+    return ingest.corpus_stats(rows, F.size(chunking.split_text(F.col("text"))))
 
 
 # a batch with rows that fail: texts in an unlisted language have no content
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(
+    rows = docs(spark, d).select(
         F.col("doc_id").alias("id"), F.when(F.col("lang") != "es", F.col("text")).alias("content")
     )
-    return ingest.ingest_errors(docs)
+    return ingest.ingest_errors(rows)
 
 
 @query(

@@ -10,7 +10,7 @@ from docweave.operators import chunking, ingest, structure, validation
 from docweave.operators.context import stream_context
 from docweave.plans import inputs as inp
 from docweave.plans.registry import lit, query
-from docweave.sources.tables import table
+from docweave.sources.tables import spread, table
 
 WS = tx.WS
 
@@ -20,7 +20,7 @@ def digest(c: Column) -> Column:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 # ---- identity and batches ---------------------------------------------------------------
@@ -140,7 +140,7 @@ def texts_and_pages(spark: SparkSession, d: str) -> DataFrame:
     return (
         docs(spark, d)
         .select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-        .union(table(spark, d, "pages").select(F.lit("page"), "page_id", "html"))
+        .union(spread(table(spark, d, "pages"), "page_id").select(F.lit("page"), "page_id", "html"))
     )
 
 
@@ -455,25 +455,29 @@ def md_sections(spark, d):
 
 # ---- validation ----------------------------------------------------------------------------------
 
-_LEN = f"length({inp.strip_sql('text')})"
+LENGTH_SQL = f"length({inp.strip_sql('text')})"
 
 
 @query(
     "validate_content",
-    f"""SELECT doc_id, CASE WHEN text IS NULL OR {_LEN} = 0 THEN 'EMPTY_CONTENT' WHEN {_LEN} < 50 THEN 'CONTENT_TOO_SHORT'
-               WHEN {_LEN} > 10485760 THEN 'CONTENT_TOO_LONG' ELSE '' END AS codes FROM documents""",
+    f"""SELECT doc_id, CASE WHEN text IS NULL OR {LENGTH_SQL} = 0 THEN 'EMPTY_CONTENT' WHEN {LENGTH_SQL} < 50 THEN 'CONTENT_TOO_SHORT'
+               WHEN {LENGTH_SQL} > 10485760 THEN 'CONTENT_TOO_LONG' ELSE '' END AS codes FROM documents""",
 )
 def validate_content(spark, d):
     errors = validation.content_errors(F.col("text"))
     return docs(spark, d).select("doc_id", F.array_join(F.transform(errors, lambda e: e["code"]), ",").alias("codes"))
 
 
-def _match_sql(expr: str, pattern: str) -> str:
+def match_sql(expr: str, pattern: str) -> str:
     return f"regexp_matches({expr}, {lit(pattern)})"
 
 
+def any_sql(expr: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(match_sql(expr, p) for p in patterns) + ")"
+
+
 _DOC_FLAGS_SQL = ", ".join(
-    f"{_match_sql('text', p)} AS {code.lower()}" for code, p in validation.DOCUMENT_RULES.items()
+    f"{any_sql('text', p)} AS {code.lower()}" for code, p in validation.DOCUMENT_RULES.items()
 )
 _BOTH_SQL = """(SELECT 'document' AS kind, doc_id AS id, text FROM documents
                 UNION ALL SELECT 'page', page_id, html FROM pages)"""
@@ -521,16 +525,16 @@ def _described_sql(minimum: int, strict: bool) -> str:
     has = "source <> 'src4'"
     kind = f"CASE WHEN {has} AND source <> 'src1' THEN CASE lang WHEN 'en' THEN 'txt' WHEN 'de' THEN 'md' WHEN 'fr' THEN 'pdf' ELSE 'docx' END END"
     errors = [
-        f"CASE WHEN {_LEN} = 0 THEN 'EMPTY_CONTENT' WHEN {_LEN} < {minimum} THEN 'CONTENT_TOO_SHORT' END",
-        *[f"CASE WHEN {_match_sql('text', p)} THEN '{code}' END" for code, p in validation.DOCUMENT_RULES.items()],
+        f"CASE WHEN {LENGTH_SQL} = 0 THEN 'EMPTY_CONTENT' WHEN {LENGTH_SQL} < {minimum} THEN 'CONTENT_TOO_SHORT' END",
+        *[f"CASE WHEN {any_sql('text', p)} THEN '{code}' END" for code, p in validation.DOCUMENT_RULES.items()],
     ]
-    pii = {k: _match_sql("text", p) for k, p in validation.PII_RULES.items()}
+    pii = {k: match_sql("text", p) for k, p in validation.PII_RULES.items()}
     if strict:
         codes = {"email": "PII_EMAIL", "phone": "PII_PHONE", "ssn": "PII_SSN", "card": "PII_CREDIT_CARD"}
         errors += [f"CASE WHEN {pii[k]} THEN '{codes[k]}' END" for k in pii]
     errors += [
         "CASE WHEN kind = 'docx' THEN 'UNSUPPORTED_FORMAT' END",
-        f"CASE WHEN kind = 'md' AND {_match_sql('text', validation.DANGEROUS_LINK)} THEN 'MARKDOWN_DANGEROUS_LINK' END",
+        f"CASE WHEN kind = 'md' AND {match_sql('text', validation.DANGEROUS_LINK)} THEN 'MARKDOWN_DANGEROUS_LINK' END",
         "CASE WHEN kind = 'pdf' AND n_chars > 300 AND n_chars % 3 < 1 THEN 'INVALID_METADATA' END",
         f"CASE WHEN source = 'src4' OR source = 'src2' THEN 'MISSING_METADATA' END",
     ]
@@ -605,27 +609,17 @@ def rejected_documents(spark, d):
     return report.select("doc_id", F.explode("errors").alias("e")).select("doc_id", code.alias("code"))
 
 
-def _request_flag_sql(expr: str, family: str) -> str:
-    return "(" + " OR ".join(_match_sql(expr, p) for p in validation.REQUEST_RULES[family]) + ")"
-
-
 def _first_rule_sql(expr: str) -> str:
-    whens = " ".join(f"WHEN {_request_flag_sql(expr, f)} THEN '{f}'" for f in validation.REQUEST_RULES)
+    whens = " ".join(f"WHEN {any_sql(expr, p)} THEN '{f}'" for f, p in validation.REQUEST_RULES.items())
     return f"CASE {whens} END"
 
 
-_REQUEST_SQL = ", ".join(f"{_request_flag_sql('text', f)} AS {f}_hit" for f in validation.REQUEST_RULES)
+_REQUEST_SQL = ", ".join(f"{any_sql('text', p)} AS {f}_hit" for f, p in validation.REQUEST_RULES.items())
 
 
 @query("request_rules", f"SELECT kind, id, {_REQUEST_SQL}, {_first_rule_sql('text')} AS first_rule FROM {_BOTH_SQL}")
 def request_rules(spark, d):
-    flags = validation.request_flags(F.col("text"))
-    return texts_and_pages(spark, d).select(
-        "kind",
-        "id",
-        *[f.alias(f"{name}_hit") for name, f in flags.items()],
-        validation.first_request_rule(F.col("text")).alias("first_rule"),
-    )
+    return validation.with_request_rules(texts_and_pages(spark, d), "text").drop("text")
 
 
 @query(
@@ -641,7 +635,7 @@ def json_rule_scan(spark, d):
     events = table(spark, d, "events").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("props").alias("payload")
     )
-    pages = table(spark, d, "pages").select(
+    pages = spread(table(spark, d, "pages"), "page_id").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
         F.to_json(
             F.struct(
@@ -668,7 +662,7 @@ def vector_quality(spark, d):
 
 @query(
     "request_guards",
-    f"""SELECT conv_id, turn, CASE WHEN {_LEN} = 0 THEN 'Query cannot be empty'
+    f"""SELECT conv_id, turn, CASE WHEN {LENGTH_SQL} = 0 THEN 'Query cannot be empty'
           WHEN length(text) > 1000 THEN 'Query too long (max 1000 characters)'
           WHEN NOT turn * 4 BETWEEN 1 AND 20 THEN 'top_k must be between 1 and 20'
           WHEN NOT length(text) * 10 BETWEEN 100 AND 4096 THEN 'max_tokens must be between 100 and 4096' END AS reason

@@ -9,7 +9,7 @@ from docweave.functions.ranks import bucketed_row_number
 from docweave.functions.text import SPACE_CHARS
 from docweave.operators.requests import window_start
 from docweave.plans.registry import lit
-from docweave.sources.tables import table
+from docweave.sources.tables import spread, table
 
 AS_OF = "1999-06-01 00:00:00"
 SPACES_SQL = lit(SPACE_CHARS)
@@ -106,7 +106,7 @@ def rrf_sql(name: str, semantic: str, keyword: str, k: int) -> str:
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     """One Markdown text per line item; rendered inside the row."""
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
     def s(c: str) -> str:
         return f"cast({c} as string)"

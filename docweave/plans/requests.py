@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import query_key
 from docweave.operators import requests as rq
 from docweave.operators import validation
-from docweave.plans.documents import _LEN, CHUNKS_SQL, _match_sql
+from docweave.plans.documents import CHUNKS_SQL, LENGTH_SQL, any_sql
 from docweave.plans.registry import query
 from docweave.session import work_path
 from docweave.sources.tables import table
@@ -242,8 +242,8 @@ def _ingest(spark: SparkSession, d: str) -> str:
     return out
 
 
-_VALID_SQL = f"{_LEN} >= 50 AND NOT (" + " OR ".join(
-    _match_sql("text", p) for p in validation.DOCUMENT_RULES.values()
+_VALID_SQL = f"{LENGTH_SQL} >= 50 AND NOT (" + " OR ".join(
+    any_sql("text", p) for p in validation.DOCUMENT_RULES.values()
 ) + ")"
 
 

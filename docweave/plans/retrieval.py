@@ -9,7 +9,7 @@ from docweave.functions.text import NO_RESULT_TEXT, WS
 from docweave.functions.vector import norm, unit
 from docweave.operators import context, evaluation, keyword, ranking, retrieval, vectors
 from docweave.plans import inputs as inp
-from docweave.plans.documents import digest
+from docweave.plans.documents import digest, docs
 from docweave.plans.registry import lit, query
 from docweave.sources.tables import table
 
@@ -189,7 +189,7 @@ def approximate_recall(spark, d):
 
 @query("hash_embed_stats")
 def hash_embed_stats(spark, d):
-    embedded = vectors.hash_embed(table(spark, d, "documents"), "text")
+    embedded = vectors.hash_embed(docs(spark, d), "text")
     return embedded.agg(
         F.count(F.lit(1)).alias("texts"),
         F.min(F.size("embedding")).alias("min_dim"),
@@ -203,7 +203,7 @@ def hash_embed_stats(spark, d):
 
 
 def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return keyword.search_documents(table(spark, d, "documents"), inp.questions(spark, d), k)
+    return keyword.search_documents(docs(spark, d), inp.questions(spark, d), k)
 
 
 @query(
@@ -212,7 +212,7 @@ def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
         SELECT term, df, round(idf, 6) AS idf, n AS n_docs, round(avg_len, 6) AS avg_len FROM idfs, corpus_figures""",
 )
 def bm25_term_stats(spark, d):
-    index = keyword.build_index(table(spark, d, "documents"))
+    index = keyword.build_index(docs(spark, d))
     return index.terms.select(
         "term",
         "df",
@@ -252,13 +252,13 @@ def semantic_fallback(spark, d):
 
 def _with_texts(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     """Hits with text, source and file name of their documents."""
-    docs = table(spark, d, "documents").select(
+    texts = table(spark, d, "documents").select(
         "doc_id",
         F.col("text").alias("document"),
         "source",
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("filename"),
     )
-    return retrieval.lookup(found, docs)
+    return retrieval.lookup(found, texts)
 
 
 @query(
@@ -511,6 +511,5 @@ def retrieval_eval(spark, d):
 )
 def hash_embed_coverage(spark, d):
     """Texts without any token get the zero vector."""
-    docs = table(spark, d, "documents")
-    embedded = vectors.hash_embed(docs, "text")
+    embedded = vectors.hash_embed(docs(spark, d), "text")
     return embedded.select("doc_id", (norm(F.col("embedding")) > 0).alias("has_vector"))

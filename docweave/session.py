@@ -18,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "doc
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

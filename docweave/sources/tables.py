@@ -10,3 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores when a scan has fewer tasks than the session has cores.
+
+    A small file is one task, however costly the work per row. Large inputs have
+    more tasks than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

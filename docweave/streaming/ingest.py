@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docweave.operators.chunking import chunk_documents
 from docweave.operators.validation import DEFAULT, ValidationOptions, split_valid, validate
 from docweave.operators.vectors import hash_embed
+from docweave.sources.tables import spread
 
 
 def prepare(
@@ -25,7 +27,13 @@ def prepare(
 
     ``docs`` has doc_id, source and content; batch and stream share this plan.
     """
-    valid, rejected = split_valid(validate(docs.withColumn("metadata", metadata), opt=opt))
+    return prepare_validated(validate(docs.withColumn("metadata", metadata), opt=opt), size, overlap, embed)
+
+
+def prepare_validated(
+    validated: DataFrame, size: int, overlap: int, embed: Callable[[DataFrame, str], DataFrame] = hash_embed
+) -> tuple[DataFrame, DataFrame]:
+    valid, rejected = split_valid(validated)
     kept = valid.drop("errors", "warnings", "is_valid", "metadata")
     return embed(chunk_documents(kept, size=size, overlap=overlap), "content"), rejected
 
@@ -47,9 +55,13 @@ def start_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks, rejected = prepare(batch, metadata, opt, size, overlap)
+        rows = spread(batch.withColumn("metadata", metadata), "doc_id")
+        # both sinks read the checked rows of this micro-batch
+        validated = validate(rows, opt=opt).persist(StorageLevel.MEMORY_AND_DISK)
+        chunks, rejected = prepare_validated(validated, size, overlap)
         chunks.write.mode("overwrite").parquet(f"{store}/chunks/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
+        validated.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
