@@ -194,10 +194,10 @@ def _search_batches(
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _collected_block(queries: DataFrame):
+def _collected_block(queries: DataFrame, dim: int):
     """Queries of checked size as (ids, collections, unit matrix)."""
     pdf = queries.select("query_id", "collection", "embedding").toPandas()
-    mat = np.array(pdf["embedding"].tolist(), dtype=np.float64)
+    mat = np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
     length = np.linalg.norm(mat, axis=1, keepdims=True)
     unit_rows = np.divide(mat, length, out=np.zeros_like(mat), where=length > 0)
     return pdf["query_id"].to_numpy(), pdf["collection"].to_numpy(), unit_rows
@@ -286,7 +286,7 @@ def exact_topk(
     q_arrow, id_arrow = arrow[q_type], arrow[id_type]
 
     if n <= query_bound and n * dim * 8 <= QUERY_BYTES_BOUND:
-        shared = queries.sparkSession.sparkContext.broadcast(_collected_block(q))
+        shared = queries.sparkSession.sparkContext.broadcast(_collected_block(q, dim))
         schema = pa.schema([("query_id", q_arrow), ("id", id_arrow), ("score", pa.float64()), ("_keep", pa.bool_())])
 
         def search(batches):

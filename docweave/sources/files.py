@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import content_id, strip
 
 DEFAULT_EXTENSIONS = (".txt", ".md")
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 # --- fixed values: file types by extension ------------------------------------------
 FILE_TYPES = {".txt": "txt", ".md": "markdown"}
 # --------------------------------------------------------------------------------------
@@ -85,6 +86,7 @@ def stream_directory(
     """New text files of a folder as a stream of documents."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("pathGlobFilter", _glob([e.lower() for e in extensions]))
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
