@@ -12,6 +12,7 @@ from docweave.functions.binding import let
 from docweave.functions.text import content_id, strip
 
 DEFAULT_SEPARATORS = ("\n\n", "\n", ". ", " ")
+BLOCK_CHUNKS = 256
 
 
 def check_sizes(size: int, overlap: int, request: bool = False) -> None:
@@ -25,7 +26,11 @@ def check_sizes(size: int, overlap: int, request: bool = False) -> None:
 def _fold(text: Column, sep: str, size: int, overlap: int, reference_compat: bool) -> Column:
     """Pack the parts of ``text`` between ``sep`` into overlapping chunks."""
     parts = F.split(text, re.escape(sep), -1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    start = F.struct(
+        F.array().cast("array<array<string>>").alias("full"),
+        F.array().cast("array<string>").alias("last"),
+        F.lit("").alias("cur"),
+    )
 
     def tail(cur: Column) -> Column:
         if overlap:
@@ -34,19 +39,25 @@ def _fold(text: Column, sep: str, size: int, overlap: int, reference_compat: boo
         return cur if reference_compat else F.lit("")
 
     def step(acc: Column, part: Column) -> Column:
-        out, cur = acc["out"], acc["cur"]
-        full = (F.length(cur) + F.length(part)) > size
-        begun = cur != ""
+        # appending copies an array, so chunks collect in short blocks
+        cur, last = acc["cur"], acc["last"]
+        over = (F.length(cur) + F.length(part)) > size
+        emit, seal = over & (cur != ""), F.size(last) == BLOCK_CHUNKS
         return F.struct(
-            F.when(full & begun, F.array_append(out, strip(cur))).otherwise(out).alias("out"),
-            F.when(~begun, part)
-            .when(full, F.concat(tail(cur), F.lit(sep), part))
+            F.when(emit & seal, F.array_append(acc["full"], last)).otherwise(acc["full"]).alias("full"),
+            F.when(emit & seal, F.array(strip(cur)))
+            .when(emit, F.array_append(last, strip(cur)))
+            .otherwise(last)
+            .alias("last"),
+            F.when(cur == "", part)
+            .when(over, F.concat(tail(cur), F.lit(sep), part))
             .otherwise(F.concat(cur, F.lit(sep), part))
             .alias("cur"),
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.array_append(acc["out"], strip(acc["cur"]))).otherwise(acc["out"])
+        rest = F.when(acc["cur"] != "", F.array(strip(acc["cur"]))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.flatten(acc["full"]), acc["last"], rest)
 
     return F.aggregate(parts, start, step, finish)
 

@@ -26,8 +26,13 @@ class TermIndex:
     corpus: DataFrame
 
     def write(self, path: str) -> TermIndex:
-        """Store the three tables, postings clustered by term; returns the stored index."""
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        """Store the three tables; returns the stored index.
+
+        Postings are sorted by term and document over all files, so a search
+        skips files without its terms and a frequent term fills several files.
+        """
+        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ordered.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return read_index(self.postings.sparkSession, path)

@@ -35,6 +35,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUERY_ROWS_BOUND = 4096
 QUERY_BYTES_BOUND = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 65_536
+# pairs scored at once by one task: bounds its memory whatever the batch sizes
+PAIRS_AT_ONCE = 4_000_000
 
 
 # ---- collections -------------------------------------------------------------------
@@ -177,9 +179,8 @@ def _search_batches(
 ) -> Iterator[pa.RecordBatch]:
     q_ids, q_cols, q_mat = block
     best = _Best(k, decimals)
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    rows = max(1, PAIRS_AT_ONCE // max(1, len(q_ids)))
+    for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
         mat, cols = _matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
         for name in np.unique(cols):

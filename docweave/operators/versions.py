@@ -53,7 +53,7 @@ def update(versions: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests(document_id, content, metadata, expected_version, ...)``; a null
     expected version is not checked.
     """
-    current = latest(versions).select(
+    current = latest(versions.select(KEY, "version_number", "metadata")).select(
         KEY, F.col("version_number").alias("current_version"), F.col("metadata").alias("_old")
     )
     joined = requests.join(current, KEY, "left")

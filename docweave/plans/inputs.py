@@ -144,7 +144,7 @@ items AS (
 def version_log(spark: SparkSession, d: str) -> DataFrame:
     """Events as versions of the document of their user."""
     ev = table(spark, d, "events")
-    log = bucketed_row_number(ev, ["user_id"], window_start("ts", 86_400), ["ts", "event_id"], "version_number")
+    log = bucketed_row_number(ev, ["user_id"], window_start("ts", 3600), ["ts", "event_id"], "version_number")
     return log.select(
         F.col("user_id").alias("document_id"),
         "version_number",

@@ -26,6 +26,12 @@ def brute(text, size, overlap, seps, compat=False):
     return out
 
 
+def test_many_chunks_keep_their_order(spark):
+    text = " ".join(f"w{i}" for i in range(3000))
+    got = spark.createDataFrame([(text,)], "t string").select(chunking.split_text(F.col("t"), 20, 3)).first()[0]
+    assert len(got) > 2 * chunking.BLOCK_CHUNKS and got == brute(text, 20, 3, chunking.DEFAULT_SEPARATORS)
+
+
 def texts():
     rng = random.Random(5)
     pieces = ["ab", "c", "", "long" * 9, "é", "東京", " ", "\n", "\n\n", ". ", "x. y", "\t"]
