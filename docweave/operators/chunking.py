@@ -100,12 +100,17 @@ def explode_chunks(docs: DataFrame, chunks: Column, doc_id: str = "doc_id", sour
     """
     rows = docs.withColumn("_chunks", chunks)
     keep = [c for c in docs.columns if c not in (doc_id, "content", "text")]
-    return rows.select(
-        F.col(doc_id).alias("original_doc_id"),
-        *keep,
-        F.size("_chunks").alias("total_chunks"),
-        F.posexplode("_chunks").alias("chunk_index", "content"),
-    ).withColumn("chunk_id", content_id(F.col(source), F.col("content")))
+    # an outer explode: the plain one adds a filter that splits every text a second time
+    return (
+        rows.select(
+            F.col(doc_id).alias("original_doc_id"),
+            *keep,
+            F.size("_chunks").alias("total_chunks"),
+            F.posexplode_outer("_chunks").alias("chunk_index", "content"),
+        )
+        .where("chunk_index IS NOT NULL")
+        .withColumn("chunk_id", content_id(F.col(source), F.col("content")))
+    )
 
 
 def chunk_documents(

@@ -55,7 +55,7 @@ def _statistics(tokenized: DataFrame) -> DataFrame:
     and the corpus figures all read it.
     """
     every_term = F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))
-    rows = tokenized.select(F.explode(every_term).alias("term"), F.size("tokens").alias("length"))
+    rows = tokenized.select(F.explode_outer(every_term).alias("term"), F.size("tokens").alias("length"))
     return cut_lineage(
         rows.groupBy("term").agg(
             F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("total_len")
@@ -82,9 +82,11 @@ def term_table(statistics: DataFrame) -> DataFrame:
 
 def posting_table(tokenized: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Term counts per document, optionally only for the terms of ``vocabulary``."""
-    rows = tokenized.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    # an outer explode: the plain one adds a filter that splits every text a second time
+    rows = tokenized.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
+    rows = rows.where("term IS NOT NULL")
     if vocabulary is not None:
-        rows = rows.join(vocabulary, "term", "left_semi")
+        rows = rows.join(F.broadcast(vocabulary) if _sendable(vocabulary) else vocabulary, "term", "left_semi")
     return rows.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -95,6 +97,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return TermIndex(posting_table(tokenized), term_table(statistics), corpus_table(statistics))
 
 
+def _sendable(terms: DataFrame) -> bool:
+    """Whether a table of terms is small enough to go to every task; counts its bytes."""
+    size = terms.agg(F.sum(F.octet_length("term") + 40).alias("bytes")).first()
+    return (size["bytes"] or 0) <= QUERY_TERMS_BYTES
+
+
 def _query_terms(queries: DataFrame, text: str) -> DataFrame:
     """Distinct terms per query with their repetitions, which all count."""
     return (
@@ -123,8 +131,7 @@ def search_index(index: TermIndex, queries: DataFrame, k: int, text: str = "text
     where frequent terms, known from their document frequencies, are spread.
     """
     weighted = _query_terms(queries, text).join(index.terms, "term")
-    size = weighted.agg(F.sum(F.octet_length("term") + 40).alias("bytes")).first()
-    if (size["bytes"] or 0) <= QUERY_TERMS_BYTES:
+    if _sendable(weighted):
         hits = index.postings.join(F.broadcast(weighted), "term")
     else:
         hot = hot_keys(index.terms, ["term"], "df")

@@ -325,4 +325,6 @@ def sections_of(text: Column) -> Column:
 
 def unnest(docs: DataFrame, items: Column, *keep: str) -> DataFrame:
     """One row per array element, its fields as columns, behind the kept columns."""
-    return docs.select(*keep, F.inline(items))
+    # an outer explode: the plain one adds a filter that parses every text a second time
+    rows = docs.select(*keep, F.posexplode_outer(items).alias("_pos", "_item")).where("_pos IS NOT NULL")
+    return rows.select(*keep, "_item.*")
