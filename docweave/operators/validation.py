@@ -423,8 +423,8 @@ def vector_quality(texts: DataFrame, vectors: DataFrame, on: str, embedding: str
 
 
 def metadata_filter(filters: dict[str, object]) -> Column:
-    """Every ``key = value`` must hold; null never equals."""
+    """Every ``key = value`` must hold (V16); plain equalities, so that scans can use them."""
     cond = F.lit(True)
     for name, value in filters.items():
-        cond = cond & F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+        cond = cond & (F.col(name) == F.lit(value))
     return cond

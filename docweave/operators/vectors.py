@@ -273,7 +273,7 @@ def exact_topk(
     cond = metadata_filter(filters or {})
     v = with_collection(vectors)
     v = v.where(cond) if filter_mode == "pre" else v
-    keep = cond if filter_mode == "post" else F.lit(True)
+    keep = F.coalesce(cond, F.lit(False)) if filter_mode == "post" else F.lit(True)
     v = v.select("id", "collection", "embedding", keep.alias("_keep")).where(F.size("embedding") == dim)
 
     q_type, id_type = q.schema["query_id"].dataType, v.schema["id"].dataType
