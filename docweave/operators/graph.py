@@ -147,9 +147,33 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, min_size: int = 3) -> DataFrame:
-    """Components with at least ``min_size`` documents and their sizes."""
-    labels = components(nodes, edges)
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """Communities: each round a node takes its neighbours' most frequent label.
+
+    All nodes change at once; of equally frequent labels the smallest wins, so
+    a fixed number of rounds has one result. Labels of a hub's neighbours are
+    counted before the shuffle.
+    """
+    links, hubs = _links(edges, directed=False)
+    labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
+    for step in range(1, rounds + 1):
+        votes = (
+            _along(labels.withColumnRenamed("node", "src"), links, hubs)
+            .groupBy(F.col("dst").alias("node"), "label")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        chosen = top_per_group(votes, ["node"], [F.col("n").desc(), F.col("label").asc()], 1)
+        labels = labels.join(chosen.select("node", F.col("label").alias("vote")), "node", "left").select(
+            "node", F.coalesce("vote", "label").alias("label")
+        )
+        if step < rounds:
+            labels = cut_lineage(labels)
+    return labels.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+
+
+def clusters(nodes: DataFrame, edges: DataFrame, min_size: int = 3, method: str = "components") -> DataFrame:
+    """Clusters with at least ``min_size`` documents and their sizes."""
+    labels = {"components": components, "labels": label_propagation}[method](nodes, edges)
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") >= min_size)
     return skew_join(labels, large, ["cluster"], ["doc_id"], hot_keys(sizes, ["cluster"], "size")).select(

@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.ranks import hot_keys, skew_join, top_per_group
+from docweave.functions.ranks import top_per_group
 from docweave.functions.text import tokens
-from docweave.functions.vector import dot, unit
 from docweave.operators.validation import metadata_filter
 
 # tasks receive the kernels below inside the job, so no worker has to install this package
@@ -143,13 +142,16 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, np.n
 class _Best:
     """Best ``k`` per query over the batches of one task."""
 
-    def __init__(self, k: int, decimals: int):
-        self.k, self.decimals = k, decimals
+    def __init__(self, k: int, decimals: int, distinct: bool = False):
+        self.k, self.decimals, self.distinct = k, decimals, distinct
         self.rows: tuple[np.ndarray, ...] | None = None
 
     def _prune(self, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         q, good, _score, ids, _keep = rows
         order = np.lexsort((np.unique(ids, return_inverse=True)[1], -good, q))
+        if self.distinct and len(order):  # a pair met in several buckets sits next to itself
+            a, b = order[1:], order[:-1]
+            order = order[np.r_[True, (q[a] != q[b]) | (ids[a] != ids[b])]]
         q_sorted = q[order]
         starts = np.flatnonzero(np.r_[True, q_sorted[1:] != q_sorted[:-1]]) if len(q_sorted) else np.array([], int)
         position = np.arange(len(q_sorted)) - np.repeat(starts, np.diff(np.r_[starts, len(q_sorted)]))
@@ -174,19 +176,39 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
+def _codes(m: np.ndarray, lsh: tuple[np.ndarray, int, int]) -> np.ndarray:
+    """Bucket number per row and hash table: one bit per random plane."""
+    normals, tables, planes = lsh
+    bits = (m @ normals.T > 0).reshape(len(m), tables, planes)
+    return (bits * (1 << np.arange(planes))).sum(axis=2)
+
+
+def _blocks(q: np.ndarray, v: np.ndarray, lsh) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of queries and vectors to compare: all, or those that share a bucket."""
+    if lsh is None:
+        yield np.arange(len(q)), np.arange(len(v))
+        return
+    q_codes, v_codes = _codes(q, lsh), _codes(v, lsh)
+    for t in range(q_codes.shape[1]):
+        for code in np.intersect1d(q_codes[:, t], v_codes[:, t]):
+            yield np.flatnonzero(q_codes[:, t] == code), np.flatnonzero(v_codes[:, t] == code)
+
+
 def _search_batches(
-    batches: Iterator[pa.RecordBatch], block, k: int, metric: str, decimals: int, schema: pa.Schema
+    batches: Iterator[pa.RecordBatch], block, k: int, metric: str, decimals: int, schema: pa.Schema, lsh=None
 ) -> Iterator[pa.RecordBatch]:
     q_ids, q_cols, q_mat = block
-    best = _Best(k, decimals)
+    best = _Best(k, decimals, distinct=lsh is not None)
     rows = max(1, PAIRS_AT_ONCE // max(1, len(q_ids)))
     for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
         mat, cols = _matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
         for name in np.unique(cols):
-            q_index = np.flatnonzero(q_cols == name)
-            v_index = np.flatnonzero(cols == name)
-            if len(q_index) and len(v_index):
+            q_rows, v_rows = np.flatnonzero(q_cols == name), np.flatnonzero(cols == name)
+            if not len(q_rows):
+                continue
+            for qi, vi in _blocks(q_mat[q_rows], mat[v_rows], lsh):
+                q_index, v_index = q_rows[qi], v_rows[vi]
                 score, good = _scores(q_mat[q_index], mat[v_index], metric)
                 best.add(q_index, good, score, ids[v_index], keep[v_index])
     if best.rows is not None:
@@ -204,7 +226,7 @@ def _collected_block(queries: DataFrame, dim: int):
     return pdf["query_id"].to_numpy(), pdf["collection"].to_numpy(), unit_rows
 
 
-def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int]):
+def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int], lsh):
     """Every query block meets every vector block in its own bounded task."""
     q_rows, v_rows = rows
     q_blocks, v_blocks = math.ceil(n_q / q_rows), max(1, math.ceil(v.count() / v_rows))
@@ -228,7 +250,7 @@ def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, deci
         )
         names = ["id", "collection", "embedding", "_keep"]
         batch = pa.RecordBatch.from_arrays([right[c].chunk(0) for c in names], names=names)
-        found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema))
+        found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema, lsh))
         return pa.Table.from_batches(found, schema) if found else empty
 
     return (
@@ -248,6 +270,7 @@ def exact_topk(
     decimals: int = 6,
     query_bound: int = QUERY_ROWS_BOUND,
     vector_block: int = VECTOR_BLOCK_ROWS,
+    lsh: tuple[np.ndarray, int, int] | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors of the query's collection per query.
 
@@ -257,7 +280,7 @@ def exact_topk(
     digits; ties by id. ``filter_mode='pre'`` filters the scan, ``'post'``
     filters inside the ``k`` hits. An unknown collection finds nothing; rows
     whose dimension differs from the queries' do not belong to the index and
-    are skipped (see ``vector_quality``).
+    are skipped (see ``vector_quality``). ``lsh`` is set by ``approximate_topk``.
     """
     if metric not in ("cosine", "l2") or filter_mode not in ("pre", "post"):
         raise ValueError("metric is 'cosine' or 'l2', filter_mode 'pre' or 'post'")
@@ -291,13 +314,13 @@ def exact_topk(
         schema = pa.schema([("query_id", q_arrow), ("id", id_arrow), ("score", pa.float64()), ("_keep", pa.bool_())])
 
         def search(batches):
-            return _search_batches(batches, shared.value, k, metric, decimals, schema)
+            return _search_batches(batches, shared.value, k, metric, decimals, schema, lsh)
 
         partial = v.mapInArrow(search, T.StructType(fields))
     else:
         out = {"query_id": q_arrow, "id": id_arrow, "fields": fields}
         q_rows = max(1, min(query_bound, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
-        partial = _search_grid(q, v, n, k, metric, decimals, out, (q_rows, vector_block))
+        partial = _search_grid(q, v, n, k, metric, decimals, out, (q_rows, vector_block), lsh)
 
     scored = partial.withColumn("score", F.round("score", decimals))
     order = [F.col("score").desc() if metric == "cosine" else F.col("score").asc(), F.col("id").asc()]
@@ -311,35 +334,17 @@ def exact_topk(
 
 
 def approximate_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    tables: int = 8,
-    planes: int = 6,
-    seed: int = 7,
-    decimals: int = 6,
+    queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, planes: int = 6, seed: int = 7, **options
 ) -> DataFrame:
     """Approximate cosine search by sign hashes of random planes.
 
-    A query meets the vectors that share one of its ``tables`` bucket ids; the
-    scored pairs are deduplicated and ranked exactly. A bucket may be large, so
-    its join is salted and pairs are scored before the rank's group limit.
+    Only vectors that share one of a query's ``tables`` buckets are compared;
+    they are scored exactly. Bucket mates are matched inside the tasks of the
+    exact search, so a bucket of any size never turns into rows of pairs.
     """
-    dim = queries.select(F.max(F.size("embedding"))).first()[0]
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def buckets(v: pd.Series) -> pd.Series:
-        bits = (np.stack(v.to_numpy()).astype(np.float64) @ normals.T > 0).reshape(len(v), tables, planes)
-        codes = (bits * (1 << np.arange(planes))).sum(axis=2) + np.arange(tables) * (1 << planes)
-        return pd.Series(list(codes.astype(np.int64)))
-
-    q = queries.select("query_id", unit(F.col("embedding")).alias("_q"), F.explode(buckets("embedding")).alias("_b"))
-    v = vectors.select("id", unit(F.col("embedding")).alias("_e"), F.explode(buckets("embedding")).alias("_b"))
-    hot = hot_keys(v.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")), ["_b"], "_n")
-    pairs = skew_join(v, q, ["_b"], ["id"], hot)
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("_q"), F.col("_e")), decimals).alias("score"))
-    return top_per_group(scored.distinct(), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
+    return exact_topk(queries, vectors, k, lsh=(normals, tables, planes), **options)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -371,6 +371,28 @@ def graph_clusters(spark, d):
     return graph.clusters(nodes, similar(spark, d))
 
 
+def _communities_sql(rounds: int) -> str:
+    ctes = [
+        inp.SIMILAR_SQL.strip(),
+        "links AS (SELECT source_doc AS s, target_doc AS t FROM similar_edges UNION SELECT target_doc, source_doc FROM similar_edges)",
+        "l0 AS MATERIALIZED (SELECT vec_id AS node, vec_id AS label FROM embeddings)",
+    ]
+    for i in range(1, rounds + 1):
+        ctes.append(
+            f"""l{i} AS MATERIALIZED (
+              SELECT l.node, coalesce(v.label, l.label) AS label FROM l{i - 1} l LEFT JOIN (
+                SELECT t, label FROM links JOIN l{i - 1} ON s = node GROUP BY t, label
+                QUALIFY row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, label) = 1) v ON v.t = l.node)"""
+        )
+    return f"WITH {', '.join(ctes)} SELECT node AS doc_id, label AS cluster FROM l{rounds}"
+
+
+@query("graph_communities", _communities_sql(4))
+def graph_communities(spark, d):
+    nodes = inp.vector_table(spark, d).select(F.col("id").alias("doc_id"))
+    return graph.label_propagation(nodes, similar(spark, d), rounds=4)
+
+
 @query(
     "degree_centrality",
     f"""WITH {inp.TRADE_SQL}, pairs AS (SELECT DISTINCT source_doc, target_doc FROM edges),

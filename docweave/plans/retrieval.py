@@ -183,8 +183,8 @@ def filtered_topk_post(spark, d):
 
 @query("approximate_recall")
 def approximate_recall(spark, d):
-    q, v = inp.questions(spark, d), inp.corpus(spark, d)
-    return vectors.recall(vectors.approximate_topk(q, v, 10), vectors.exact_topk(q, flat(v), 10))
+    q, v = inp.questions(spark, d), flat(inp.corpus(spark, d))
+    return vectors.recall(vectors.approximate_topk(q, v, 10), vectors.exact_topk(q, v, 10))
 
 
 @query("hash_embed_stats")

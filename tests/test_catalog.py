@@ -124,6 +124,14 @@ def test_clusters(spark, net, few_rows_are_hot):
     assert got == {x: ("a", 4) for x in "abcd"} | {"x": ("x", 2), "y": ("x", 2)}
 
 
+def test_label_propagation(spark, net, few_rows_are_hot):
+    got = {r.doc_id: r.cluster for r in graph.label_propagation(*net, rounds=1).collect()}
+    # neighbours of a: b c d; of b: a c; of c: a b d; of d: a c
+    assert got == {"a": "b", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f", "x": "y", "y": "x", "z": "z"}
+    sizes = {r.doc_id: r.size for r in graph.clusters(*net, min_size=2, method="labels").collect()}
+    assert set(sizes) <= set("abcdxy")
+
+
 def test_long_chain_settles(spark):
     n = 60
     nodes = spark.range(n).withColumnRenamed("id", "doc_id")

@@ -52,7 +52,8 @@ def ranked(df, value="id"):
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 @pytest.mark.parametrize("bound", [4096, 4])
-def test_exact_topk_on_both_plans(spark, metric, bound):
+def test_exact_topk_on_both_plans(spark, metric, bound, monkeypatch):
+    monkeypatch.setattr(vectors, "PAIRS_AT_ONCE", 30)  # several slices per batch
     q, v, qdf, vdf = frames(spark)
     got = ranked(vectors.exact_topk(qdf, vdf, 5, metric, query_bound=bound, vector_block=16))
     assert got == brute(q, v, 5, metric)
@@ -88,10 +89,15 @@ def test_empty_and_odd_inputs(spark):
     assert 999 not in {r.id for r in vectors.exact_topk(qdf, odd, 60).collect()}
 
 
-def test_approximate_search_finds_most(spark, few_rows_are_hot):
-    _q, _v, qdf, vdf = frames(spark, n_v=200)
-    r = vectors.recall(vectors.approximate_topk(qdf, vdf, 5, tables=12, planes=3), vectors.exact_topk(qdf, vdf, 5)).first()
-    assert r.recall > 0.8
+@pytest.mark.parametrize("bound", [4096, 4])
+def test_approximate_search_finds_most(spark, bound):
+    q, v, qdf, vdf = frames(spark, n_v=200)
+    found = vectors.approximate_topk(qdf, vdf, 5, tables=12, planes=3, query_bound=bound, vector_block=64)
+    assert vectors.recall(found, vectors.exact_topk(qdf, vdf, 5)).first().recall > 0.8
+    rows = found.collect()
+    assert len({(r.query_id, r.id) for r in rows}) == len(rows)
+    # one plane-free table puts everything into one bucket and is exact
+    assert ranked(vectors.approximate_topk(qdf, vdf, 5, tables=1, planes=0)) == brute(q, v, 5)
 
 
 def test_upsert_modes_and_delete(spark):
