@@ -72,7 +72,15 @@ def corpus_table(statistics: DataFrame) -> DataFrame:
 
 def term_table(statistics: DataFrame) -> DataFrame:
     """Document frequency and idf per term; a negative idf becomes a quarter of the mean idf."""
-    n = (corpus_table(statistics).first() or {"n_docs": 0})["n_docs"]
+    return _weighted_terms(statistics, _figures(corpus_table(statistics))["n_docs"])
+
+
+def _figures(corpus: DataFrame) -> dict[str, float]:
+    row = corpus.first()
+    return row.asDict() if row else {"n_docs": 0, "avg_len": 1.0}
+
+
+def _weighted_terms(statistics: DataFrame, n: int) -> DataFrame:
     raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = statistics.where("term IS NOT NULL").select("term", "df", raw.alias("idf_raw"))
     floor = EPSILON * (weighted.agg(F.avg("idf_raw")).first()[0] or 0.0)
@@ -86,7 +94,7 @@ def posting_table(tokenized: DataFrame, vocabulary: DataFrame | None = None) ->
     rows = tokenized.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term"))
     rows = rows.where("term IS NOT NULL")
     if vocabulary is not None:
-        rows = rows.join(F.broadcast(vocabulary) if _sendable(vocabulary) else vocabulary, "term", "left_semi")
+        rows = rows.join(vocabulary, "term", "left_semi")
     return rows.groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -130,14 +138,18 @@ def search_index(index: TermIndex, queries: DataFrame, k: int, text: str = "text
     partitioned by document. More query terms than that are joined by shuffle,
     where frequent terms, known from their document frequencies, are spread.
     """
-    weighted = _query_terms(queries, text).join(index.terms, "term")
-    if _sendable(weighted):
+    asked = _query_terms(queries, text)
+    return _search(index, asked, _sendable(asked), _figures(index.corpus)["avg_len"], k, decimals)
+
+
+def _search(index: TermIndex, asked: DataFrame, sendable: bool, avg_len: float, k: int, decimals: int) -> DataFrame:
+    weighted = asked.join(index.terms, "term")
+    if sendable:
         hits = index.postings.join(F.broadcast(weighted), "term")
     else:
         hot = hot_keys(index.terms, ["term"], "df")
         hits = skew_join(index.postings, weighted, ["term"], ["doc_id"], hot)
-    figures = index.corpus.first()
-    return _score(hits, figures["avg_len"] if figures else 1.0, k, decimals)
+    return _score(hits, avg_len, k, decimals)
 
 
 def search_documents(
@@ -150,6 +162,9 @@ def search_documents(
     """
     tokenized = _document_tokens(docs, doc_id, text)
     statistics = _statistics(tokenized)
-    asked = _query_terms(queries, text).select("term").distinct()
-    index = TermIndex(posting_table(tokenized, asked), term_table(statistics), corpus_table(statistics))
-    return search_index(index, queries, k, text, decimals)
+    corpus = corpus_table(statistics)
+    figures, asked = _figures(corpus), _query_terms(queries, text)
+    sendable, vocabulary = _sendable(asked), asked.select("term").distinct()
+    postings = posting_table(tokenized, F.broadcast(vocabulary) if sendable else vocabulary)
+    index = TermIndex(postings, _weighted_terms(statistics, figures["n_docs"]), corpus)
+    return _search(index, asked, sendable, figures["avg_len"], k, decimals)
