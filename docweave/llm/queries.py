@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import language_id, line_dedup, packing, positional_index, repetition, simhash
+from docweave.llm import language_id, line_dedup, packing, positional_index, repetition, simhash, warc
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -124,3 +124,23 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+_ARCHIVE = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least < page_id THEN least END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op5_arc_to_warc", _ARCHIVE)
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
