@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import language_id, line_dedup, packing, positional_index, repetition, simhash, warc
+from docweave.llm import language_id, licenses, line_dedup, packing, positional_index, repetition, simhash, warc
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -144,3 +144,45 @@ def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ",\n  ".join(
+        f"({quoted(name)}, [{', '.join(quoted(g) for g in licenses.template_bigrams(text))}])"
+        for name, text in licenses.TEMPLATES
+    )
+    return f"""
+WITH templates(license, grams) AS (VALUES
+  {rows}
+), blocks AS (
+  SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text]))) AS block
+  FROM documents
+), words AS (
+  SELECT doc_id, block, string_split(trim(regexp_replace(translate(block, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM blocks WHERE length(block) < 20000
+), sets AS (
+  SELECT doc_id, block, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM words WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, block, license, 2.0::DOUBLE * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
+  FROM sets s JOIN templates t ON len(s.grams) >= len(t.grams) * (0.8 / 1.2) AND len(s.grams) <= len(t.grams) * (1.2 / 0.8)
+), best AS (
+  SELECT doc_id, block, license, dice FROM scored WHERE dice >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY dice DESC, license) = 1
+), found AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM best GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_blocks, coalesce(licenses, '') AS licenses, coalesce(dice, 0.0) AS best_dice
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op10_license_scan", _license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_blocks"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best_dice"),
+    )
