@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import language_id, licenses, line_dedup, packing, positional_index, repetition, simhash, warc
+from docweave.llm import language_id, licenses, line_dedup, packing, pii, positional_index, repetition, simhash, warc
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -186,3 +186,14 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
         F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best_dice"),
     )
+
+
+@query("op8_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in pii.BASE_KINDS),
+        F.sha2("base", 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
