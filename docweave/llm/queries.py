@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import language_id, licenses, line_dedup, packing, pii, positional_index, repetition, simhash, warc
+from docweave.llm import language_id, licenses, line_dedup, packing, pii, positional_index, repetition, simhash, suffixes, warc
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -197,3 +197,8 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("base", 256).alias("base_sha256"),
         pii.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
