@@ -7,13 +7,26 @@ predecessor kept. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import packing, positional_index, simhash
+from docweave.llm import language_id, line_dedup, packing, positional_index, simhash
 from docweave.llm.blocks import stored
 from docweave.llm.queries import tokenizer_path
 from docweave.sources.tables import table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or too unlike every language that was learned, go."""
+    return language_id.keep_identified(docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go; ``n_chars`` follows the text that is left."""
+    found = line_dedup.dedup_lines(docs)
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, the one with the smallest doc_id."""
     return simhash.keep_first(docs)
@@ -30,6 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_lines),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),

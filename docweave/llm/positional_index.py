@@ -24,6 +24,8 @@ from docweave.session import work_path
 
 WINDOW = 13
 QUERY_BYTES = 8 << 20
+#: Rows up to which a table goes to every task; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 TERM_BYTE = np.zeros(256, bool)
 TERM_BYTE[0x30:0x3A] = True
@@ -31,7 +33,7 @@ TERM_BYTE[0x61:0x7B] = True
 TERM_BYTE[0x80:] = True
 
 _INDEX = (
-    "shard long, doc_ids array<long>, first_word array<int>, terms binary, term_first binary, postings binary"
+    "shard long, doc_ids array<long>, keys array<long>, first_word array<int>, terms binary, term_first binary, postings binary"
 )
 _HITS = "shard long, doc int, starts array<int>, ends array<int>, items array<string>"
 
@@ -56,16 +58,21 @@ def _index_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [
                     pa.array([number], pa.int64()),
                     pa.array([batch.column("doc_id").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([batch.column("key").slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                     pa.array([word_offsets.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([terms.astype("<u8").tobytes()], pa.binary()),
                     pa.array([first.astype("<u4").tobytes()], pa.binary()),
                     pa.array([deltas.astype("<u4").tobytes()], pa.binary()),
                 ],
-                names=["shard", "doc_ids", "first_word", "terms", "term_first", "postings"],
+                names=["shard", "doc_ids", "keys", "first_word", "terms", "term_first", "postings"],
             )
             number += 1
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 class PositionalIndex(NamedTuple):
     """A stored index; ``shards`` has one row per run of documents."""
 
@@ -74,7 +81,9 @@ class PositionalIndex(NamedTuple):
     @staticmethod
     def build(docs: DataFrame, path: str | None = None) -> PositionalIndex:
         """Index every word of ``docs(doc_id, text)``; a null text has no words."""
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        rows = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key")
+        )
         path = path or work_path(docs.sparkSession, "positions")
         rows.mapInArrow(_index_shards, _INDEX).write.option("compression", "zstd").parquet(path)
         return PositionalIndex.read(docs, path)
@@ -84,10 +93,12 @@ class PositionalIndex(NamedTuple):
         return PositionalIndex(like.sparkSession.read.schema(_INDEX).parquet(path))
 
     def documents(self) -> DataFrame:
-        """Directory: shard, doc (place in the shard), doc_id, n_words."""
-        listed = self.shards.select("shard", "first_word", F.posexplode("doc_ids").alias("doc", "doc_id"))
-        n_words = F.col("first_word")[F.col("doc") + 1] - F.col("first_word")[F.col("doc")]
-        return listed.select("shard", "doc", "doc_id", n_words.cast("long").alias("n_words"))
+        """Directory: shard, doc (place in the shard), doc_id, key (hash of doc_id and text), n_words."""
+        listed = self.shards.select("shard", "first_word", "keys", F.posexplode("doc_ids").alias("doc", "doc_id"))
+        n_words = F.get("first_word", F.col("doc") + 1) - F.get("first_word", F.col("doc"))
+        return listed.select(
+            "shard", "doc", "doc_id", F.get("keys", F.col("doc")).alias("key"), n_words.cast("long").alias("n_words")
+        )
 
 
 class _Shard:
@@ -242,7 +253,7 @@ def search(index: PositionalIndex, items: DataFrame, window: int | None = WINDOW
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         query = spark.sparkContext.broadcast(_Phrases.of([tuple(r) for r in mine.collect()], window))
-        hits = index.shards.drop("doc_ids").mapInArrow(lambda it, q=query: _search(it, q, slop), _HITS)
+        hits = index.shards.drop("doc_ids", "keys").mapInArrow(lambda it, q=query: _search(it, q, slop), _HITS)
         out = hits if out is None else out.unionAll(hits)
     return out
 
@@ -261,7 +272,7 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: n_words, n_hit, items (sorted), contaminated.
+    """One row per row of ``docs(doc_id, text)``: doc_id, key, n_words, n_hit, items (sorted), contaminated.
 
     A word is hit inside any occurrence of a window; a document is contaminated when
     at least one word in twenty is hit. Rows with the same or a null doc_id stay
@@ -280,9 +291,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .join(stored(hits, "hits"), ["shard", "doc"], "left")
         .select(
             "doc_id",
+            "key",
             "n_words",
             n_hit.alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
             ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with all their columns."""
+    bad = stored(contamination(docs, items, window).where("contaminated").select("key").distinct(), "contaminated")
+    few = bad.count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
+    return rows.join(F.broadcast(bad) if few else bad, "key", "left_anti").select("row.*")

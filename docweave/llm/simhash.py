@@ -31,6 +31,8 @@ SEED = 42
 BUCKET = 64
 CHUNK = 2048
 LEAF, FAN = 32, 8
+#: Rows up to which a table goes to every task; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -60,15 +62,27 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
             data = buf.tobytes()
             found = [fingerprint(data[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.array(found, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"],
+                [
+                    batch.column("doc_id").slice(lo, hi - lo),
+                    batch.column("key").slice(lo, hi - lo),
+                    pa.array(np.array(found, np.uint64).view(np.int64)),
+                ],
+                names=["doc_id", "key", "fp"],
             )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as a struct) and ``key``, a hash of doc_id and text that tells rows apart."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long) per row of ``docs(doc_id, text)``; null text: zero."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    """``doc_id, key, fp`` (the 64 bits as a long) per row of ``docs(doc_id, text)``; null text: zero."""
+    rows = _keyed(docs).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), "key", F.col("row.text").cast("string").alias("text")
+    )
+    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, key long, fp long")
 
 
 def gray_rank(bits: Column) -> Column:
@@ -259,6 +273,17 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     return dealt.mapInArrow(lambda it: _bucket_links(it, max_bits), "a long, b long")
 
 
+def _labelled(marked: DataFrame, max_bits: int) -> DataFrame:
+    """Stored fingerprints with ``first``: doc_id and key of the first row of the component."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    nodes = stored(marked.groupBy("fp").agg(F.min(place).alias("first")), "nodes")
+    roots = components(fingerprint_links(nodes.select("fp"), max_bits))
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left")
+    rooted = stored(rooted.select("fp", F.col("first").alias("own"), F.coalesce("root", "fp").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("own").alias("first"))
+    return marked.join(rooted.join(first, "root").select("fp", "first"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, component_id`` per row of ``docs(doc_id, text)``.
 
@@ -267,24 +292,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     text has fingerprint zero and is linked like any other. Null doc_ids keep their row
     and are ignored for the minimum. An empty table gives no rows.
     """
-    marked = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = stored(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labelled = _labelled(stored(fingerprints(docs, shingle), "fingerprints"), max_bits)
+    return labelled.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its group; all columns stay.
+    """One row of ``docs`` per component, the one with the smallest doc_id; all columns stay.
 
-    Rows without a doc_id are kept, as nothing names the group's member to prefer.
+    A null doc_id counts as larger than any other. Rows that are equal in doc_id and
+    text are one document, of which one row stays.
     """
-    kept = near_duplicates(docs, shingle, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left").where(
-        "_kept IS NOT NULL OR doc_id IS NULL"
-    ).drop("_kept")
+    marked = stored(fingerprints(docs, shingle), "fingerprints")
+    lost = stored(_labelled(marked, max_bits).where("key <> first.key").select("key").distinct(), "lost")
+    twice = stored(marked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "twice")
+    few = lost.count() <= BROADCAST_ROWS
+    kept = _keyed(docs).join(F.broadcast(lost) if few else lost, "key", "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(twice, "key", "left_anti")
+        kept = once.unionAll(kept.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
