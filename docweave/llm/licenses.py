@@ -89,6 +89,8 @@ TEMPLATES: list[tuple[str, str]] = [
 #: Words too frequent in any English text to guard with.
 _COMMON = set("a all an and any as at by can for in is it of on or the this to under with work you your".split())
 
+#: Keeps sizes that are exactly at a bound.
+_ROUNDING = 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,7 +113,7 @@ def guard_words(limit: float = LIMIT) -> list[str]:
         words = sorted({w for g in grams for w in g}, key=lambda w: (w in _COMMON, -len(w), w))
         chosen: set[str] = set()
         for word in words:
-            if sum(not chosen.isdisjoint(g) for g in grams) > len(grams) * (1 - limit / (2 - limit)):
+            if sum(not chosen.isdisjoint(g) for g in grams) > len(grams) * (1 - limit / (2 - limit)) + _ROUNDING:
                 break
             chosen.add(word)
         guard |= chosen
@@ -142,7 +144,7 @@ def scan_licenses(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     text = F.col("text")
     guard = rf"(?i)(?<![a-z0-9])(?:{'|'.join(guard_words(limit))})(?![a-z0-9])"
-    low, high = limit / (2 - limit), (2 - limit) / limit
+    low, high = limit / (2 - limit) - _ROUNDING, (2 - limit) / limit + _ROUNDING
 
     def best(block: Column) -> Column:
         grams = block["grams"]

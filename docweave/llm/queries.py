@@ -165,7 +165,7 @@ WITH templates(license, grams) AS (VALUES
   SELECT doc_id, block, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM words WHERE len(w) > 1
 ), scored AS (
   SELECT doc_id, block, license, 2.0::DOUBLE * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
-  FROM sets s JOIN templates t ON len(s.grams) >= len(t.grams) * (0.8 / 1.2) AND len(s.grams) <= len(t.grams) * (1.2 / 0.8)
+  FROM sets s JOIN templates t ON 3 * len(s.grams) >= 2 * len(t.grams) AND 2 * len(s.grams) <= 3 * len(t.grams)
 ), best AS (
   SELECT doc_id, block, license, dice FROM scored WHERE dice >= 0.8
   QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY dice DESC, license) = 1

@@ -6,6 +6,10 @@ whose first words occur in one document alone are dropped before anything is sor
 The rest is sorted over the cluster by what follows, neighbours of different
 documents are compared, and each match is extended to the right and to the left.
 A range sort splits a passage with many copies over as many tasks as it needs.
+
+The neighbour with the longest common continuation need not be the one with the longest
+common past. Runs of ``min_words`` words around a suffix that its neighbours leave
+open are therefore looked up exactly, by counting documents per hash of the run.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from docweave.llm.blocks import SPACE, stored, text_blocks, window_hashes, windows_inside, word_bounds, word_hashes
 
@@ -80,7 +83,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: in
             )
 
 
-_SUFFIX = "follows binary, precedes binary, _doc long, doc_id long, pos int"
+_SUFFIX = "follows binary, precedes binary, _doc long, doc_id long, pos int, seed long"
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
@@ -92,9 +95,9 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.R
             for i in range(hi - lo):
                 own = codes[bounds[i] : bounds[i + 1]]
                 padded = np.concatenate([np.zeros(reach, ">u4"), own, np.zeros(reach, ">u4")])
-                at = np.asarray(marks[lo + i].as_py(), np.int64)
-                for cut in range(0, len(at), 4096):
-                    p = at[cut : cut + 4096]
+                mine = marks[lo + i].as_py()
+                for cut in range(0, len(mine), 4096):
+                    p = np.array([m["pos"] for m in mine[cut : cut + 4096]], np.int64)
                     right = padded[(p + reach)[:, None] + np.arange(reach)]
                     left = padded[(p + reach - 1)[:, None] - np.arange(reach)]
                     n = len(p)
@@ -105,8 +108,9 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.R
                             pa.array([batch.column("_doc")[lo + i].as_py()] * n, pa.int64()),
                             pa.array([batch.column("doc_id")[lo + i].as_py()] * n, pa.int64()),
                             pa.array(p.astype(np.int32)),
+                            pa.array([m["value"] for m in mine[cut : cut + 4096]], pa.int64()),
                         ],
-                        names=["follows", "precedes", "_doc", "doc_id", "pos"],
+                        names=["follows", "precedes", "_doc", "doc_id", "pos", "seed"],
                     )
 
 
@@ -131,9 +135,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Sorted:
     """Suffixes in sorted order, with everything needed to compare them."""
 
-    def __init__(self, follows, precedes, doc, doc_id, known, pos) -> None:
-        self.columns = (follows, precedes, doc, doc_id, known, pos)
-        self.follows, self.precedes, self.doc, self.doc_id, self.known, self.pos = self.columns
+    def __init__(self, follows, precedes, doc, doc_id, known, pos, seed) -> None:
+        self.columns = (follows, precedes, doc, doc_id, known, pos, seed)
+        self.follows, self.precedes, self.doc, self.doc_id, self.known, self.pos, self.seed = self.columns
 
     @staticmethod
     def of(batch: pa.RecordBatch, reach: int) -> _Sorted:
@@ -145,6 +149,7 @@ class _Sorted:
             ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
             ids.is_valid().to_numpy(zero_copy_only=False),
             batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64),
+            batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64),
         )
 
     def __len__(self) -> int:
@@ -164,69 +169,92 @@ class _Sorted:
         return begin[number], np.append(begin[1:], len(self))[number]
 
 
-_SPANS = (
-    "part int, edge boolean, _doc long, doc_id long, start int, stop int, other_id long, follows binary, precedes binary, pos int"
+_FOUND = (
+    "kind int, _doc long, doc_id long, start int, stop int, other_id long, "
+    "follows binary, precedes binary, pos int, seed long, open long"
 )
-
-
-def _span_batch(part: int, s: _Sorted, rows: np.ndarray, others: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-    n = len(rows)
-    none = pa.nulls(n, pa.binary())
-    ids = lambda i: pa.array(s.doc_id[i], mask=~s.known[i])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, part, np.int32)),
-            pa.array(np.zeros(n, bool)),
-            pa.array(s.doc[rows]),
-            ids(rows),
-            pa.array((s.pos[rows] - left).astype(np.int32)),
-            pa.array((s.pos[rows] + right).astype(np.int32)),
-            ids(others),
-            none,
-            none,
-            pa.nulls(n, pa.int32()),
-        ],
-        names=[c.split()[0] for c in _SPANS.split(", ")],
-    )
-
-
-def _edge_batch(part: int, s: _Sorted) -> pa.RecordBatch:
-    n = len(s)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, part, np.int32)),
-            pa.array(np.ones(n, bool)),
-            pa.array(s.doc),
-            pa.array(s.doc_id, mask=~s.known),
-            pa.nulls(n, pa.int32()),
-            pa.nulls(n, pa.int32()),
-            pa.nulls(n, pa.int64()),
-            _binary(s.follows),
-            _binary(s.precedes),
-            pa.array(s.pos.astype(np.int32)),
-        ],
-        names=[c.split()[0] for c in _SPANS.split(", ")],
+_SPAN, _EDGE, _OPEN = 0, 1, 2
+
+
+def _found_batch(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    arrays, names = [], []
+    for name, type_ in (c.split() for c in _FOUND.split(", ")):
+        names.append(name)
+        value = pa.array(np.full(n, kind, np.int32)) if name == "kind" else columns.get(name)
+        arrays.append(pa.nulls(n, types[type_]) if value is None else value.cast(types[type_]))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _edge_batch(s: _Sorted) -> pa.RecordBatch:
+    return _found_batch(
+        _EDGE,
+        len(s),
+        _doc=pa.array(s.doc),
+        doc_id=pa.array(s.doc_id, mask=~s.known),
+        follows=_binary(s.follows),
+        precedes=_binary(s.precedes),
+        pos=pa.array(s.pos),
+        seed=pa.array(s.seed),
     )
 
 
-def _matches(part: int, s: _Sorted, rows: np.ndarray, others: np.ndarray, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Spans of ``rows`` from comparing each with its row in ``others``."""
-    for cut in range(0, len(rows), 1 << 14):
-        i, j = rows[cut : cut + (1 << 14)], others[cut : cut + (1 << 14)]
-        right, left = _common(s.follows[i], s.follows[j]), _common(s.precedes[i], s.precedes[j])
-        long_ = np.flatnonzero(left + right >= min_words)
-        if len(long_):
-            yield _span_batch(part, s, i[long_], j[long_], left[long_], right[long_])
+class _Matcher:
+    """Compares rows with neighbours; remembers for each row what stays open.
 
+    An offset ``d`` stands for the run of ``reach`` words that begins ``d`` words before
+    the suffix. It is settled when one neighbour agrees on all of the run, and
+    impossible when no neighbour agrees on its part after the suffix, as none agrees
+    on more than they do.
+    """
 
-def _compare(batches: Iterator[pa.RecordBatch], reach: int, min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    def __init__(self, reach: int, offsets: int) -> None:
+        self.reach, self.offsets = reach, np.arange(offsets)
+
+    def spans(self, s: _Sorted, rows: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for cut in range(0, len(rows), 1 << 14):
+            i, j = rows[cut : cut + (1 << 14)], others[cut : cut + (1 << 14)]
+            right, left = _common(s.follows[i], s.follows[j]), _common(s.precedes[i], s.precedes[j])
+            k = np.flatnonzero(left + right >= self.reach)
+            ids = lambda at: pa.array(s.doc_id[at], mask=~s.known[at])
+            if len(k):
+                yield _found_batch(
+                    _SPAN,
+                    len(k),
+                    _doc=pa.array(s.doc[i[k]]),
+                    doc_id=ids(i[k]),
+                    start=pa.array(s.pos[i[k]] - left[k]),
+                    stop=pa.array(s.pos[i[k]] + right[k]),
+                    other_id=ids(j[k]),
+                )
+
+    def open(self, s: _Sorted, rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows with open offsets as a bit set; ``before`` or ``after`` is -1 where that neighbour is unknown."""
+        for cut in range(0, len(rows), 1 << 13):
+            i = rows[cut : cut + (1 << 13)]
+            most, sure = np.zeros(len(i), np.int64), np.zeros((len(i), len(self.offsets)), bool)
+            for j in (before[cut : cut + (1 << 13)], after[cut : cut + (1 << 13)]):
+                right, left = _common(s.follows[i], s.follows[j]), _common(s.precedes[i], s.precedes[j])
+                right, left = np.where(j < 0, self.reach, right), np.where(j < 0, -1, left)
+                most = np.maximum(most, right)
+                sure |= (left[:, None] >= self.offsets) & (right[:, None] >= self.reach - self.offsets)
+            room = np.where((s.precedes[i] == 0).any(axis=1), (s.precedes[i] == 0).argmax(axis=1), self.reach)
+            ahead = np.where((s.follows[i] == 0).any(axis=1), (s.follows[i] == 0).argmax(axis=1), self.reach)
+            possible = (self.offsets <= room[:, None]) & (np.minimum(most, ahead)[:, None] >= self.reach - self.offsets)
+            bits = ((possible & ~sure).astype(np.int64) << self.offsets).sum(axis=1)
+            k = np.flatnonzero(bits)
+            if len(k):
+                yield _found_batch(_OPEN, len(k), seed=pa.array(s.seed[i[k]]), open=pa.array(bits[k]))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], reach: int, offsets: int, edges: bool) -> Iterator[pa.RecordBatch]:
     """Compare each suffix with the nearest ones of other documents before and after it.
 
     Held back between batches: the last run of rows of one document and the row before
     it. With ``edges`` the first and last run of the partition and the row next to each
     are put out as well, as they may have neighbours in another partition.
     """
-    part = TaskContext.get().partitionId()
+    match = _Matcher(reach, offsets)
     held: _Sorted | None = None
     led = opened = False  # whether ``held`` begins with a predecessor row; whether the first run is out
     for batch in batches:
@@ -237,22 +265,81 @@ def _compare(batches: Iterator[pa.RecordBatch], reach: int, min_words: int, edge
         begin, end = s.runs()
         rows = np.arange(done, len(s))
         rows = rows[begin[rows] > 0]
-        yield from _matches(part, s, rows, begin[rows] - 1, min_words)
+        yield from match.spans(s, rows, begin[rows] - 1)
         rows = np.arange(int(led), len(s))
         rows = rows[end[rows] < len(s)]
-        yield from _matches(part, s, rows, end[rows], min_words)
-        if edges and not opened and end[0] < len(s):
-            yield _edge_batch(part, s.rows(slice(0, int(end[0]) + 1)))
-            opened = True
+        yield from match.spans(s, rows, end[rows])
+        if edges:
+            yield from match.open(s, rows, begin[rows] - 1, end[rows])
+            if not opened and end[0] < len(s):
+                yield _edge_batch(s.rows(slice(0, int(end[0]) + 1)))
+                opened = True
         led = bool(begin[-1] > 0)
         held = s.rows(slice(int(begin[-1]) - int(led), None))
     if held is not None and edges:
-        yield _edge_batch(part, held)
+        begin, _ = held.runs()
+        last = np.arange(int(led), len(held))
+        yield from match.open(held, last, begin[last] - 1, np.full(len(last), -1))
+        yield _edge_batch(held)
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Hash, document and start of every open run of words; ``marks`` hold a position and its offsets."""
+    for batch in batches:
+        marks = batch.column("marks")
+        for lo, hi, words, bounds in _words(batch.column("text")):
+            hashes = window_hashes(words, reach)
+            for i in range(hi - lo):
+                starts = {m["pos"] - d for m in marks[lo + i].as_py() for d in range(m["value"].bit_length()) if m["value"] >> d & 1}
+                size = int(bounds[i + 1] - bounds[i])
+                at = np.array(sorted(a for a in starts if 0 <= a <= size - reach), np.int64)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(hashes[bounds[i] + at].view(np.int64)),
+                            pa.array([batch.column("_doc")[lo + i].as_py()] * len(at), pa.int64()),
+                            pa.array([batch.column("doc_id")[lo + i].as_py()] * len(at), pa.int64()),
+                            pa.array(at.astype(np.int32)),
+                        ],
+                        names=["run", "_doc", "doc_id", "start"],
+                    )
+
+
+def _marked(own: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """Documents with ``marks(_doc, pos, value)`` gathered per document, in place if the marks are few."""
+    marks = marks.groupBy("_doc").agg(F.array_sort(F.collect_set(F.struct("pos", "value"))).alias("marks"))
+    marks = stored(marks, name)
+    size = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("marks")), F.lit(0))).collect()[0]
+    fits = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_ENTRIES
+    return own.join(F.broadcast(marks) if fits else marks, "_doc")
+
+
+def _open_runs(own: DataFrame, seeds: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Spans of open runs that another document has: every document with the seed looks up the same offsets."""
+    wanted = found.where(F.col("kind") == _OPEN).groupBy("seed").agg(F.bit_or("open").alias("value"))
+    wanted = stored(wanted, "open")
+    few = wanted.count() <= BROADCAST_ROWS
+    marks = seeds.join(F.broadcast(wanted) if few else wanted, "seed").select("_doc", "pos", "value")
+    runs = _marked(own, marks, "open-marks").mapInArrow(
+        lambda it: _run_rows(it, min_words), "run long, _doc long, doc_id long, start int"
+    )
+    runs = stored(runs, "runs")
+    shared = runs.groupBy("run").agg(
+        F.min("_doc").alias("a"), F.max("_doc").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    )
+    shared = stored(shared.where("a < b").select("run", "low", "high"), "shared-runs")
+    few = shared.count() <= BROADCAST_ROWS
+    other = F.when(F.col("low").eqNullSafe(F.col("doc_id")), F.col("high")).otherwise(F.col("low"))
+    return runs.join(F.broadcast(shared) if few else shared, "run").select(
+        "_doc", "doc_id", "start", (F.col("start") + min_words).alias("stop"), other.alias("other_id")
+    )
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """Passages of at least ``min_words`` words that also stand in another document.
 
+    Covers exactly the words that lie in a run of ``min_words`` words of another document.
+
     One row per maximal span of ``docs(doc_id, text)``: doc_id, start_word, end_word
     (exclusive), n_words, other_id (the smallest doc_id it was compared with). Words are
     runs between ASCII white space, compared as they are. Spans that touch are joined.
@@ -269,19 +356,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     shared = stored(shared, "shared")
     few = shared.count() <= BROADCAST_ROWS
     marks = seeds.join(F.broadcast(shared) if few else shared, "seed", "left_semi")
-    marks = stored(marks.groupBy("_doc").agg(F.array_sort(F.collect_set("pos")).alias("marks")), "marks")
-    size = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("marks")), F.lit(0))).collect()[0]
-    fits = size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_ENTRIES
-    marked = own.join(F.broadcast(marks) if fits else marks, "_doc")
+    marked = _marked(own, marks.select("_doc", "pos", F.col("seed").alias("value")), "marks")
     order = ["follows", "precedes", "_doc", "pos"]
+    offsets = min_words - seed_words + 1
     suffixes = marked.mapInArrow(lambda it: _suffix_rows(it, min_words), _SUFFIX)
     suffixes = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(suffixes.mapInArrow(lambda it: _compare(it, min_words, min_words, True), _SPANS), "spans")
+    found = stored(suffixes.mapInArrow(lambda it: _compare(it, min_words, offsets, True), _FOUND), "found")
     # the outer runs of each partition, a few rows each: their neighbours may lie in the next one
-    outer = found.where("edge").select("follows", "precedes", "_doc", "doc_id", "pos")
+    outer = found.where(F.col("kind") == _EDGE).select(*order, "doc_id", "seed")
     outer = outer.repartition(1).sortWithinPartitions(*order)
-    across = outer.mapInArrow(lambda it: _compare(it, min_words, min_words, False), _SPANS)
-    spans = found.where("NOT edge").unionAll(across).select("_doc", "doc_id", "start", "stop", "other_id")
+    across = outer.mapInArrow(lambda it: _compare(it, min_words, offsets, False), _FOUND)
+    columns = ["_doc", "doc_id", "start", "stop", "other_id"]
+    spans = found.where(F.col("kind") == _SPAN).select(*columns).unionAll(across.select(*columns))
+    spans = spans.unionAll(_open_runs(own, seeds, found, min_words).select(*columns))
     before = Window.partitionBy("_doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("_doc").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True))
