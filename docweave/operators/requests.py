@@ -197,11 +197,14 @@ def over_limit(log: DataFrame, key: str, limit: int, ts: str = "ts", seconds: in
 
 
 def peak_concurrency(spans: DataFrame, start_us: str, end_us: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Number of spans, and the most that were open at once, per bucket (M8).
-
-    Starts and ends are summed per instant first. A bucket continues from the
-    net sum of all earlier buckets, so only the short list of buckets is ever
-    in one task. An end counts before a start at the same instant.
+    """Number of spans, and the most that were open at once, per bucket and in all (M8).
+
+    Every bucket from the first start to the last end has a row, also without any
+    start or end, as spans may stay open through it; the row without a
+    ``bucket_start`` is the whole run. A span is open from its start up to, not
+    including, its end. Starts and ends are summed per instant first; a bucket is cut
+    into sixty slices, which are ranked on their own and continue from the net sum of
+    all earlier ones. Only the short list of buckets is ever in one task.
     """
     width = bucket_seconds * 1_000_000
     ends = spans.select(F.col(start_us).alias("at"), F.lit(1).alias("d")).unionAll(
@@ -211,13 +214,35 @@ def peak_concurrency(spans: DataFrame, start_us: str, end_us: str, bucket_second
         ends.groupBy("at")
         .agg(F.sum("d").alias("net"), F.count_if(F.col("d") > 0).alias("started"))
         .withColumn("bucket", F.floor(F.col("at") / F.lit(width)))
+        .withColumn("slice", F.floor((F.col("at") - F.col("bucket") * width) * 60 / F.lit(width)))
+    )
+    inside = Window.partitionBy("bucket", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    slices = (
+        instants.withColumn("run", F.sum("net").over(inside))
+        .groupBy("bucket", "slice")
+        .agg(F.sum("net").alias("net"), F.max("run").alias("top"), F.sum("started").alias("started"))
     )
-    per_bucket = instants.groupBy("bucket").agg(F.sum("net").alias("net"))
+    earlier = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        slices.withColumn("top", F.col("top") + F.coalesce(F.sum("net").over(earlier), F.lit(0)))
+        .groupBy("bucket")
+        .agg(F.sum("net").alias("net"), F.max("top").alias("top"), F.sum("started").alias("started"))
+    )
+    every = buckets.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo IS NOT NULL")
+    every = every.select(F.explode(F.sequence("lo", "hi")).alias("bucket"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("bucket", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("open"))
-    inside = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    running = instants.withColumn("run", F.sum("net").over(inside)).join(offsets, "bucket")
-    return running.groupBy("bucket").agg(
-        F.sum("started").cast("long").alias("total_requests"),
-        F.max(F.greatest(F.col("open") + F.col("run"), F.lit(0))).cast("long").alias("peak_concurrent"),
-    ).select((F.col("bucket") * bucket_seconds).cast("long").alias("bucket_start"), "total_requests", "peak_concurrent")
+    peaks = (
+        every.join(buckets, "bucket", "left")
+        .withColumn("open", F.coalesce(F.sum("net").over(before), F.lit(0)))
+        .select(
+            (F.col("bucket") * bucket_seconds).cast("long").alias("bucket_start"),
+            F.coalesce("started", F.lit(0)).alias("started"),
+            F.greatest("open", F.col("open") + F.col("top")).alias("peak"),
+        )
+    )
+    # the grand total of a rollup is the whole run; an empty log has none
+    return (
+        peaks.rollup("bucket_start")
+        .agg(F.sum("started").cast("long").alias("total_requests"), F.max("peak").cast("long").alias("peak_concurrent"))
+        .where("peak_concurrent IS NOT NULL")
+    )

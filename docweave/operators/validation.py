@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -348,54 +351,60 @@ def with_request_rules(rows: DataFrame, value: str) -> DataFrame:
     return flagged.withColumn("first_rule", rule)
 
 
-def scan_json(rows: DataFrame, key: str, json: str, max_depth: int = 4) -> DataFrame:
+def _json_strings(value: object) -> Iterator[tuple[str, str]]:
+    """``(path, text)`` of every key and string value; objects are lists of pairs, so that repeated keys all count."""
+    stack = [("", value)]
+    while stack:
+        path, v = stack.pop()
+        if isinstance(v, str):
+            yield path, v
+        elif isinstance(v, tuple):
+            for key, child in v:
+                inner = f"{path}.{key}" if path else key
+                yield f"{inner}#key", key
+                stack.append((inner, child))
+        elif isinstance(v, list):
+            stack.extend((f"{path}[{i}]", child) for i, child in enumerate(v))
+
+
+def _json_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            at, paths, texts, parsed = [], [], [], []
+            for i, raw in enumerate(part.column(1).to_pylist()):
+                if raw is None:
+                    continue
+                try:
+                    found = list(_json_strings(json.loads(raw, object_pairs_hook=tuple)))
+                except (ValueError, RecursionError):
+                    found = None
+                rows = [("", raw)] if found is None else found
+                at += [i] * len(rows)
+                paths += [p for p, _ in rows]
+                texts += [t.encode("utf-8", "replace").decode() for _, t in rows]
+                parsed += [found is not None] * len(rows)
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(at)), pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array(parsed)],
+                    names=["_key", "path", "_text", "_parsed"],
+                )
+
+
+def scan_json(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Rule hits in keys and string values of JSON, with their path.
 
-    Values nested deeper than ``max_depth`` are reported as ``too_deep``; text
-    that is not JSON is skipped. One scan: each level explodes the one before.
+    Goes to any depth; all values of a repeated key are scanned, and NaN is a number.
+    Text that is not JSON, or nested too deeply to be read, has a row ``unparsed``
+    and is scanned as it stands, with an empty path. A null has no row.
     """
-    spark = rows.sparkSession
-    level = rows.select(key, F.try_parse_json(json).alias("_v"), F.lit("").alias("_path")).where("_v IS NOT NULL")
-    level = level.withColumn("_found", F.array().cast("array<struct<path:string,value:string>>"))
-
-    def text(v: Column) -> Column:
-        return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
-
-    for depth in range(max_depth):
-        children = spark.tvf.variant_explode_outer(F.col("_v").outer()).select(
-            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_child")
-        )
-        nested = level.lateralJoin(children)
-        leaf = F.col("_child").isNull() & F.col("_pos").isNull()
-        path = (
-            F.when(leaf, F.col("_path"))
-            .when(F.col("_key").isNull(), F.concat("_path", F.format_string("[%d]", "_pos")))
-            .when(F.col("_path") == "", F.col("_key"))
-            .otherwise(F.concat("_path", F.lit("."), "_key"))
-        )
-        hit = F.struct(F.concat(path, F.lit("#key")).alias("path"), F.col("_key").alias("value"))
-        level = nested.select(
-            key,
-            F.when(leaf, F.col("_v")).otherwise(F.col("_child")).alias("_v"),
-            path.alias("_path"),
-            F.when(F.col("_key").isNotNull(), F.array_append("_found", hit)).otherwise(F.col("_found")).alias("_found"),
-        )
-    kind = F.schema_of_variant(F.col("_v"))
-    deep = (kind.startswith("OBJECT<") | kind.startswith("ARRAY<")) & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
-    value_hit = F.array(F.struct(F.col("_path").alias("path"), text(F.col("_v")).alias("value")))
-    found = (
-        level.select(key, deep.alias("_deep"), F.explode(F.concat("_found", value_hit)).alias("f"))
-        .select(
-            key,
-            F.col("f.path").alias("path"),
-            F.when(F.col("_deep") & F.col("f.value").isNull(), "too_deep")
-            .otherwise(first_request_rule(F.col("f.value")))
-            .alias("rule"),
-        )
-        .where("rule IS NOT NULL")
+    kind = rows.schema[key].dataType.simpleString()
+    strings = rows.select(key, F.col(text).cast("string")).mapInArrow(
+        _json_rows, f"_key {kind}, path string, _text string, _parsed boolean"
     )
-    # a key above several leaves shows up once per leaf
-    return found.distinct()
+    hits = strings.withColumn("rule", first_request_rule(F.col("_text"))).where("rule IS NOT NULL").select("_key", "path", "rule")
+    unparsed = strings.where("NOT _parsed").select("_key", "path", F.lit("unparsed").alias("rule"))
+    return hits.unionAll(unparsed).distinct().withColumnRenamed("_key", key)
 
 
 def query_reject_reason(query: Column, top_k: Column, max_tokens: Column | None = None) -> Column:

@@ -13,10 +13,12 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -176,9 +178,10 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _codes(m: np.ndarray, lsh: tuple[np.ndarray, int, int]) -> np.ndarray:
+def _codes(m: np.ndarray, lsh: tuple[int, int, int]) -> np.ndarray:
     """Bucket number per row and hash table: one bit per random plane."""
-    normals, tables, planes = lsh
+    seed, tables, planes = lsh
+    normals = np.random.default_rng(seed).standard_normal((tables * planes, m.shape[1]))
     bits = (m @ normals.T > 0).reshape(len(m), tables, planes)
     return (bits * (1 << np.arange(planes))).sum(axis=2)
 
@@ -194,38 +197,51 @@ def _blocks(q: np.ndarray, v: np.ndarray, lsh) -> Iterator[tuple[np.ndarray, np.
             yield np.flatnonzero(q_codes[:, t] == code), np.flatnonzero(v_codes[:, t] == code)
 
 
+def _shapes(cols: np.ndarray, lists: pa.Array) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+    """Row numbers per (collection, dimension); rows without a vector belong to none."""
+    dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for name in np.unique(cols):
+        for dim in np.unique(dims[cols == name]):
+            if dim:
+                yield (name, int(dim)), np.flatnonzero((cols == name) & (dims == dim))
+
+
+class _QueryBlock(NamedTuple):
+    """Query ids, and per (collection, dimension) the query numbers and their unit rows."""
+
+    ids: np.ndarray
+    groups: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(table: pa.Table) -> _QueryBlock:
+        lists = table["embedding"].combine_chunks()
+        cols = np.asarray(table["collection"].to_pylist(), dtype=object).astype(str)
+        groups = {shape: (rows, _matrix(lists.take(pa.array(rows)))) for shape, rows in _shapes(cols, lists)}
+        return _QueryBlock(table["query_id"].to_numpy(), groups)
+
+
 def _search_batches(
-    batches: Iterator[pa.RecordBatch], block, k: int, metric: str, decimals: int, schema: pa.Schema, lsh=None
+    batches: Iterator[pa.RecordBatch], block: _QueryBlock, k: int, metric: str, decimals: int, schema: pa.Schema, lsh=None
 ) -> Iterator[pa.RecordBatch]:
-    q_ids, q_cols, q_mat = block
     best = _Best(k, decimals, distinct=lsh is not None)
-    rows = max(1, PAIRS_AT_ONCE // max(1, len(q_ids)))
+    rows = max(1, PAIRS_AT_ONCE // max(1, len(block.ids)))
     for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
-        mat, cols = _matrix(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False)
-        for name in np.unique(cols):
-            q_rows, v_rows = np.flatnonzero(q_cols == name), np.flatnonzero(cols == name)
-            if not len(q_rows):
+        for shape, v_rows in _shapes(batch.column(1).to_numpy(zero_copy_only=False).astype(str), batch.column(2)):
+            if shape not in block.groups:
                 continue
-            for qi, vi in _blocks(q_mat[q_rows], mat[v_rows], lsh):
+            q_rows, q_mat = block.groups[shape]
+            mat = _matrix(batch.column(2).take(pa.array(v_rows)))
+            for qi, vi in _blocks(q_mat, mat, lsh):
                 q_index, v_index = q_rows[qi], v_rows[vi]
-                score, good = _scores(q_mat[q_index], mat[v_index], metric)
+                score, good = _scores(q_mat[qi], mat[vi], metric)
                 best.add(q_index, good, score, ids[v_index], keep[v_index])
     if best.rows is not None:
         q, _good, score, ids, keep = best.rows
-        columns = [pa.array(q_ids[q].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
+        columns = [pa.array(block.ids[q].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _collected_block(queries: DataFrame, dim: int):
-    """Queries of checked size as (ids, collections, unit matrix)."""
-    pdf = queries.select("query_id", "collection", "embedding").toPandas()
-    mat = np.array(pdf["embedding"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
-    length = np.linalg.norm(mat, axis=1, keepdims=True)
-    unit_rows = np.divide(mat, length, out=np.zeros_like(mat), where=length > 0)
-    return pdf["query_id"].to_numpy(), pdf["collection"].to_numpy(), unit_rows
-
-
 def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int], lsh):
     """Every query block meets every vector block in its own bounded task."""
     q_rows, v_rows = rows
@@ -243,11 +259,7 @@ def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, deci
         if not (left.num_rows and right.num_rows):
             return empty
         left, right = left.combine_chunks(), right.combine_chunks()
-        block = (
-            left["query_id"].to_numpy(),
-            left["collection"].to_numpy(),
-            _matrix(left["embedding"].chunk(0)),
-        )
+        block = _QueryBlock.of(left)
         names = ["id", "collection", "embedding", "_keep"]
         batch = pa.RecordBatch.from_arrays([right[c].chunk(0) for c in names], names=names)
         found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema, lsh))
@@ -270,7 +282,7 @@ def exact_topk(
     decimals: int = 6,
     query_bound: int = QUERY_ROWS_BOUND,
     vector_block: int = VECTOR_BLOCK_ROWS,
-    lsh: tuple[np.ndarray, int, int] | None = None,
+    lsh: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors of the query's collection per query.
 
@@ -278,9 +290,9 @@ def exact_topk(
     embedding[, collection], ...)``. Cosine descending, or squared distance
     of unit vectors ascending (``metric='l2'``), compared at ``decimals``
     digits; ties by id. ``filter_mode='pre'`` filters the scan, ``'post'``
-    filters inside the ``k`` hits. An unknown collection finds nothing; rows
-    whose dimension differs from the queries' do not belong to the index and
-    are skipped (see ``vector_quality``). ``lsh`` is set by ``approximate_topk``.
+    filters inside the ``k`` hits. A query meets the vectors of its collection
+    that have its dimension, whatever others there are; one that meets none finds
+    nothing (see ``misfits``). ``lsh`` is set by ``approximate_topk``.
     """
     if metric not in ("cosine", "l2") or filter_mode not in ("pre", "post"):
         raise ValueError("metric is 'cosine' or 'l2', filter_mode 'pre' or 'post'")
@@ -289,15 +301,15 @@ def exact_topk(
         return df if "collection" in df.columns else df.withColumn("collection", F.lit("default"))
 
     q = with_collection(queries).select("query_id", "collection", "embedding")
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    values = F.coalesce(F.array_size("embedding"), F.lit(0))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(values).alias("values"), F.max(values).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0
-    q = q.where(F.size("embedding") == dim)
 
     cond = metadata_filter(filters or {})
     v = with_collection(vectors)
     v = v.where(cond) if filter_mode == "pre" else v
     keep = F.coalesce(cond, F.lit(False)) if filter_mode == "post" else F.lit(True)
-    v = v.select("id", "collection", "embedding", keep.alias("_keep")).where(F.size("embedding") == dim)
+    v = v.select("id", "collection", "embedding", keep.alias("_keep"))
 
     q_type, id_type = q.schema["query_id"].dataType, v.schema["id"].dataType
     fields = [
@@ -307,10 +319,12 @@ def exact_topk(
         T.StructField("_keep", T.BooleanType()),
     ]
     arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
+    if q_type not in arrow or id_type not in arrow:
+        raise TypeError(f"ids are long, int or string, not {q_type.simpleString()} and {id_type.simpleString()}")
     q_arrow, id_arrow = arrow[q_type], arrow[id_type]
 
-    if n <= query_bound and n * dim * 8 <= QUERY_BYTES_BOUND:
-        shared = queries.sparkSession.sparkContext.broadcast(_collected_block(q, dim))
+    if n <= query_bound and (size["values"] or 0) * 8 <= QUERY_BYTES_BOUND:
+        shared = queries.sparkSession.sparkContext.broadcast(_QueryBlock.of(q.toArrow()))
         schema = pa.schema([("query_id", q_arrow), ("id", id_arrow), ("score", pa.float64()), ("_keep", pa.bool_())])
 
         def search(batches):
@@ -330,6 +344,32 @@ def exact_topk(
     return hits.drop("_keep")
 
 
+def misfits(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Queries that no stored vector fits: query_id, dimension, reason.
+
+    The reason is ``no vector``, ``unknown collection`` or ``dimension``. Only the
+    short table of collections and their dimensions meets the queries.
+    """
+
+    def shaped(df: DataFrame) -> DataFrame:
+        df = df if "collection" in df.columns else df.withColumn("collection", F.lit("default"))
+        return df.withColumn("dimension", F.coalesce(F.array_size("embedding"), F.lit(0)))
+
+    kept = shaped(vectors).where("dimension > 0").groupBy("collection", "dimension").agg(F.lit(True).alias("_fits"))
+    known = kept.groupBy("collection").agg(F.lit(True).alias("_known"))
+    reason = (
+        F.when(F.col("dimension") == 0, "no vector").when(F.col("_known").isNull(), "unknown collection").otherwise("dimension")
+    )
+    return (
+        shaped(queries)
+        .select("query_id", "collection", "dimension")
+        .join(kept, ["collection", "dimension"], "left")
+        .join(known, "collection", "left")
+        .where("_fits IS NULL")
+        .select("query_id", F.col("dimension").cast("long").alias("dimension"), reason.alias("reason"))
+    )
+
+
 # ---- approximate search --------------------------------------------------------------------
 
 
@@ -342,9 +382,7 @@ def approximate_topk(
     they are scored exactly. Bucket mates are matched inside the tasks of the
     exact search, so a bucket of any size never turns into rows of pairs.
     """
-    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-    normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
-    return exact_topk(queries, vectors, k, lsh=(normals, tables, planes), **options)
+    return exact_topk(queries, vectors, k, lsh=(seed, tables, planes), **options)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

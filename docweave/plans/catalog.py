@@ -133,16 +133,22 @@ def tenant_violations(spark, d):
 
 @query(
     "version_create",
-    f"""WITH {inp.VERSIONS_SQL}
-        SELECT c_custkey AS document_id, CASE WHEN e.document_id IS NULL THEN 'created' ELSE 'conflict' END AS status,
-               CASE WHEN e.document_id IS NULL THEN 1::BIGINT END AS version_number,
-               CASE WHEN e.document_id IS NULL THEN sha256(c_name) END AS content_hash,
-               CASE WHEN e.document_id IS NULL THEN octet_length(encode(c_name))::BIGINT END AS file_size_bytes
-        FROM customer LEFT JOIN (SELECT DISTINCT document_id FROM versions) e ON e.document_id = c_custkey""",
+    f"""WITH {inp.VERSIONS_SQL},
+        asked AS (SELECT c_custkey AS document_id, c_name AS content, 1 AS seq FROM customer
+                  UNION ALL SELECT c_custkey, c_mktsegment, 2 FROM customer WHERE c_custkey % 4 = 0),
+        judged AS (SELECT a.*, e.document_id IS NULL AND seq = 1 AS ok FROM asked a
+                   LEFT JOIN (SELECT DISTINCT document_id FROM versions) e USING (document_id))
+        SELECT document_id, CASE WHEN ok THEN 'created' ELSE 'conflict' END AS status, CASE WHEN ok THEN 1::BIGINT END AS version_number,
+               CASE WHEN ok THEN sha256(content) END AS content_hash,
+               CASE WHEN ok THEN octet_length(encode(content))::BIGINT END AS file_size_bytes FROM judged""",
 )
 def version_create(spark, d):
-    requests = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("content"))
-    made, conflicts = versions.create(inp.version_log(spark, d), requests)
+    """Every fourth document is asked for twice in one batch."""
+    cu = table(spark, d, "customer").withColumn("document_id", F.col("c_custkey"))
+    requests = cu.select("document_id", F.col("c_name").alias("content"), F.lit(1).alias("seq")).union(
+        cu.where("c_custkey % 4 = 0").select("document_id", "c_mktsegment", F.lit(2))
+    )
+    made, conflicts = versions.create(inp.version_log(spark, d), requests, sequence="seq")
     out = ["document_id", "status", "version_number", "content_hash", "file_size_bytes"]
     return made.withColumn("status", F.lit("created")).select(out).unionByName(
         conflicts.select("document_id", F.lit("conflict").alias("status")), allowMissingColumns=True
@@ -154,53 +160,68 @@ def version_create(spark, d):
     f"""WITH {inp.VERSIONS_SQL},
         newest AS (SELECT v.* FROM versions v JOIN current c ON v.document_id = c.document_id
                    AND v.version_number = c.current_version),
-        asked AS (SELECT c_custkey AS document_id, c_name AS content, c_mktsegment AS seg,
-                         CASE WHEN c_acctbal > 0 THEN 60 END AS expected FROM customer),
-        joined AS (SELECT a.*, n.version_number AS cur, n.m_props, CASE WHEN n.document_id IS NULL THEN 'not_found'
-                     WHEN a.expected <> n.version_number THEN 'conflict' ELSE 'updated' END AS status
-                   FROM asked a LEFT JOIN newest n USING (document_id))
-        SELECT document_id, status, CASE WHEN status = 'updated' THEN cur + 1 END AS version_number,
-               sha256(content) AS content_hash,
-               CASE WHEN status = 'updated' THEN 'props=' || m_props || ';segment=' || seg || ';type=reviewed' END AS metadata
-        FROM joined""",
+        asked AS (SELECT c_custkey AS document_id, c_name AS content1, c_phone AS content2, c_mktsegment AS seg,
+                         CASE WHEN c_acctbal > 0 THEN 60 END AS e1, CASE WHEN c_custkey % 3 > 0 THEN 60 END AS e2
+                  FROM (SELECT *, 'again ' || c_name AS c_phone FROM customer)),
+        one AS (SELECT a.*, n.version_number AS cur, n.m_type, n.m_props,
+                       n.document_id IS NOT NULL AND coalesce(a.e1 = n.version_number, true) AS ok1
+                FROM asked a LEFT JOIN newest n USING (document_id)),
+        two AS (SELECT *, CASE WHEN ok1 THEN cur + 1 ELSE cur END AS cur2 FROM one),
+        three AS (SELECT *, cur2 IS NOT NULL AND coalesce(e2 = cur2, true) AS ok2 FROM two)
+        SELECT document_id, 1 AS seq, CASE WHEN cur IS NULL THEN 'not_found' WHEN ok1 THEN 'updated' ELSE 'conflict' END AS status,
+               CASE WHEN ok1 THEN cur + 1 END AS version_number, CASE WHEN ok1 THEN sha256(content1) END AS content_hash,
+               CASE WHEN ok1 THEN 'props=' || m_props || ';segment=' || seg || ';type=reviewed' END AS metadata FROM three
+        UNION ALL
+        SELECT document_id, 2, CASE WHEN cur IS NULL THEN 'not_found' WHEN ok2 THEN 'updated' ELSE 'conflict' END,
+               CASE WHEN ok2 THEN cur2 + 1 END, CASE WHEN ok2 THEN sha256(content2) END,
+               CASE WHEN ok2 THEN 'props=again' || CASE WHEN ok1 THEN ';segment=' || seg || ';type=reviewed' ELSE ';type=' || m_type END END
+        FROM three""",
 )
 def version_update(spark, d):
-    cu = table(spark, d, "customer")
-    requests = cu.select(
-        F.col("c_custkey").alias("document_id"),
+    """Two requests per document, of which the second sees what the first one left."""
+    cu = table(spark, d, "customer").withColumn("document_id", F.col("c_custkey"))
+    first = cu.select(
+        "document_id",
+        F.lit(1).alias("seq"),
         F.col("c_name").alias("content"),
         F.create_map(F.lit("type"), F.lit("reviewed"), F.lit("segment"), F.col("c_mktsegment")).alias("metadata"),
         F.when(F.col("c_acctbal") > 0, F.lit(60)).alias("expected_version"),
     )
-    out = versions.update(inp.version_log(spark, d), requests)
+    second = cu.select(
+        "document_id",
+        F.lit(2),
+        F.concat(F.lit("again "), "c_name"),
+        F.create_map(F.lit("props"), F.lit("again")),
+        F.when(F.col("c_custkey") % 3 > 0, F.lit(60)),
+    )
+    out = versions.update(inp.version_log(spark, d), first.union(second), sequence="seq")
     shown = F.array_join(
         F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
     )
-    return out.select(
-        "document_id", "status", F.col("version_number").cast("long").alias("version_number"), "content_hash", shown.alias("metadata")
-    )
+    return out.select("document_id", "seq", "status", "version_number", "content_hash", shown.alias("metadata"))
 
 
 @query(
     "version_rollback",
     f"""WITH {inp.VERSIONS_SQL},
-        asked AS (SELECT c_custkey AS document_id, (c_nationkey - 1)::BIGINT AS target FROM customer)
-        SELECT a.document_id, a.target AS target_version,
-               CASE WHEN t.document_id IS NULL THEN 'not_found' ELSE 'rolled_back' END AS status,
-               CASE WHEN t.document_id IS NOT NULL THEN c.current_version + 1 END AS version_number,
-               CASE WHEN t.document_id IS NOT NULL THEN 'Rolled back to version ' || a.target::VARCHAR END AS change_summary,
-               sha256(t.content) AS content_hash
-        FROM asked a LEFT JOIN current c USING (document_id)
-        LEFT JOIN versions t ON t.document_id = a.document_id AND t.version_number = a.target""",
+        asked AS (SELECT c_custkey AS document_id, (c_nationkey - 1)::BIGINT AS target, 1 AS seq FROM customer
+                  UNION ALL SELECT c_custkey, 1, 2 FROM customer),
+        joined AS (SELECT a.*, t.content, t.document_id IS NOT NULL AS ok, c.current_version FROM asked a LEFT JOIN current c USING (document_id)
+                   LEFT JOIN versions t ON t.document_id = a.document_id AND t.version_number = a.target)
+        SELECT document_id, seq, target AS target_version, CASE WHEN ok THEN 'rolled_back' ELSE 'not_found' END AS status,
+               CASE WHEN ok THEN current_version + sum(ok::INT) OVER (PARTITION BY document_id ORDER BY seq)::BIGINT END AS version_number,
+               CASE WHEN ok THEN 'Rolled back to version ' || target::VARCHAR END AS change_summary, sha256(content) AS content_hash
+        FROM joined""",
 )
 def version_rollback(spark, d):
-    requests = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("document_id"),
-        (F.col("c_nationkey") - 1).cast("long").alias("target_version"),
-        F.lit(None).cast("string").alias("change_summary"),
-    )
-    out = versions.rollback(inp.version_log(spark, d), requests)
-    return out.select("document_id", "target_version", "status", "version_number", "change_summary", "content_hash")
+    """Two requests per document; accepted ones get numbers of their own."""
+    cu = table(spark, d, "customer").withColumn("document_id", F.col("c_custkey"))
+    requests = cu.select(
+        "document_id", (F.col("c_nationkey") - 1).cast("long").alias("target_version"), F.lit(1).alias("seq")
+    ).union(cu.select("document_id", F.lit(1).cast("long"), F.lit(2)))
+    requests = requests.withColumn("change_summary", F.lit(None).cast("string"))
+    out = versions.rollback(inp.version_log(spark, d), requests, sequence="seq")
+    return out.select("document_id", "seq", "target_version", "status", "version_number", "change_summary", "content_hash")
 
 
 @query(

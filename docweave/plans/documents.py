@@ -627,22 +627,28 @@ def request_rules(spark, d):
     f"""SELECT id, path, rule FROM (
           SELECT id, path, {_first_rule_sql('v')} AS rule FROM (
             SELECT 'e' || event_id::VARCHAR AS id, 'k#key' AS path, 'k' AS v FROM events
+            UNION ALL SELECT 'e' || event_id::VARCHAR, '', props || 'x' FROM events WHERE event_id % 10 = 0
             UNION ALL SELECT 'p' || page_id::VARCHAR, 'url', url FROM pages
             UNION ALL SELECT 'p' || page_id::VARCHAR, 'links[0]', url FROM pages
-            UNION ALL SELECT 'p' || page_id::VARCHAR, 'page.body', html FROM pages)) WHERE rule IS NOT NULL""",
+            UNION ALL SELECT 'p' || page_id::VARCHAR, 'links[0]', html FROM pages
+            UNION ALL SELECT 'p' || page_id::VARCHAR, 'a.b.c.d.e.f.g.body', html FROM pages)) WHERE rule IS NOT NULL
+        UNION SELECT 'e' || event_id::VARCHAR, '', 'unparsed' FROM events WHERE event_id % 10 = 0""",
 )
 def json_rule_scan(spark, d):
+    """Values eight levels deep, a key that stands twice, and text that is not JSON."""
+    broken = F.when(F.col("event_id") % 10 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props"))
     events = table(spark, d, "events").select(
-        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("props").alias("payload")
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), broken.alias("payload")
     )
+    deep = F.struct(F.col("html").alias("body"), F.col("page_id").alias("number"))
+    for name in "gfedcba":
+        deep = F.struct(deep.alias(name))
     pages = spread(table(spark, d, "pages"), "page_id").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"),
-        F.to_json(
-            F.struct(
-                "url",
-                F.array("url").alias("links"),
-                F.struct(F.col("html").alias("body"), F.col("page_id").alias("number")).alias("page"),
-            )
+        F.concat(
+            F.regexp_replace(F.to_json(F.struct("url", F.array("url").alias("links"))), "\\}$", ',"links":'),
+            F.to_json(F.array("html")),
+            F.regexp_replace(F.to_json(deep), "^\\{", ","),
         ).alias("payload"),
     )
     return validation.scan_json(events.union(pages), "id", "payload")

@@ -155,12 +155,16 @@ def over_limit(spark, d):
 
 @query(
     "peak_concurrency",
-    """WITH ends AS (SELECT epoch_us(ts) AS moment, 1 AS d FROM events
-                     UNION ALL SELECT epoch_us(ts) + round(value * 100)::BIGINT * 10000, -1 FROM events),
-       instants AS (SELECT moment, sum(d) AS net, count(*) FILTER (d > 0) AS started FROM ends GROUP BY moment),
-       running AS (SELECT *, sum(net) OVER (ORDER BY moment) AS open FROM instants)
-       SELECT floor(moment / 3600000000.0)::BIGINT * 3600 AS bucket_start, sum(started)::BIGINT AS total_requests,
-              max(open)::BIGINT AS peak_concurrent FROM running GROUP BY 1""",
+    """WITH spans AS (SELECT epoch_us(ts) AS a, epoch_us(ts) + round(value * 100)::BIGINT * 10000 AS b FROM events),
+       buckets AS (SELECT unnest(range((SELECT min(a) FROM spans) // 3600000000, (SELECT max(b) FROM spans) // 3600000000 + 1)) AS n),
+       points AS (SELECT DISTINCT n, n * 3600000000 AS t FROM buckets
+                  UNION SELECT a // 3600000000, a FROM spans),
+       levels AS (SELECT p.n, p.t, count(s.a) AS open FROM points p LEFT JOIN spans s ON s.a <= p.t AND s.b > p.t GROUP BY 1, 2),
+       peaks AS (SELECT n, max(open) AS peak FROM levels GROUP BY n),
+       starts AS (SELECT a // 3600000000 AS n, count(*) AS started FROM spans GROUP BY 1)
+       SELECT n * 3600 AS bucket_start, coalesce(started, 0)::BIGINT AS total_requests, peak::BIGINT AS peak_concurrent
+       FROM peaks LEFT JOIN starts USING (n)
+       UNION ALL SELECT NULL, (SELECT count(*) FROM spans), (SELECT max(peak) FROM peaks)""",
 )
 def peak_concurrency(spark, d):
     start = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -181,6 +181,34 @@ def filtered_topk_post(spark, d):
     )
 
 
+_MIXED_SQL = """
+shapes AS (
+  SELECT query_id, CASE WHEN query_id % 3 = 0 THEN list_slice(embedding, 1, 8) WHEN query_id % 7 = 1 THEN list_slice(embedding, 1, 5)
+         ELSE embedding END AS embedding FROM questions),
+stored AS (SELECT id, CASE WHEN id % 2 = 0 THEN embedding ELSE list_slice(embedding, 1, 8) END AS embedding FROM corpus)"""
+
+
+@query(
+    "topk_mixed_dimensions",
+    f"""WITH {BASE}, {_MIXED_SQL},
+        found AS (SELECT q.query_id, v.id, round(list_cosine_similarity(q.embedding, v.embedding), 6) AS score
+                  FROM shapes q JOIN stored v ON len(q.embedding) = len(v.embedding)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM found)
+        SELECT query_id, id, score, rank, NULL::BIGINT AS dimension, NULL::VARCHAR AS reason FROM ranked WHERE rank <= 5
+        UNION ALL SELECT query_id, NULL, NULL, NULL, len(embedding), 'dimension' FROM shapes
+        WHERE len(embedding) NOT IN (SELECT len(embedding) FROM stored)""",
+)
+def topk_mixed_dimensions(spark, d):
+    """Queries and vectors of several dimensions: each meets its own, misfits are reported."""
+    cut = lambda n: F.slice("embedding", 1, n)
+    q = inp.questions(spark, d).withColumn(
+        "embedding",
+        F.when(F.col("query_id") % 3 == 0, cut(8)).when(F.col("query_id") % 7 == 1, cut(5)).otherwise(F.col("embedding")),
+    )
+    v = flat(inp.corpus(spark, d)).withColumn("embedding", F.when(F.col("id") % 2 == 0, F.col("embedding")).otherwise(cut(8)))
+    return hits(vectors.exact_topk(q, v, 5)).unionByName(vectors.misfits(q, v), allowMissingColumns=True)
+
+
 @query("approximate_recall")
 def approximate_recall(spark, d):
     q, v = inp.questions(spark, d), flat(inp.corpus(spark, d))

@@ -43,6 +43,28 @@ def test_create(spark, log):
     assert [r.document_id for r in conflicts.collect()] == ["d1"]
 
 
+def test_requests_of_one_batch(spark, log):
+    req = spark.createDataFrame([("n", "b", 2), ("n", "a", 1), ("n", "c", 3), ("d1", "x", 1)], "document_id string, content string, seq int")
+    made, conflicts = versions.create(log, req, sequence="seq")
+    assert [(r.document_id, r.content, r.version_number) for r in made.collect()] == [("n", "a", 1)]
+    assert sorted((r.document_id, r.content) for r in conflicts.collect()) == [("d1", "x"), ("n", "b"), ("n", "c")]
+    made, conflicts = versions.create(log, req.drop("seq"))
+    assert made.count() == 1 and conflicts.count() == 3
+    asked = [("d1", "u1", {"x": "1"}, 3, 1), ("d1", "u2", {"y": "2"}, 3, 2), ("d1", "u3", {"x": "3"}, 4, 3), ("d1", "u4", None, None, 4), ("q", "u", {}, 1, 1)]
+    df = spark.createDataFrame(asked, "document_id string, content string, metadata map<string,string>, expected_version int, seq int")
+    got = {r.content: (r.status, r.version_number, r.metadata, r.content_hash is None) for r in versions.update(log, df, sequence="seq").collect()}
+    assert got == {
+        "u1": ("updated", 4, {"a": "3", "x": "1"}, False),
+        "u2": ("conflict", None, None, True),
+        "u3": ("updated", 5, {"a": "3", "x": "3"}, False),
+        "u4": ("updated", 6, {"a": "3", "x": "3"}, False),
+        "u": ("not_found", None, None, True),
+    }
+    back = spark.createDataFrame([("d1", 1, None, 1), ("d1", 9, None, 2), ("d1", 2, None, 3)], "document_id string, target_version long, change_summary string, seq int")
+    got = {r.target_version: (r.status, r.version_number) for r in versions.rollback(log, back, sequence="seq").collect()}
+    assert got == {1: ("rolled_back", 4), 2: ("rolled_back", 5), 9: ("not_found", None)}
+
+
 def test_update_merges_and_detects_conflicts(spark, log):
     req = [("d1", "new", {"b": "9"}, 3), ("d1", "late", {}, 2), ("d2", "n", None, None), ("d7", "n", {}, None)]
     df = spark.createDataFrame(req, "document_id string, content string, metadata map<string,string>, expected_version int")

@@ -82,16 +82,23 @@ def test_over_limit(spark):
     assert got == [(0, "a", 5, 2)]
 
 
-def test_peak_concurrency_equals_sweep(spark):
+def test_peak_concurrency_counts_overlaps(spark):
     rng = random.Random(2)
     spans = [(s := rng.randrange(0, 40_000_000), s + rng.randrange(0, 9_000_000)) for _ in range(200)]
+    spans += [(100_000_000, 155_000_000)]  # buckets without any start or end
     df = spark.createDataFrame(spans, "s long, e long").repartition(4)
     got = {r.bucket_start: (r.total_requests, r.peak_concurrent) for r in rq.peak_concurrency(df, "s", "e", 10).collect()}
-    points = sorted({x for p in spans for x in p})
     expected = {}
-    for p in points:
-        b = p // 10_000_000 * 10
-        total, peak = expected.get(b, (0, 0))
-        open_now = sum(s <= p for s, _e in spans) - sum(e <= p for _s, e in spans)
-        expected[b] = (total + sum(s == p for s, _e in spans), max(peak, open_now))
+    for b in range(min(s for s, _ in spans) // 10_000_000, max(e for _, e in spans) // 10_000_000 + 1):
+        points = [b * 10_000_000, *(s for s, _ in spans if s // 10_000_000 == b)]
+        peak = max(sum(s <= p < e for s, e in spans) for p in points)
+        expected[b * 10] = (sum(s // 10_000_000 == b for s, _ in spans), peak)
+    expected[None] = (len(spans), max(p for _, p in expected.values()))
     assert got == expected
+
+
+def test_peak_concurrency_carries_open_spans(spark):
+    df = spark.createDataFrame([(0, 25_000_000), (1_000_000, 12_000_000)], "s long, e long")
+    got = {r.bucket_start: r.peak_concurrent for r in rq.peak_concurrency(df, "s", "e", 10).collect()}
+    assert got == {0: 2, 10: 2, 20: 1, None: 2}
+    assert rq.peak_concurrency(df.where("false"), "s", "e").count() == 0

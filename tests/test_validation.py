@@ -138,6 +138,12 @@ def test_json_scan_walks_keys_values_and_depth(spark):
         "not json",
         "{}",
         '{"k <embed": {"p": 1, "q": 2}}',
+        '{"a":{"b":{"c":{"d":{"e":{"f":{"g":["<script>x</script>"]}}}}}}}',
+        '{"a":"ok","b":"<iframe","a":"<iframe"}',
+        '{"b": NaN, "c":"<iframe"}',
+        "broken <iframe {",
+        "[" * 100_000,
+        None,
     ]
     df = spark.createDataFrame(list(enumerate(payloads)), "id int, j string")
     got = sorted(tuple(r) for r in va.scan_json(df, "id", "j").collect())
@@ -145,8 +151,15 @@ def test_json_scan_walks_keys_values_and_depth(spark):
         (0, "a.b[1]", "xss"),
         (1, "x <iframe#key", "xss"),
         (2, "", "sql"),
-        (3, "[0][0][0][0]", "too_deep"),
+        (4, "", "unparsed"),
         (6, "k <embed#key", "xss"),
+        (7, "a.b.c.d.e.f.g[0]", "xss"),
+        (8, "a", "xss"),
+        (8, "b", "xss"),
+        (9, "c", "xss"),
+        (10, "", "unparsed"),
+        (10, "", "xss"),
+        (11, "", "unparsed"),
     ]
 
 
