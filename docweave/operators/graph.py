@@ -86,12 +86,13 @@ def _along(state: DataFrame, links: DataFrame, hubs: DataFrame) -> DataFrame:
     return repeat_hot(state, hubs, ["src"]).join(links, ["src", "_salt"]).drop("_salt")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, directed: bool = False) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
     """Fewest-hop path per ``pairs(pair_id, source_doc, target_doc)``.
 
-    Breadth-first over all pairs at once; a node keeps the smallest of its
-    equally short paths, and a pair stops when its target is reached. Pairs
-    without a path within ``max_hops`` have null results.
+    Breadth-first over all pairs at once, until every pair has met its target or has
+    nowhere left to go; ``max_hops`` is a limit of the question, not of the search. A
+    node keeps the smallest of its equally short paths. Pairs without a path have
+    null results.
     """
     links, hubs = _links(edges, directed)
     frontier = pairs.select(
@@ -100,7 +101,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, direc
     frontier = cut_lineage(frontier)
     visited = frontier.select("pair_id", "node")
     done = frontier.where("node = goal")
-    for _ in range(max_hops):
+    hops = 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         open_pairs = frontier.join(done.select("pair_id"), "pair_id", "left_anti")
         reached = (
             _along(open_pairs.withColumnRenamed("node", "src"), links, hubs)
@@ -114,6 +117,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 16, direc
             break
         visited = visited.union(frontier.select("pair_id", "node"))
         done = done.union(frontier.where("node = goal"))
+        if hops % 8 == 0:  # long chains: keep the plans short
+            visited, done = cut_lineage(visited), cut_lineage(done)
     found = done.select("pair_id", (F.size("path") - 1).cast("long").alias("hops"), "path")
     return pairs.join(found, "pair_id", "left")
 

@@ -10,7 +10,9 @@ bounded query and vector blocks.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import sys
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -120,6 +122,27 @@ def hash_embed(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
     return normed.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_tokens", "_counts", "_unit")
 
 
+def term_counts_model(dim: int = 32) -> Callable[[pd.Series], pd.Series]:
+    """A batch model for ``embed_with``: counts of terms per bucket, from the leading digits of their MD5.
+
+    Any engine that knows MD5 can compute the same vectors. Texts come in lower case.
+    """
+
+    def model(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def bucket(term: str) -> int:
+            if term not in known:
+                known[term] = int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % dim
+            return known[term]
+
+        return texts.map(
+            lambda t: np.bincount([bucket(w) for w in re.findall(r"\w+", t or "")], minlength=dim).astype(np.float32)
+        )
+
+    return model
+
+
 # ---- exact search -----------------------------------------------------------------------
 
 

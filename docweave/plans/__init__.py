@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("documents", "retrieval", "catalog", "requests")
+MODULES = ("documents", "retrieval", "chunks", "catalog", "requests")
 
 
 def load_all() -> None:

@@ -342,7 +342,7 @@ def related_docs(spark, d):
     return graph.related(edges, asked, min_weight=1.0).withColumn("rank", F.col("rank").cast("long"))
 
 
-_HOPS = 8
+_HOPS = 16  # levels written out in the SQL; the search itself has no limit
 
 
 def _paths_sql() -> str:
@@ -375,7 +375,26 @@ def shortest_path(spark, d):
         F.col("item_id").alias("source_doc"),
         (F.col("item_id") * 7 + 100).alias("target_doc"),
     )
-    found = graph.shortest_paths(similar(spark, d), pairs, max_hops=_HOPS)
+    found = graph.shortest_paths(similar(spark, d), pairs)
+    return found.withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    "shortest_path_chain",
+    """SELECT f.c_custkey AS pair_id, f.c_custkey AS source_doc, f.c_custkey + 19 AS target_doc,
+              CASE WHEN l.c_custkey IS NOT NULL THEN 19::BIGINT END AS hops,
+              CASE WHEN l.c_custkey IS NOT NULL THEN array_to_string(range(f.c_custkey, f.c_custkey + 20), '>') END AS path
+       FROM customer f LEFT JOIN customer l ON l.c_custkey = f.c_custkey + 19 WHERE f.c_custkey % 20 = 0""",
+)
+def shortest_path_chain(spark, d):
+    """Customers in chains of twenty: paths longer than any fixed number of rounds would find."""
+    cu = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    ends = cu.select(F.col("k").alias("source_doc"), (F.col("k") + 1).alias("target_doc")).where("source_doc % 20 != 19")
+    edges = ends.join(cu, F.col("target_doc") == F.col("k"), "left_semi")
+    pairs = cu.where("k % 20 = 0").select(
+        F.col("k").alias("pair_id"), F.col("k").alias("source_doc"), (F.col("k") + 19).alias("target_doc")
+    )
+    found = graph.shortest_paths(edges, pairs)
     return found.withColumn("path", F.array_join("path", ">"))
 
 

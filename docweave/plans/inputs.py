@@ -67,16 +67,22 @@ def cosine_hits_sql(name: str, k: int, cond: str = "true") -> str:
 WORDS = r"[\p{L}\p{N}_]+"
 
 
-def bm25_hits_sql(name: str, k: int) -> str:
-    """CTEs of a BM25 search of all questions over all documents."""
+def bm25_stats_sql(texts: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs with the statistics of all terms of ``texts(doc_id, text)``; each is computed once."""
     return f"""
-toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS t FROM documents),
-corpus_figures AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM toks),
-postings AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf
+toks AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') AS t FROM ({texts})),
+corpus_figures AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM toks),
+postings AS MATERIALIZED (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf
              FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY doc_id, term),
-dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-raw_idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS w FROM dfs, corpus_figures),
-idfs AS (SELECT term, df, CASE WHEN w < 0 THEN 0.25 * (SELECT avg(w) FROM raw_idf) ELSE w END AS idf FROM raw_idf),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term),
+raw_idf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS w FROM dfs, corpus_figures),
+mean_idf AS MATERIALIZED (SELECT avg(w) AS m FROM raw_idf),
+idfs AS MATERIALIZED (SELECT term, df, CASE WHEN w < 0 THEN 0.25 * m ELSE w END AS idf FROM raw_idf, mean_idf)"""
+
+
+def bm25_hits_sql(name: str, k: int, texts: str = "SELECT doc_id, text FROM documents") -> str:
+    """CTEs of a BM25 search of all questions over all documents."""
+    return f"""{bm25_stats_sql(texts)},
 asked AS (SELECT query_id, term, count(*) AS qtf
           FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM questions) GROUP BY 1, 2),
 keyword_scores AS (

@@ -236,7 +236,7 @@ def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 @query(
     "bm25_term_stats",
-    f"""WITH {BASE}, {inp.bm25_hits_sql('hits', 1)}
+    f"""WITH {inp.bm25_stats_sql()}
         SELECT term, df, round(idf, 6) AS idf, n AS n_docs, round(avg_len, 6) AS avg_len FROM idfs, corpus_figures""",
 )
 def bm25_term_stats(spark, d):

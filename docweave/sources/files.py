@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import content_id, strip
@@ -23,7 +23,7 @@ def _glob(extensions: Sequence[str]) -> str:
 
 
 def _documents(files: DataFrame) -> DataFrame:
-    """Document rows of ``binaryFile`` rows; files that are not UTF-8 are skipped."""
+    """Document rows of ``binaryFile`` rows; files that are not UTF-8 are left to ``rejected_files``."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     kind = F.lit(None).cast("string")
@@ -56,18 +56,37 @@ def metadata_map() -> Column:
     )
 
 
-def load_directory(
-    spark: SparkSession, path: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS, recursive: bool = True
-) -> DataFrame:
-    """All text files below a folder (S3); a missing folder raises, a bad file is skipped."""
-    files = (
+def _files(spark: SparkSession, path: str, extensions: Sequence[str], recursive: bool) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", _glob([e.lower() for e in extensions]))
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("ignoreCorruptFiles", "true")
         .load(path)
     )
-    return _documents(files)
+
+
+def load_directory(
+    spark: SparkSession, path: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS, recursive: bool = True
+) -> DataFrame:
+    """All text files below a folder (S3).
+
+    A missing folder or a file that cannot be read raises; files that are not text
+    are rows of ``rejected_files``.
+    """
+    return _documents(_files(spark, path, extensions, recursive))
+
+
+def rejected_files(
+    spark: SparkSession, path: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS, recursive: bool = True
+) -> DataFrame:
+    """``source, size_bytes, error`` of the files that ``load_directory`` leaves out (S3, A5)."""
+    files = _files(spark, path, extensions, recursive)
+    broken = files.where(F.try_validate_utf8(F.col("content").cast("string")).isNull())
+    return broken.select(
+        F.regexp_replace("path", "^file:/*", "/").alias("source"),
+        F.col("length").alias("size_bytes"),
+        F.lit("not valid UTF-8").alias("error"),
+    )
 
 
 def load_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -96,8 +115,16 @@ def stream_directory(
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed non-blank lines of a question file, in file order."""
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("query_id"), strip(F.col("value")).alias("query")
-    )
-    return lines.where("query != ''")
+    """Trimmed non-blank lines of question files, numbered in the order of file name and line.
+
+    A file is one row until its lines are numbered, so the numbers do not depend on
+    how it is split; the counts of earlier files give each file its first number.
+    """
+    asked = F.filter(F.transform(F.split("value", "\r\n?|\n"), strip), lambda q: q != "")
+    texts = spark.read.text(path, wholetext=True)
+    files = texts.select(F.col("_metadata.file_path").alias("_file"), asked.alias("_lines"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    sizes = files.select("_file", F.size("_lines").alias("_n"))
+    first = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = files.join(first, "_file").select("_first", F.posexplode("_lines").alias("_line", "query"))
+    return numbered.select((F.col("_first") + F.col("_line")).cast("long").alias("query_id"), "query")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,21 +47,24 @@ def start_ingest(
     opt: ValidationOptions = DEFAULT,
     size: int = 1000,
     overlap: int = 200,
+    embed: Callable[[DataFrame, str], DataFrame] = hash_embed,
 ) -> StreamingQuery:
     """Write chunks and rejects of each micro-batch.
 
     A micro-batch owns one partition folder and overwrites it when it is
     replayed, so a restart neither loses nor repeats rows, and no batch reads
-    the store back.
+    the store back. The folder carries a name that belongs to the checkpoint: a new
+    checkpoint on an existing store adds to it.
     """
+    run = _run_of(stream.sparkSession, store, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = spread(batch.withColumn("metadata", metadata), "doc_id")
         # both sinks read the checked rows of this micro-batch
         validated = validate(rows, opt=opt).persist(StorageLevel.MEMORY_AND_DISK)
-        chunks, rejected = prepare_validated(validated, size, overlap)
-        chunks.write.mode("overwrite").parquet(f"{store}/chunks/batch={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
+        chunks, rejected = prepare_validated(validated, size, overlap, embed)
+        chunks.write.mode("overwrite").parquet(f"{store}/chunks/run={run}/batch={batch_id}")
+        rejected.write.mode("overwrite").parquet(f"{store}/rejected/run={run}/batch={batch_id}")
         validated.unpersist()
 
     return (
@@ -71,13 +75,33 @@ def start_ingest(
     )
 
 
+def _run_of(spark: SparkSession, store: str, checkpoint: str) -> int:
+    """Number of the checkpoint among those that have written to a store, from 1; kept in the store."""
+    known: dict[str, int] = {}
+    try:
+        known = {r["checkpoint"]: r["run"] for r in spark.read.parquet(f"{store}/runs").collect()}  # one row per checkpoint
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if checkpoint not in known:
+        known[checkpoint] = len(known) + 1
+        row = spark.createDataFrame([(checkpoint, known[checkpoint])], "checkpoint string, run long")
+        row.write.mode("append").parquet(f"{store}/runs")
+    return known[checkpoint]
+
+
 def read_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """Newest row per chunk id over all micro-batches."""
+    """Newest row per chunk id over all micro-batches, later checkpoints after earlier ones."""
     rows = spark.read.parquet(f"{store}/chunks")
-    fields = [c for c in rows.columns if c not in ("chunk_id", "batch")]
-    newest = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*fields), "batch").alias("_new"))
+    fields = [c for c in rows.columns if c not in ("chunk_id", "run", "batch")]
+    newest = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*fields), F.struct("run", "batch")).alias("_new"))
     return newest.select("chunk_id", "_new.*")
 
 
 def read_rejected(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/rejected").drop("batch")
+    return spark.read.parquet(f"{store}/rejected").drop("run", "batch")
+
+
+def compact(spark: SparkSession, store: str, target: str, buckets: int = 200) -> None:
+    """Write the newest row per chunk id to ``target``, clustered by id, for readers that come often."""
+    read_chunks(spark, store).repartition(buckets, "chunk_id").sortWithinPartitions("chunk_id").write.parquet(target)

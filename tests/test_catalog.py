@@ -214,3 +214,11 @@ def test_ingest_report(spark):
     assert [(r.id, r.copies) for r in ingest.duplicate_ids(batch).collect()] == [("1", 2)]
     assert not ingest.check_batch(batch).first().accepted
     assert ingest.check_batch(batch.where("content is null")).first().accepted
+
+
+def test_paths_have_no_hop_limit(spark):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", "citation", 1.0) for i in range(20)], EDGES)
+    pairs = spark.createDataFrame([(1, "n00", "n20"), (2, "n20", "nowhere")], "pair_id int, source_doc string, target_doc string")
+    got = {r.pair_id: r.hops for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {1: 20, 2: None}
+    assert graph.shortest_paths(edges, pairs, max_hops=5).where("hops IS NOT NULL").count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave import session
 from docweave.operators import requests as rq
+from docweave.operators import vectors
 from docweave.operators.validation import ValidationOptions
 from docweave.sources import files, store
 from docweave.sources.tables import spread
@@ -37,6 +38,19 @@ def test_load_directory(spark, folder):
         files.load_directory(spark, str(folder / "missing")).count()
 
 
+def test_files_that_are_not_text_are_reported(spark, folder):
+    rows = files.rejected_files(spark, str(folder)).collect()
+    assert [(r.source, r.size_bytes, r.error) for r in rows] == [(str(folder / "broken.txt"), 6, "not valid UTF-8")]
+
+
+def test_questions_of_several_files(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    for name, lines in {"b.txt": "three\r\n\nfour", "a.txt": "one\ntwo\n", "c.txt": "\n"}.items():
+        (tmp_path / "q" / name).write_bytes(lines.encode())
+    got = files.load_questions(spark, str(tmp_path / "q")).orderBy("query_id").collect()
+    assert [(r["query_id"], r["query"]) for r in got] == [(0, "one"), (1, "two"), (2, "three"), (3, "four")]
+
+
 def test_empty_directory(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert files.load_directory(spark, str(tmp_path / "none")).count() == 0
@@ -140,6 +154,16 @@ def test_live_over_limit(spark, tmp_path):
     assert [(r.k, r.requests) for r in rows] == [("a", 4)]
 
 
+def test_updates_hold_windows_that_are_still_open(spark, tmp_path):
+    batches = [[(i, "a", 0.0) for i in range(3)], [(4, "a", 0.0), (900, "c", 0.0)], [(901, "c", 0.0)]]
+    stream, path = slices(spark, tmp_path, batches)
+    out = str(tmp_path / "updates")
+    live.start_updates(live.live_over_limit(stream, "k", 1), out, out + "-cp").awaitTermination()
+    got = {(r.window_start, r.k): r.requests for r in live.read_updates(spark, out, "window_start", "k").collect()}
+    batch = rq.over_limit(spark.read.parquet(path), "k", 1)
+    assert got == {(r.window_start, r.k): r.requests for r in batch.collect()} and sorted(got.values()) == [2, 4]
+
+
 def test_repeats_pass_again_after_the_ttl(spark, tmp_path):
     stream, _p = slices(spark, tmp_path, [[(0, "a", 1.0)], [(60, "a", 2.0), (61, "b", 3.0)], [(9000, "c", 4.0)], [(9001, "c", 4.5)], [(9002, "a", 5.0)]])
     rows = run(spark, repeats.first_asked(stream, "k"), tmp_path, "repeats").collect()
@@ -167,5 +191,13 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     assert len(chunks) == 3 and all(len(r.embedding) == 64 for r in chunks)
     rejected = ingest.read_rejected(spark, out).collect()
     assert [r.errors for r in rejected] == [["[SECURITY_XSS] Potential XSS attack pattern detected"]]
+    stream = files.stream_directory(spark, str(docs_dir))
+    model = lambda df, c: vectors.embed_with(df, c, vectors.term_counts_model(8))
+    ingest.start_ingest(stream, files.metadata_map(), out, str(tmp_path / "cp2"), opt, 20, 5, model).awaitTermination()
+    again = ingest.read_chunks(spark, out).collect()
+    assert {r.chunk_id for r in again} == {r.chunk_id for r in chunks} and all(len(r.embedding) == 8 for r in again)
+    assert ingest.read_rejected(spark, out).count() == 2
+    ingest.compact(spark, out, str(tmp_path / "compact"), 2)
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
     batch, rejects = ingest.prepare(files.load_directory(spark, str(docs_dir)), files.metadata_map(), opt, 20, 5)
     assert {r.chunk_id for r in batch.collect()} == {r.chunk_id for r in chunks} and rejects.count() == 1
