@@ -15,6 +15,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 from urllib.parse import quote
@@ -101,6 +102,27 @@ def _folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def unpacked(data: bytes) -> bytes:
+    """Plain bytes of a file that may consist of gzip members.
+
+    Input goes in by short pieces: what is left of a piece after the end of a member
+    is copied, and a file has very many members.
+    """
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, view, at = [], memoryview(data), 0
+    member = zlib.decompressobj(31)
+    while at < len(data):
+        piece = view[at : at + (1 << 14)]
+        out.append(member.decompress(piece))
+        at += len(piece) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(31)
+            while at < len(data) and data[at] == 0:  # padding
+                at += 1
+    return b"".join(out)
+
+
 # ---- ARC
 
 
@@ -123,8 +145,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     The version block decides how header lines are split; a line that does not fit is
     skipped up to the next one that does. A body shorter than declared is ``truncated``.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    data = unpacked(data)
     at, version = 0, 1
     while at < len(data):
         end = data.find(b"\n", at)
@@ -327,9 +348,7 @@ def convert(spark: SparkSession, arc_folder: str, revisit_bytes: int = REVISIT_B
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields and block of each record of a WARC file, plain or in gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    data, at = unpacked(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
