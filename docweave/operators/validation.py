@@ -102,6 +102,33 @@ REQUEST_RULES = {
         r"<" + WS + r"*/",
     ],
 }
+# Report texts; %d and {} stand for figures and found text.
+MESSAGES = {
+    "none": "Document content is None",
+    "empty": "Document content is empty",
+    "short": "Content length (%d) is below minimum ({})",
+    "long": "Content length (%d) exceeds maximum ({})",
+    "encoding": "Content contains invalid characters",
+    "xss": "Potential XSS attack pattern detected: ",
+    "SECURITY_SQL_INJECTION": "SQL injection pattern detected",
+    "SECURITY_PATH_TRAVERSAL": "Path traversal pattern detected",
+    "SECURITY_COMMAND_INJECTION": "Command injection pattern detected",
+    "emails": "PII_DETECTION: Found %d email address(es)",
+    "phones": "PII_DETECTION: Found %d phone number(s)",
+    "ssn": "PII_DETECTION: Found SSN pattern(s)",
+    "card": "PII_DETECTION: Found credit card pattern(s)",
+    "email_error": "Email addresses detected: ",
+    "phone_error": "Phone numbers detected: ",
+    "ssn_error": "SSN patterns detected",
+    "card_error": "Credit card patterns detected",
+    "format": "Unsupported file format: ",
+    "link": "Markdown contains dangerous link: ",
+    "page": "Invalid page number: ",
+    "no_page": "PDF metadata missing page number",
+    "no_metadata": "Document has no metadata",
+    "no_source": "Metadata missing required field: 'source'",
+    "recommended": "Metadata missing recommended field: '{}'",
+}
 # ------------------------------------------------------------------------------------
 
 
@@ -159,23 +186,23 @@ def content_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
     empty = content.isNull() | (length == 0)
     return _present(
         [
-            F.when(content.isNull(), _error("EMPTY_CONTENT", "Document content is None")).when(
-                empty, _error("EMPTY_CONTENT", "Document content is empty")
+            F.when(content.isNull(), _error("EMPTY_CONTENT", MESSAGES["none"])).when(
+                empty, _error("EMPTY_CONTENT", MESSAGES["empty"])
             ),
             F.when(
                 ~empty & (length < opt.min_length),
                 _error(
                     "CONTENT_TOO_SHORT",
-                    F.format_string(f"Content length (%d) is below minimum ({opt.min_length})", length),
+                    F.format_string(MESSAGES["short"].format(opt.min_length), length),
                 ),
             ),
             F.when(
                 ~empty & (length > opt.max_length),
                 _error(
-                    "CONTENT_TOO_LONG", F.format_string(f"Content length (%d) exceeds maximum ({opt.max_length})", length)
+                    "CONTENT_TOO_LONG", F.format_string(MESSAGES["long"].format(opt.max_length), length)
                 ),
             ),
-            F.when(~empty & ~F.is_valid_utf8(content), _error("ENCODING_ERROR", "Content contains invalid characters")),
+            F.when(~empty & ~F.is_valid_utf8(content), _error("ENCODING_ERROR", MESSAGES["encoding"])),
         ]
     )
 
@@ -188,13 +215,11 @@ def security_flags(content: Column) -> dict[str, Column]:
 def security_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
     if not opt.security:
         return F.array().cast("array<struct<code:string,message:string>>")
-    label = {
-        "SECURITY_XSS": "Potential XSS attack pattern detected",
-        "SECURITY_SQL_INJECTION": "SQL injection pattern detected",
-        "SECURITY_PATH_TRAVERSAL": "Path traversal pattern detected",
-        "SECURITY_COMMAND_INJECTION": "Command injection pattern detected",
-    }
-    return _present([F.when(flag, _error(code, label[code])) for code, flag in security_flags(content).items()])
+    # the earliest match of any pattern of the family, as one pattern would find it
+    first = F.regexp_extract(content, "|".join(f"(?:{p})" for p in DOCUMENT_RULES["SECURITY_XSS"]), 0)
+    found = F.concat(F.lit(MESSAGES["xss"]), F.substring(first, 1, 50), F.lit("..."))
+    text = {code: found if code == "SECURITY_XSS" else MESSAGES[code] for code in DOCUMENT_RULES}
+    return _present([F.when(flag, _error(code, text[code])) for code, flag in security_flags(content).items()])
 
 
 def pii_count(content: Column, kind: str) -> Column:
@@ -211,10 +236,10 @@ def pii_warnings(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
     emails, phones = pii_count(content, "email"), pii_count(content, "phone")
     return _present(
         [
-            F.when(emails > 0, F.format_string("PII_DETECTION: Found %d email address(es)", emails)),
-            F.when(phones > 0, F.format_string("PII_DETECTION: Found %d phone number(s)", phones)),
-            F.when(content.rlike(PII_RULES["ssn"]), F.lit("PII_DETECTION: Found SSN pattern(s)")),
-            F.when(content.rlike(PII_RULES["card"]), F.lit("PII_DETECTION: Found credit card pattern(s)")),
+            F.when(emails > 0, F.format_string(MESSAGES["emails"], emails)),
+            F.when(phones > 0, F.format_string(MESSAGES["phones"], phones)),
+            F.when(content.rlike(PII_RULES["ssn"]), F.lit(MESSAGES["ssn"])),
+            F.when(content.rlike(PII_RULES["card"]), F.lit(MESSAGES["card"])),
         ]
     )
 
@@ -229,10 +254,10 @@ def pii_errors(content: Column, opt: ValidationOptions = DEFAULT) -> Column:
 
     return _present(
         [
-            F.when(first("email") != "", _error("PII_EMAIL", F.concat(F.lit("Email addresses detected: "), first("email")))),
-            F.when(first("phone") != "", _error("PII_PHONE", F.concat(F.lit("Phone numbers detected: "), first("phone")))),
-            F.when(content.rlike(PII_RULES["ssn"]), _error("PII_SSN", "SSN patterns detected")),
-            F.when(content.rlike(PII_RULES["card"]), _error("PII_CREDIT_CARD", "Credit card patterns detected")),
+            F.when(first("email") != "", _error("PII_EMAIL", F.concat(F.lit(MESSAGES["email_error"]), first("email")))),
+            F.when(first("phone") != "", _error("PII_PHONE", F.concat(F.lit(MESSAGES["phone_error"]), first("phone")))),
+            F.when(content.rlike(PII_RULES["ssn"]), _error("PII_SSN", MESSAGES["ssn_error"])),
+            F.when(content.rlike(PII_RULES["card"]), _error("PII_CREDIT_CARD", MESSAGES["card_error"])),
         ]
     )
 
@@ -247,15 +272,15 @@ def format_errors(content: Column, metadata: Column) -> Column:
         [
             F.when(
                 (kind != "") & ~kind.isin(SUPPORTED_TYPES),
-                _error("UNSUPPORTED_FORMAT", F.concat(F.lit("Unsupported file format: "), kind)),
+                _error("UNSUPPORTED_FORMAT", F.concat(F.lit(MESSAGES["format"]), kind)),
             ),
             F.when(
                 kind.isin("markdown", "md") & (link != ""),
-                _error("MARKDOWN_DANGEROUS_LINK", F.concat(F.lit("Markdown contains dangerous link: "), link)),
+                _error("MARKDOWN_DANGEROUS_LINK", F.concat(F.lit(MESSAGES["link"]), link)),
             ),
             F.when(
                 (kind == "pdf") & page.isNotNull() & bad_page,
-                _error("INVALID_METADATA", F.concat(F.lit("Invalid page number: "), page)),
+                _error("INVALID_METADATA", F.concat(F.lit(MESSAGES["page"]), page)),
             ),
         ]
     )
@@ -264,7 +289,7 @@ def format_errors(content: Column, metadata: Column) -> Column:
 def format_warnings(metadata: Column) -> Column:
     kind = F.lower(F.try_element_at(metadata, F.lit("file_type")))
     no_page = F.try_element_at(metadata, F.lit("page")).isNull()
-    return _present([F.when((kind == "pdf") & no_page, F.lit("PDF metadata missing page number"))])
+    return _present([F.when((kind == "pdf") & no_page, F.lit(MESSAGES["no_page"]))])
 
 
 def metadata_errors(metadata: Column) -> Column:
@@ -272,9 +297,9 @@ def metadata_errors(metadata: Column) -> Column:
     none = metadata.isNull() | (F.size(metadata) == 0)
     return _present(
         [
-            F.when(none, _error("MISSING_METADATA", "Document has no metadata")).when(
+            F.when(none, _error("MISSING_METADATA", MESSAGES["no_metadata"])).when(
                 ~F.map_contains_key(metadata, "source"),
-                _error("MISSING_METADATA", "Metadata missing required field: 'source'"),
+                _error("MISSING_METADATA", MESSAGES["no_source"]),
             )
         ]
     )
@@ -284,7 +309,7 @@ def metadata_warnings(metadata: Column) -> Column:
     some = metadata.isNotNull() & (F.size(metadata) > 0)
     return _present(
         [
-            F.when(some & ~F.map_contains_key(metadata, key), F.lit(f"Metadata missing recommended field: '{key}'"))
+            F.when(some & ~F.map_contains_key(metadata, key), F.lit(MESSAGES["recommended"].format(key)))
             for key in ("file_type", "filename")
         ]
     )

@@ -9,6 +9,8 @@ from docweave.operators import chunking, graph, ingest, tenants, vectors, versio
 from docweave.plans import inputs as inp
 from docweave.plans.documents import CHUNKS_SQL, docs
 from docweave.plans.registry import query
+from docweave.session import work_path
+from docweave.sources import store
 from docweave.sources.tables import table
 
 # ---- collections -------------------------------------------------------------------------
@@ -398,6 +400,22 @@ def shortest_path_chain(spark, d):
     return found.withColumn("path", F.array_join("path", ">"))
 
 
+@query(
+    "graph_export",
+    f"""WITH {inp.TRADE_SQL}
+        SELECT 'node' AS kind, doc_id AS a, NULL::VARCHAR AS b, NULL::VARCHAR AS relationship_type, NULL::DOUBLE AS weight FROM nodes
+        UNION ALL SELECT 'edge', source_doc, target_doc, relationship_type, weight FROM edges""",
+)
+def graph_export(spark, d):
+    """Nodes and edges written to the shared folder and read back."""
+    path = work_path(spark, "graph")
+    store.export_graph(*inp.trade_graph(spark, d), path)
+    nodes = spark.read.json(f"{path}/nodes", schema="doc_id string").select(F.lit("node").alias("kind"), F.col("doc_id").alias("a"))
+    edges = spark.read.json(f"{path}/edges", schema="source_doc string, target_doc string, relationship_type string, weight double")
+    edges = edges.select(F.lit("edge").alias("kind"), F.col("source_doc").alias("a"), F.col("target_doc").alias("b"), "relationship_type", "weight")
+    return edges.unionByName(nodes, allowMissingColumns=True)
+
+
 @query(
     "graph_clusters",
     f"""WITH RECURSIVE {inp.SIMILAR_SQL.strip()},

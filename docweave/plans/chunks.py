@@ -39,26 +39,14 @@ def all_questions(spark: SparkSession, d: str) -> DataFrame:
     return _embedded(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
 
 
-def _vectors_sql(name: str, rows: str) -> str:
-    return f"""
-{name}_counts AS MATERIALIZED (
-  SELECT id, b, count(*) AS n FROM (
-    SELECT id, ('0x' || substr(md5(term), 1, 7))::BIGINT % {DIM} AS b
-    FROM (SELECT id, unnest(regexp_extract_all(lower(text), '{inp.WORDS}')) AS term FROM ({rows}))) GROUP BY 1, 2),
-{name} AS MATERIALIZED (
-  SELECT r.id, list(coalesce(n, 0)::DOUBLE ORDER BY s.b) AS embedding
-  FROM (SELECT id FROM ({rows})) r CROSS JOIN (SELECT unnest(range({DIM})) AS b) s
-  LEFT JOIN {name}_counts c ON c.id = r.id AND c.b = s.b GROUP BY r.id)"""
-
-
 _CHUNK_TEXTS = "SELECT id, text FROM chunk_texts"
 BASE = f"""{CHUNKS_SQL},
 chunk_texts AS MATERIALIZED (
   SELECT source || '_' || substr(sha256(chunks[i]), 1, 16) AS id, any_value(chunks[i]) AS text, any_value(source) AS source
   FROM (SELECT source, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM chunked) GROUP BY 1),
 questions AS (SELECT item_id AS query_id, text FROM benchmark),
-{_vectors_sql('chunk_vectors', _CHUNK_TEXTS)},
-{_vectors_sql('question_vectors', 'SELECT item_id AS id, text FROM benchmark')}"""
+{inp.term_vectors_sql('chunk_vectors', _CHUNK_TEXTS, DIM)},
+{inp.term_vectors_sql('question_vectors', 'SELECT item_id AS id, text FROM benchmark', DIM)}"""
 
 
 def _semantic_sql(k: int) -> str:

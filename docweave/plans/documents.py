@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,7 +185,7 @@ def _prompt_sql(question: str, context: str) -> str:
     "prompt_table",
     f"""WITH {inp.ANSWERED_SQL}
         SELECT conv_id, turn, sha256(p) AS prompt_hash, length(p) AS chars
-        FROM (SELECT conv_id, turn, {_prompt_sql('question', "'[Source 1] ' || answer")} AS p FROM answered)""",
+        FROM (SELECT conv_id, turn, {_prompt_sql('question', "coalesce('[Source 1] ' || answer, '')")} AS p FROM answered)""",
 )
 def prompt_table(spark, d):
     pairs = inp.answered(spark, d).withColumn("query_id", F.struct("conv_id", "turn"))
@@ -228,11 +230,10 @@ fixed AS (
   SELECT doc_id, source, list_filter(list_transform(range(0, length(text), 800),
            lambda i: {inp.strip_sql('substr(text, i + 1, 1000)')}), lambda c: c <> '') AS chunks
   FROM documents)"""
-CHUNKS_SQL = f"""
-separated AS (
-  SELECT doc_id, source, text, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10)
-         WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, '. ') THEN '. '
-         WHEN contains(text, ' ') THEN ' ' END AS sep FROM documents),
+def _chunks_sql(separators: str) -> str:
+    """CTEs up to ``chunked``; ``separators`` are the branches that pick one."""
+    return f"""
+separated AS (SELECT doc_id, source, text, CASE {separators} END AS sep FROM documents),
 folded AS (SELECT doc_id, source, {_fold_sql(1000, 200)} AS f FROM separated WHERE sep IS NOT NULL),
 split AS (
   SELECT doc_id, source, CASE WHEN f.cur <> '' THEN list_append(f.out, {inp.strip_sql('f.cur')}) ELSE f.out END AS chunks
@@ -243,6 +244,13 @@ chunked AS (
   FROM fixed f LEFT JOIN split s ON s.doc_id = f.doc_id)"""
 
 
+CHUNKS_SQL = _chunks_sql(
+    """WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10)
+       WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, '. ') THEN '. '
+       WHEN contains(text, ' ') THEN ' '"""
+)
+
+
 def _chunk_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("original_doc_id").alias("doc_id"),
@@ -265,6 +273,15 @@ def chunk_documents(spark, d):
     return _chunk_rows(chunking.chunk_documents(docs(spark, d), "text"))
 
 
+@query(
+    "chunk_separators",
+    _chunk_rows_sql(_chunks_sql("WHEN contains(text, ' | ') THEN ' | ' WHEN contains(text, ', ') THEN ', '"), "chunked"),
+)
+def chunk_separators(spark, d):
+    """Separators of the caller: table cells, then clauses."""
+    return _chunk_rows(chunking.chunk_documents(docs(spark, d), "text", separators=[" | ", ", "]))
+
+
 @query("chunk_fixed", _chunk_rows_sql(FIXED_SQL, "fixed"))
 def chunk_fixed(spark, d):
     return _chunk_rows(chunking.explode_chunks(docs(spark, d), chunking.fixed_chunks(F.col("text"))))
@@ -521,12 +538,13 @@ def _described(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", "lang", F.col("text").alias("content"), metadata.alias("metadata"))
 
 
-def _described_sql(minimum: int, strict: bool) -> str:
+def _described_sql(minimum: int, strict: bool, rules: bool = True, maximum: int = validation.DEFAULT.max_length) -> str:
     has = "source <> 'src4'"
     kind = f"CASE WHEN {has} AND source <> 'src1' THEN CASE lang WHEN 'en' THEN 'txt' WHEN 'de' THEN 'md' WHEN 'fr' THEN 'pdf' ELSE 'docx' END END"
     errors = [
         f"CASE WHEN {LENGTH_SQL} = 0 THEN 'EMPTY_CONTENT' WHEN {LENGTH_SQL} < {minimum} THEN 'CONTENT_TOO_SHORT' END",
-        *[f"CASE WHEN {any_sql('text', p)} THEN '{code}' END" for code, p in validation.DOCUMENT_RULES.items()],
+        f"CASE WHEN {LENGTH_SQL} > {maximum} THEN 'CONTENT_TOO_LONG' END",
+        *[f"CASE WHEN {any_sql('text', p)} THEN '{code}' END" for code, p in validation.DOCUMENT_RULES.items() if rules],
     ]
     pii = {k: match_sql("text", p) for k, p in validation.PII_RULES.items()}
     if strict:
@@ -552,6 +570,9 @@ def _described_sql(minimum: int, strict: bool) -> str:
         "CASE WHEN source = 'src3' THEN 'Metadata missing recommended field: ''filename''' END",
     ]
 
+    if not rules:
+        warnings = warnings[4:]
+
     def present(items: list[str]) -> str:
         return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
@@ -562,8 +583,8 @@ def _described_sql(minimum: int, strict: bool) -> str:
     checked AS (SELECT doc_id, lang, {promoted} AS errors, w AS warnings FROM listed)"""
 
 
-def _checked_sql(minimum: int, strict: bool) -> str:
-    return f"""WITH {_described_sql(minimum, strict)}
+def _checked_sql(minimum: int, strict: bool, rules: bool = True, maximum: int = validation.DEFAULT.max_length) -> str:
+    return f"""WITH {_described_sql(minimum, strict, rules, maximum)}
         SELECT doc_id, len(errors) = 0 AS is_valid, array_to_string(errors, ',') AS errors,
                array_to_string(warnings, ';') AS warnings FROM checked"""
 
@@ -587,6 +608,12 @@ def validate_strict(spark, d):
     return _checked(validation.validate(_described(spark, d), opt=validation.STRICT))
 
 
+@query("validate_permissive", _checked_sql(10, False, False, 5000))
+def validate_permissive(spark, d):
+    """Few checks, and a limit that many texts exceed."""
+    return _checked(validation.validate(_described(spark, d), opt=replace(validation.PERMISSIVE, max_length=5000)))
+
+
 @query(
     "validation_summary",
     f"""WITH {_described_sql(50, False)}

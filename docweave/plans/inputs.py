@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.ranks import bucketed_row_number
 from docweave.functions.text import SPACE_CHARS
 from docweave.operators.requests import window_start
+from docweave.operators.vectors import embed_with, term_counts_model
 from docweave.plans.registry import lit
 from docweave.sources.tables import spread, table
 
@@ -22,35 +23,66 @@ def strip_sql(expr: str) -> str:
 # ---- documents and vectors ------------------------------------------------------------
 
 
+VECTOR_DIM = 64  # of the supplied vectors
+
+
+def _with_vectors(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Supplied vectors by number; texts without one are embedded by their terms."""
+    joined = texts.join(vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias("_given")), key, "left")
+    open_ = joined.withColumn("_open", F.when(F.col("_given").isNull(), F.lower(F.coalesce("text", F.lit("")))))
+    made = embed_with(open_, "_open", term_counts_model(VECTOR_DIM))
+    return made.withColumn("embedding", F.coalesce("_given", "embedding")).drop("_given", "_open")
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have a vector; the collection is the language."""
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(
-        F.col("doc_id").alias("id"),
+    """All documents with a vector; the collection is the language."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return _with_vectors(docs, table(spark, d, "embeddings"), "id").select(
+        "id",
         "text",
         F.col("lang").alias("collection"),
         "source",
-        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("filename"),
+        F.concat("source", F.lit("/"), F.col("id").cast("string")).alias("filename"),
         "embedding",
     )
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark texts as queries, with the vector of the same number."""
-    items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
-    return items.join(vectors, items["item_id"] == vectors["vec_id"]).select(
-        F.col("item_id").alias("query_id"), "text", "embedding"
-    )
+    """All benchmark texts as queries, with the vector of the same number."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _with_vectors(items, table(spark, d, "embeddings"), "query_id").select("query_id", "text", "embedding")
+
+
+WORDS = r"[\p{L}\p{N}_]+"
 
 
-CORPUS_SQL = """
+def term_vectors_sql(name: str, rows: str, dim: int) -> str:
+    """CTEs with the term count vectors of ``rows(id, text)``."""
+    return f"""
+{name}_counts AS MATERIALIZED (
+  SELECT id, b, count(*) AS n FROM (
+    SELECT id, ('0x' || substr(md5(term), 1, 7))::BIGINT % {dim} AS b
+    FROM (SELECT id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS term FROM ({rows}))) GROUP BY 1, 2),
+{name} AS MATERIALIZED (
+  SELECT r.id, list(coalesce(n, 0)::DOUBLE ORDER BY s.b) AS embedding
+  FROM (SELECT id FROM ({rows})) r CROSS JOIN (SELECT unnest(range({dim})) AS b) s
+  LEFT JOIN {name}_counts c ON c.id = r.id AND c.b = s.b GROUP BY r.id)"""
+
+
+def _open_sql(table_: str, key: str) -> str:
+    return f"SELECT {key} AS id, text FROM {table_} WHERE {key} NOT IN (SELECT vec_id FROM embeddings)"
+
+
+CORPUS_SQL = f"""
+{term_vectors_sql("open_documents", _open_sql("documents", "doc_id"), VECTOR_DIM)},
+{term_vectors_sql("open_questions", _open_sql("benchmark", "item_id"), VECTOR_DIM)},
 corpus AS (
   SELECT d.doc_id AS id, d.text, d.lang AS collection, d.source,
-         d.source || '/' || d.doc_id::VARCHAR AS filename, e.embedding::DOUBLE[] AS embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+         d.source || '/' || d.doc_id::VARCHAR AS filename, coalesce(e.embedding::DOUBLE[], o.embedding) AS embedding
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN open_documents o ON o.id = d.doc_id),
 questions AS (
-  SELECT b.item_id AS query_id, b.text, e.embedding::DOUBLE[] AS embedding
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
+  SELECT b.item_id AS query_id, b.text, coalesce(e.embedding::DOUBLE[], o.embedding) AS embedding
+  FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id LEFT JOIN open_questions o ON o.id = b.item_id)"""
 
 
 def cosine_hits_sql(name: str, k: int, cond: str = "true") -> str:
@@ -64,9 +96,6 @@ def cosine_hits_sql(name: str, k: int, cond: str = "true") -> str:
   WHERE rank <= {k})"""
 
 
-WORDS = r"[\p{L}\p{N}_]+"
-
-
 def bm25_stats_sql(texts: str = "SELECT doc_id, text FROM documents") -> str:
     """CTEs with the statistics of all terms of ``texts(doc_id, text)``; each is computed once."""
     return f"""
@@ -189,20 +218,20 @@ tenants AS (SELECT n_nationkey AS tenant_id, n_name AS name,
 
 
 def answered(spark: SparkSession, d: str) -> DataFrame:
-    """User turns with the assistant turn that follows them."""
+    """User turns with the assistant turn that directly follows them, if one does."""
     turns = table(spark, d, "conversations")
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     answers = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return asked.join(answers, ["conv_id", "turn"])
+    return asked.join(answers, ["conv_id", "turn"], "left")
 
 
 ANSWERED_SQL = """
 answered AS (
   SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
-  FROM conversations u JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"""
+  FROM (SELECT * FROM conversations WHERE role = 'user') u LEFT JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant')"""
 
 
 # ---- graphs ----------------------------------------------------------------------------------

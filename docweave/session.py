@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "doc
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A local session that was made without it gets one folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="docweave-")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/docweave-{os.getpid()}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:

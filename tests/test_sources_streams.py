@@ -190,7 +190,7 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     chunks = ingest.read_chunks(spark, out).collect()
     assert len(chunks) == 3 and all(len(r.embedding) == 64 for r in chunks)
     rejected = ingest.read_rejected(spark, out).collect()
-    assert [r.errors for r in rejected] == [["[SECURITY_XSS] Potential XSS attack pattern detected"]]
+    assert [r.errors for r in rejected] == [["[SECURITY_XSS] Potential XSS attack pattern detected: <script>x</script>..."]]
     stream = files.stream_directory(spark, str(docs_dir))
     model = lambda df, c: vectors.embed_with(df, c, vectors.term_counts_model(8))
     ingest.start_ingest(stream, files.metadata_map(), out, str(tmp_path / "cp2"), opt, 20, 5, model).awaitTermination()
