@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.ranks import hot_keys, repeat_hot, salt_rows, skew_join, top_per_group
 from docweave.operators.vectors import exact_topk
-from docweave.session import cut_lineage
+from docweave.session import cut_lineage, placed
 
 RELATIONSHIP_TYPES = ["citation", "reference", "similarity", "hierarchy", "related"]
 
@@ -67,22 +67,31 @@ def related(
     return top_per_group(best, ["doc_id"], order, max_results)
 
 
-def _links(edges: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame]:
-    """Distinct (src, dst) pairs, both ways when undirected, and the hubs among ``src``.
+def _spread(pairs: DataFrame, degrees: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Links stored by their ``src``, and the hubs among those.
 
-    Links of a hub carry salts, so that per-node state meets them in many tasks.
-    Both tables are stored once, as every round reads them.
+    Links of a hub carry salts, so that per-node state meets them in many tasks. The
+    table is partitioned and sorted once; in every round only the state moves.
     """
+    hubs = cut_lineage(hot_keys(degrees, ["src"], "n"))
+    if hubs.isEmpty():
+        return placed(pairs, "src"), None
+    return placed(salt_rows(pairs, hubs, ["src"], ["dst"]), "src", "_salt"), hubs
+
+
+def _links(edges: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (src, dst) pairs, both ways when undirected, and the hubs among ``src``."""
     out = edges.select(F.col("source_doc").alias("src"), F.col("target_doc").alias("dst"))
     if not directed:
         out = out.union(out.select("dst", "src"))
     pairs = cut_lineage(out.where("src != dst").distinct())
-    hubs = cut_lineage(hot_keys(pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")), ["src"], "n"))
-    return cut_lineage(salt_rows(pairs, hubs, ["src"], ["dst"])), hubs
+    return _spread(pairs, pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _along(state: DataFrame, links: DataFrame, hubs: DataFrame) -> DataFrame:
+def _along(state: DataFrame, links: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """State of ``src`` nodes next to each of their links."""
+    if hubs is None:
+        return state.join(links, "src")
     return repeat_hot(state, hubs, ["src"]).join(links, ["src", "_salt"]).drop("_salt")
 
 
@@ -213,12 +222,9 @@ def pagerank(
     strength = F.sum("weight") if weighted else F.lit(1.0)
     pairs = edges.groupBy(F.col("source_doc").alias("src"), F.col("target_doc").alias("dst")).agg(strength.alias("w"))
     pairs = cut_lineage(pairs)
-    totals = pairs.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n"))
-    hubs = cut_lineage(hot_keys(totals, ["src"], "n"))
-    shared = salt_rows(pairs, hubs, ["src"], ["dst"]).join(
-        repeat_hot(totals.drop("n"), hubs, ["src"]), ["src", "_salt"]
-    )
-    links = cut_lineage(shared.select("src", "dst", "_salt", (F.col("w") / F.col("out")).alias("share")))
+    totals = cut_lineage(pairs.groupBy("src").agg(F.sum("w").alias("out"), F.count(F.lit(1)).alias("n")))
+    shared = skew_join(pairs, totals.drop("n"), ["src"], ["dst"], hot_keys(totals, ["src"], "n"))
+    links, hubs = _spread(shared.select("src", "dst", (F.col("w") / F.col("out")).alias("share")), totals)
     base = cut_lineage(
         nodes.select(F.col("doc_id").alias("node"))
         .distinct()

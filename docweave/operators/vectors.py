@@ -374,23 +374,21 @@ def misfits(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     short table of collections and their dimensions meets the queries.
     """
 
+    named = "collection" in queries.columns or "collection" in vectors.columns
+    on = ["collection"] if named else []
+
     def shaped(df: DataFrame) -> DataFrame:
-        df = df if "collection" in df.columns else df.withColumn("collection", F.lit("default"))
+        df = df.withColumn("collection", F.lit("default")) if named and "collection" not in df.columns else df
         return df.withColumn("dimension", F.coalesce(F.array_size("embedding"), F.lit(0)))
 
-    kept = shaped(vectors).where("dimension > 0").groupBy("collection", "dimension").agg(F.lit(True).alias("_fits"))
-    known = kept.groupBy("collection").agg(F.lit(True).alias("_known"))
-    reason = (
-        F.when(F.col("dimension") == 0, "no vector").when(F.col("_known").isNull(), "unknown collection").otherwise("dimension")
-    )
-    return (
-        shaped(queries)
-        .select("query_id", "collection", "dimension")
-        .join(kept, ["collection", "dimension"], "left")
-        .join(known, "collection", "left")
-        .where("_fits IS NULL")
-        .select("query_id", F.col("dimension").cast("long").alias("dimension"), reason.alias("reason"))
-    )
+    kept = shaped(vectors).where("dimension > 0").groupBy(*on, "dimension").agg(F.lit(True).alias("_fits"))
+    asked = shaped(queries).select("query_id", *on, "dimension").join(kept, [*on, "dimension"], "left").where("_fits IS NULL")
+    reason = F.when(F.col("dimension") == 0, "no vector")
+    if named:
+        asked = asked.join(kept.groupBy("collection").agg(F.lit(True).alias("_known")), "collection", "left")
+        reason = reason.when(F.col("_known").isNull(), "unknown collection")
+    reason = reason.otherwise("dimension")
+    return asked.select("query_id", F.col("dimension").cast("long").alias("dimension"), reason.alias("reason"))
 
 
 # ---- approximate search --------------------------------------------------------------------

@@ -52,3 +52,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """A checkpoint that stays hash-partitioned and sorted by ``keys``: joins on them do not move it again.
+
+    An adaptive plan does not tell its partitioning, so this one table is planned
+    without; it has as many partitions as a shuffle of the session.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

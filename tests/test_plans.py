@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docweave.operators import validation, vectors
+from docweave.operators import graph, validation, vectors
+from docweave.plans.registry import QUERIES
 from docweave.sources.tables import table
 
 
@@ -41,7 +42,7 @@ def test_bm25_moves_no_postings(spark, small):
 
 
 def test_no_cross_joins(spark, small):
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         if name.startswith("stream_"):
             continue
         text = plan(fn(spark, small))
@@ -58,3 +59,18 @@ def test_validation_is_one_projection(spark, small):
 def test_window_aggregates_combine_before_the_shuffle(spark, small):
     for name in ("request_rate_5m", "success_ratio_5m", "over_limit", "dedup_exact", "version_latest"):
         assert "partial_" in plan(entry.queries()[name](spark, small)), name
+
+
+def test_links_stay_in_place_over_the_rounds(spark, few_rows_are_hot):
+    edges = spark.range(300).selectExpr("id % 10 AS source_doc", "id AS target_doc")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for shown, hot in ((edges, True), (edges.where("false"), False)):
+            links, hubs = graph._links(shown, False)
+            assert (hubs is not None) is hot
+            text = plan(graph._along(links.select("src").distinct().withColumn("x", F.lit(1)), links, hubs))
+            scan = text[: text.rindex("Scan ExistingRDD")].splitlines()
+            assert "Exchange" not in scan[-2] and "Sort" not in scan[-2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

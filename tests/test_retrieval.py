@@ -199,3 +199,17 @@ def test_lookup_fills_source(spark):
     docs = spark.createDataFrame([("a", "text", None)], "doc_id string, document string, source string")
     r = retrieval.lookup(hits(spark, [(1, "a", 0.9, 1), (1, "z", 0.5, 2)]), docs).orderBy("rank").collect()
     assert [(x.document, x.source) for x in r] == [("text", "unknown"), (None, "unknown")]
+
+
+def test_queries_of_other_dimensions_do_not_disturb(spark):
+    v = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("b", 3, [1.0, 0.0, 0.0]), ("a", 4, None)], "collection string, id long, embedding array<double>")
+    asked = [(1, "a", [1.0, 0.1]), (2, "a", [1.0, 0.0, 0.0]), (3, "b", [1.0, 1.0, 0.0]), (4, "c", [1.0, 0.0]), (5, "a", [])]
+    q = spark.createDataFrame(asked, "query_id long, collection string, embedding array<double>")
+    for bound in (4096, 2):
+        got = vectors.exact_topk(q, v, 1, query_bound=bound, vector_block=2)
+        assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 1), (3, 3)]
+    assert sorted((r.query_id, r.reason) for r in vectors.misfits(q, v).collect()) == [(2, "dimension"), (4, "unknown collection"), (5, "no vector")]
+    plain = vectors.misfits(q.drop("collection"), v.drop("collection"))
+    assert [(r.query_id, r.reason) for r in plain.collect()] == [(5, "no vector")]
+    with pytest.raises(TypeError):
+        vectors.exact_topk(q, v.withColumn("id", F.col("id").cast("double")), 1)
