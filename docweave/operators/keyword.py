@@ -28,16 +28,20 @@ class TermIndex:
     def write(self, path: str) -> TermIndex:
         """Store the three tables; returns the stored index.
 
-        Postings are sorted by term and document over all files, so a search
-        skips files without its terms and a frequent term fills several files.
+        All postings of a document are in one file, sorted by term: a search skips
+        row groups without its terms, and the scores of a document meet before the shuffle.
         """
-        ordered = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        ordered.write.mode("overwrite").parquet(f"{path}/postings")
+        _write_postings(self.postings, path)
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         return read_index(self.postings.sparkSession, path)
 
 
+def _write_postings(postings: DataFrame, path: str) -> None:
+    placed = postings.repartition("doc_id").sortWithinPartitions("term", "doc_id")
+    placed.write.mode("overwrite").parquet(f"{path}/postings")
+
+
 def read_index(spark: SparkSession, path: str) -> TermIndex:
     return TermIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
 
@@ -105,6 +109,23 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return TermIndex(posting_table(tokenized), term_table(statistics), corpus_table(statistics))
 
 
+def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> TermIndex:
+    """Build and store an index with one pass over the texts.
+
+    All figures come from the stored postings; only the number of documents, which
+    counts those without any term, comes from ``docs``.
+    """
+    spark = docs.sparkSession
+    _write_postings(posting_table(_document_tokens(docs, doc_id, text)), path)
+    postings = spark.read.parquet(f"{path}/postings")
+    counts = cut_lineage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")))
+    n_docs, n_terms = docs.count(), counts.agg(F.sum("n")).first()[0] or 0
+    _weighted_terms(counts, n_docs).write.mode("overwrite").parquet(f"{path}/terms")
+    corpus = spark.createDataFrame([(n_docs, n_terms / n_docs if n_docs else 1.0)], "n_docs long, avg_len double")
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    return read_index(spark, path)
+
+
 def _sendable(terms: DataFrame) -> bool:
     """Whether a table of terms is small enough to go to every task; counts its bytes."""
     size = terms.agg(F.sum(F.octet_length("term") + 40).alias("bytes")).first()

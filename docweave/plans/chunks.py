@@ -67,7 +67,7 @@ def chunk_topk(spark, d):
 def _hybrid(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     """Rank fusion of the vector search and the stored term index of the same chunks."""
     asked = all_questions(spark, d)
-    index = keyword.build_index(chunks, "id", "content").write(work_path(spark, "chunk-index"))
+    index = keyword.write_index(chunks, work_path(spark, "chunk-index"), "id", "content")
     return retrieval.retrieve(
         lambda n: vectors.exact_topk(asked, chunks, n), lambda n: keyword.search_index(index, asked, n), 5
     )

@@ -36,7 +36,7 @@ def _with_vectors(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """All documents with a vector; the collection is the language."""
-    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    docs = spread(table(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "id")
     return _with_vectors(docs, table(spark, d, "embeddings"), "id").select(
         "id",
         "text",

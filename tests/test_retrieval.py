@@ -213,3 +213,12 @@ def test_queries_of_other_dimensions_do_not_disturb(spark):
     assert [(r.query_id, r.reason) for r in plain.collect()] == [(5, "no vector")]
     with pytest.raises(TypeError):
         vectors.exact_topk(q, v.withColumn("id", F.col("id").cast("double")), 1)
+
+
+def test_index_of_one_pass_equals_the_other(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, ""), (4, None), (5, "b d e f")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "b c"), (2, "zz")], "query_id long, text string")
+    one, two = keyword.write_index(docs, str(tmp_path / "i")), keyword.build_index(docs)
+    assert sorted(map(tuple, one.terms.collect())) == sorted(map(tuple, two.terms.collect()))
+    assert one.corpus.first().asDict() == two.corpus.first().asDict()
+    assert keyword.search_index(one, asked, 5).collect() == keyword.search_index(two, asked, 5).collect() != []
