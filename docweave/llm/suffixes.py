@@ -6,6 +6,8 @@ whose first words occur in one document alone are dropped before anything is sor
 The rest is sorted over the cluster by what follows, neighbours of different
 documents are compared, and each match is extended to the right and to the left.
 A range sort splits a passage with many copies over as many tasks as it needs.
+Where one seed repeats in a text, all its positions count; those with the same words on
+both sides travel as one row, since their matches are the same and run into each other.
 
 The neighbour with the longest common continuation need not be the one with the longest
 common past. Runs of ``min_words`` words around a suffix that its neighbours leave
@@ -51,8 +53,7 @@ def minimisers(words: np.ndarray, bounds: np.ndarray, min_words: int, seed_words
     """Selected word positions and the hash of the ``seed_words`` words there.
 
     Every run of ``min_words`` words of one text selects the position of its smallest
-    seed hash, the leftmost on ties. Where one seed repeats over and over, one
-    position per run length stays.
+    seed hash, the leftmost on ties, whatever stands around the run.
     """
     seeds = window_hashes(words, seed_words)
     width = min_words - seed_words + 1
@@ -63,12 +64,7 @@ def minimisers(words: np.ndarray, bounds: np.ndarray, min_words: int, seed_words
     ranked = ((seeds >> bits) << bits) | np.arange(len(seeds), dtype=np.uint64)
     best = _window_minima(ranked, width)[inside]
     at = np.unique(best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    found = seeds[at]
-    fresh = np.append(True, (found[1:] != found[:-1]) | (np.diff(at) >= width))
-    begin = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    turn = (at - begin) // width
-    keep = fresh | np.append(True, turn[1:] != turn[:-1])
-    return at[keep], found[keep]
+    return at, seeds[at]
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
@@ -83,11 +79,15 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: in
             )
 
 
-_SUFFIX = "follows binary, precedes binary, _doc long, doc_id long, pos int, seed long"
+_SUFFIX = "follows binary, precedes binary, _doc long, doc_id long, pos int, last int, seed long"
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """Each marked suffix with the codes of ``reach`` words after and before it, nearest first; 0 pads."""
+    """Each marked suffix with the codes of ``reach`` words after and before it, nearest first; 0 pads.
+
+    Neighbouring marks ``pos`` to ``last`` with equal codes, at most ``reach`` words apart, are
+    one row: ``reach`` matching words at each of them leave no word between them out.
+    """
     for batch in batches:
         marks = batch.column("marks")
         for lo, hi, words, bounds in _words(batch.column("text")):
@@ -100,17 +100,22 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.R
                     p = np.array([m["pos"] for m in mine[cut : cut + 4096]], np.int64)
                     right = padded[(p + reach)[:, None] + np.arange(reach)]
                     left = padded[(p + reach - 1)[:, None] - np.arange(reach)]
-                    n = len(p)
+                    values = np.array([m["value"] for m in mine[cut : cut + 4096]], np.int64)
+                    fresh = np.append(True, (values[1:] != values[:-1]) | (np.diff(p) > reach))
+                    fresh[1:] |= (right[1:] != right[:-1]).any(axis=1) | (left[1:] != left[:-1]).any(axis=1)
+                    k = np.flatnonzero(fresh)
+                    n = len(k)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            _binary(right),
-                            _binary(left),
+                            _binary(right[k]),
+                            _binary(left[k]),
                             pa.array([batch.column("_doc")[lo + i].as_py()] * n, pa.int64()),
                             pa.array([batch.column("doc_id")[lo + i].as_py()] * n, pa.int64()),
-                            pa.array(p.astype(np.int32)),
-                            pa.array([m["value"] for m in mine[cut : cut + 4096]], pa.int64()),
+                            pa.array(p[k].astype(np.int32)),
+                            pa.array(p[np.append(k[1:], len(p)) - 1].astype(np.int32)),
+                            pa.array(values[k]),
                         ],
-                        names=["follows", "precedes", "_doc", "doc_id", "pos", "seed"],
+                        names=["follows", "precedes", "_doc", "doc_id", "pos", "last", "seed"],
                     )
 
 
@@ -135,9 +140,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Sorted:
     """Suffixes in sorted order, with everything needed to compare them."""
 
-    def __init__(self, follows, precedes, doc, doc_id, known, pos, seed) -> None:
-        self.columns = (follows, precedes, doc, doc_id, known, pos, seed)
-        self.follows, self.precedes, self.doc, self.doc_id, self.known, self.pos, self.seed = self.columns
+    def __init__(self, follows, precedes, doc, doc_id, known, pos, last, seed) -> None:
+        self.columns = (follows, precedes, doc, doc_id, known, pos, last, seed)
+        self.follows, self.precedes, self.doc, self.doc_id, self.known, self.pos, self.last, self.seed = self.columns
 
     @staticmethod
     def of(batch: pa.RecordBatch, reach: int) -> _Sorted:
@@ -149,6 +154,7 @@ class _Sorted:
             ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
             ids.is_valid().to_numpy(zero_copy_only=False),
             batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64),
+            batch.column("last").to_numpy(zero_copy_only=False).astype(np.int64),
             batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64),
         )
 
@@ -171,7 +177,7 @@ class _Sorted:
 
 _FOUND = (
     "kind int, _doc long, doc_id long, start int, stop int, other_id long, "
-    "follows binary, precedes binary, pos int, seed long, open long"
+    "follows binary, precedes binary, pos int, last int, seed long, open long"
 )
 _SPAN, _EDGE, _OPEN = 0, 1, 2
 
@@ -195,6 +201,7 @@ def _edge_batch(s: _Sorted) -> pa.RecordBatch:
         follows=_binary(s.follows),
         precedes=_binary(s.precedes),
         pos=pa.array(s.pos),
+        last=pa.array(s.last),
         seed=pa.array(s.seed),
     )
 
@@ -224,7 +231,7 @@ class _Matcher:
                     _doc=pa.array(s.doc[i[k]]),
                     doc_id=ids(i[k]),
                     start=pa.array(s.pos[i[k]] - left[k]),
-                    stop=pa.array(s.pos[i[k]] + right[k]),
+                    stop=pa.array(s.last[i[k]] + right[k]),
                     other_id=ids(j[k]),
                 )
 
@@ -363,7 +370,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: i
     suffixes = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(suffixes.mapInArrow(lambda it: _compare(it, min_words, offsets, True), _FOUND), "found")
     # the outer runs of each partition, a few rows each: their neighbours may lie in the next one
-    outer = found.where(F.col("kind") == _EDGE).select(*order, "doc_id", "seed")
+    outer = found.where(F.col("kind") == _EDGE).select(*order, "doc_id", "last", "seed")
     outer = outer.repartition(1).sortWithinPartitions(*order)
     across = outer.mapInArrow(lambda it: _compare(it, min_words, offsets, False), _FOUND)
     columns = ["_doc", "doc_id", "start", "stop", "other_id"]

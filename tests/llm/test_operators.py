@@ -390,6 +390,37 @@ def test_hot_passage_over_many_partitions(spark):
     assert words_of(suffixes.repeated_passages(frame(spark, docs))) == brute.repeated_words(docs, 50)
 
 
+def test_repeated_words_beside_a_shared_passage(spark):
+    """The repeat begins or ends differently in each text; passages of just 50 words leave no other place to match."""
+    rng = random.Random(10)
+    line = "a hot line of eight words stands here"
+    docs = [(1, " ".join(["rep"] * 60 + [f"a{i}" for i in range(30)])), (2, " ".join(["other"] + ["rep"] * 45 + [f"a{i}" for i in range(30)]))]
+    for i in range(60):
+        beat = " ".join(rng.choice([["x"], ["x", "y"], line.split(), [f"b{i}", *line.split()]]))
+        tail = " ".join(f"t{i}-{j}" for j in range(rng.randrange(45)))
+        for j in range(3):
+            parts = [prose(rng, rng.randrange(40)), *[beat] * rng.randrange(70), tail, *[beat] * rng.randrange(9), prose(rng, rng.randrange(9))]
+            docs.append((10 * i + j + 10, " ".join(parts)))
+    docs += [(5, "the " * 9000), (6, "the " * 50 + "end")]
+    for part in (docs[:2], docs):
+        assert words_of(suffixes.repeated_passages(frame(spark, part))) == brute.repeated_words(part, 50)
+
+
+def test_equal_runs_select_equal_positions():
+    rng = np.random.default_rng(11)
+    runs = [rng.integers(0, 3, 50).astype(np.uint64) for _ in range(20)] + [np.ones(50, np.uint64)]
+    for run in runs:
+        chosen = set()
+        for n in range(0, 100, 7):
+            before = np.append(np.full(n, run[0]), rng.integers(0, 3, n).astype(np.uint64))
+            words = np.concatenate([before, run, np.full(n, run[-1])])
+            at, _ = suffixes.minimisers(words, np.array([0, len(words)]), 50, 8)
+            alone, _ = suffixes.minimisers(run, np.array([0, 50]), 50, 8)
+            chosen |= {int(alone[0]), *(int(a) for a in alone)}
+            assert set(alone + len(before)) <= set(at)
+        assert len(chosen) == 1
+
+
 # ---- op10
 
 
