@@ -135,11 +135,11 @@ class _Phrases(NamedTuple):
     terms: np.ndarray
     phrases: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    items: list[list[str | None]]
 
     @staticmethod
-    def of(rows: list[tuple[str, str]], window: int | None) -> _Phrases:
-        found: dict[tuple[int, ...], set[str]] = {}
+    def of(rows: list[tuple[str | None, str]], window: int | None) -> _Phrases:
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for lo, _, hashes, offsets in terms_of(pa.array([t for _, t in rows], pa.string())):
             for i in range(len(offsets) - 1):
                 words = hashes[offsets[i] : offsets[i + 1]]
@@ -153,7 +153,7 @@ class _Phrases(NamedTuple):
         terms, inverse = np.unique(flat, return_inverse=True)
         phrases = np.full((len(keys), int(lengths.max()) if keys else 0), -1, np.int64)
         phrases[np.arange(phrases.shape[1]) < lengths[:, None]] = inverse
-        return _Phrases(terms, phrases, lengths, [sorted(found[k]) for k in keys])
+        return _Phrases(terms, phrases, lengths, [list(found[k]) for k in keys])
 
 
 def _exact(shard: _Shard, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def _search(batches: Iterator[pa.RecordBatch], query, slop: int) -> Iterator[pa.
             places = np.append(shard.places(phrases.terms), -1)[phrases.phrases]
             counts = shard.counts(places)
             used = phrases.phrases >= 0
-            found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+            found: dict[int, tuple[list[tuple[int, int]], set[str | None]]] = {}
             for p in rows[((counts > 0) | ~used).all(axis=1)]:
                 n = phrases.lengths[p]
                 low, high = (_near(shard, places[p, :n], counts[p, :n], slop) if slop else _exact(shard, places[p, :n], counts[p, :n]))
@@ -218,7 +218,7 @@ def _search(batches: Iterator[pa.RecordBatch], query, slop: int) -> Iterator[pa.
                         pa.array(docs, pa.int32()),
                         pa.array([[a for a, _ in m] for m in merged], pa.list_(pa.int32())),
                         pa.array([[b for _, b in m] for m in merged], pa.list_(pa.int32())),
-                        pa.array([sorted(found[d][1]) for d in docs], pa.list_(pa.string())),
+                        pa.array([sorted(found[d][1], key=lambda x: (x is None, x or "")) for d in docs], pa.list_(pa.string())),
                     ],
                     names=["shard", "doc", "starts", "ends", "items"],
                 )
@@ -240,13 +240,13 @@ def search(index: PositionalIndex, items: DataFrame, window: int | None = WINDOW
     ``window`` cuts an item into all runs of so many words (shorter items are one
     phrase); None searches whole items. ``slop`` above 0 accepts proximity matches:
     every word within ``slop`` of its place. Items without words match nothing;
-    a null item_id is left out. The query set is sent to the shards in blocks of
+    those with a null item_id stand last in ``items``, as one null. The query set is sent to the shards in blocks of
     ``QUERY_BYTES`` text, so a broadcast never grows with the item table; equal
     rows count once.
     """
     spark = items.sparkSession
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    asked = asked.where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    asked = asked.where("text IS NOT NULL").distinct()
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     blocks = max(1, -(-int(total) // QUERY_BYTES))
     out = None
@@ -272,9 +272,10 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, key, n_words, n_hit, items (sorted), contaminated.
+    """One row per row of ``docs(doc_id, text)``: doc_id, key, n_words, n_hit, items (sorted), n_items, contaminated.
 
-    A word is hit inside any occurrence of a window; a document is contaminated when
+    Items with a null item_id hit words like all others; they are not named in ``items``
+    and count together as one in n_items. A word is hit inside any occurrence of a window; a document is contaminated when
     at least one word in twenty is hit. Rows with the same or a null doc_id stay
     separate; other columns are ignored; an empty table gives no rows.
     """
@@ -294,7 +295,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
             "key",
             "n_words",
             n_hit.alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce(F.array_compact("items"), F.array().cast("array<string>")).alias("items"),
+            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
             ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
         )
     )

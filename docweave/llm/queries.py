@@ -80,7 +80,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -23,6 +24,7 @@ from docweave.llm import (
     warc,
 )
 from tests.llm import brute
+from tests.oracle import compare
 
 EXTRA = ["key", "fp", "row", "kept", "first", "score", "best", "_row", "_doc", "item", "size", "seed", "lines", "gone"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
@@ -157,6 +159,26 @@ def test_contamination_equals_brute_force(spark, rows, monkeypatch):
     assert bad > 1 and left.count() == len(rows) - bad and left.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("size", [8 << 20, 50])
+def test_items_without_an_id_are_searched(spark, tmp_path, monkeypatch, size):
+    """They hit words, in the operator, in the pipeline's stage and in the query, whose SQL counts them as one item."""
+    monkeypatch.setattr(positional_index, "QUERY_BYTES", size)
+    quiz, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "qo")
+    docs = [(1, f"some words {quiz} and more"), (2, f"{other} {quiz}"), (3, "nothing of it"), (4, None)]
+    items = [(None, quiz), (None, quiz[4:]), (None, None), (7, other), (None, other)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = collect(positional_index.contamination(frame(spark, docs), asked), "doc_id", "n_hit", "items", "n_items", "contaminated")
+    assert sorted(got) == [(1, 20, [], 1, True), (2, 40, ["7"], 2, True), (3, 0, [], 0, False), (4, 0, [], 0, False)]
+    assert sorted(r[0] for r in positional_index.remove_contaminated(frame(spark, docs), asked).collect()) == [3, 4]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    asked.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    query = "op4_benchmark_decontamination"
+    assert compare(queries.QUERIES[query](spark, str(tmp_path)), con, queries.ORACLES[query]) is None
+
+
 def test_proximity_search(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "a x b c d"), (3, "d c b a"), (4, "a b"), (5, "c d")], "doc_id long, text string")
     index = positional_index.PositionalIndex.build(docs)
