@@ -171,17 +171,20 @@ def _exact(shard: _Shard, places: np.ndarray, counts: np.ndarray) -> tuple[np.nd
 
 
 def _near(shard: _Shard, places: np.ndarray, counts: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spans where every term lies within ``slop`` words of its place relative to the rarest term."""
+    """Spans where every term lies within ``slop`` words of its place relative to the rarest term, in the same document."""
     order = np.argsort(counts, kind="stable")
     anchor = shard.list_of(places[order[0]])
     low, high = anchor.copy(), anchor.copy()
     for k in order[1:]:
         other = shard.list_of(places[k])
         want = anchor + (k - order[0])
-        right = np.minimum(np.searchsorted(other, want), len(other) - 1)
-        left = np.maximum(right - 1, 0)
-        nearest = np.where(np.abs(other[left] - want) <= np.abs(other[right] - want), other[left], other[right])
-        keep = (np.abs(nearest - want) <= slop) & (shard.doc_of(nearest) == shard.doc_of(anchor))
+        doc = shard.doc_of(anchor)
+        first, end = shard.first_word[doc], shard.first_word[doc + 1]
+        at = np.searchsorted(other, np.clip(want, first, end - 1))
+        left, right = other[np.maximum(at - 1, 0)], other[np.minimum(at, len(other) - 1)]
+        has_left, has_right = (at > 0) & (left >= first), (at < len(other)) & (right < end)
+        nearest = np.where(has_left & (~has_right | (np.abs(left - want) <= np.abs(right - want))), left, right)
+        keep = (np.abs(nearest - want) <= slop) & (has_left | has_right)
         anchor, low, high, nearest = anchor[keep], low[keep], high[keep], nearest[keep]
         low, high = np.minimum(low, nearest), np.maximum(high, nearest)
     return low, high + 1

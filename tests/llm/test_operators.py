@@ -189,6 +189,18 @@ def test_proximity_search(spark):
     assert find(0) == [1] and find(1) == [1, 2] and find(6) == [1, 2, 3]
 
 
+def test_proximity_stays_inside_the_document(spark):
+    """The nearest b to a's neighbour place stands in the next document, another within slop in the right one."""
+    rows = [(1, "x b y a"), (2, "b z"), (3, "c e"), (4, "d q w c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = positional_index.PositionalIndex.build(docs)
+    assert index.shards.count() == 1
+    for text, expected in (("a b", [1]), ("e c", [3]), ("c d", [4])):
+        asked = spark.createDataFrame([("q", text)], "item_id string, text string")
+        found = positional_index.search(index, asked, None, 4).join(index.documents(), ["shard", "doc"])
+        assert [r[0] for r in found.select("doc_id").collect()] == expected, text
+
+
 # ---- op5
 
 
