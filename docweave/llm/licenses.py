@@ -86,6 +86,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 Universal license."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Clauses that ``find_notices`` looks for besides the templates; the blocks of ``scan_licenses`` are not compared with them.
+CLAUSES: list[tuple[str, str]] = [
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
+]
 #: Words too frequent in any English text to guard with.
 _COMMON = set("a all an and any as at by can for in is it of on or the this to under with work you your".split())
 
@@ -94,13 +102,17 @@ _ROUNDING = 1e-9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _template_words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, in order."""
-    words = re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
+    words = _template_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def guard_words(limit: float = LIMIT) -> list[str]:
+def guard_words(limit: float = LIMIT, templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
     """Words of which every block has at least one that reaches ``limit`` with some template.
 
     A match shares at least ``b * limit / (2 - limit)`` of a template's ``b`` bigrams, so
@@ -108,7 +120,7 @@ def guard_words(limit: float = LIMIT) -> list[str]:
     taken until they stand in that many.
     """
     guard: set[str] = set()
-    for _, text in TEMPLATES:
+    for _, text in templates:
         grams = [g.split() for g in template_bigrams(text)]
         words = sorted({w for g in grams for w in g}, key=lambda w: (w in _COMMON, -len(w), w))
         chosen: set[str] = set()
@@ -120,16 +132,28 @@ def guard_words(limit: float = LIMIT) -> list[str]:
     return sorted(guard)
 
 
-def _bigrams(block: Column) -> Column:
+def _guard(words: list[str]) -> str:
+    return rf"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
+
+
+def _all_bigrams(block: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.translate(block, _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _bigrams(block: Column) -> Column:
+    return F.array_distinct(_all_bigrams(block))
 
 
-def _templates() -> Column:
+def _templates(templates: list[tuple[str, str]] = TEMPLATES) -> Column:
     rows = [
-        F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, template_bigrams(text))).alias("grams"))
-        for name, text in TEMPLATES
+        F.struct(
+            F.lit(name).alias("license"),
+            F.array(*map(F.lit, template_bigrams(text))).alias("grams"),
+            F.lit(len(_template_words(text))).alias("n_words"),
+        )
+        for name, text in templates
     ]
     return F.array(*rows)
 
@@ -140,10 +164,11 @@ def scan_licenses(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     Every block is listed with its best template if their Dice coefficient is at least
     ``limit``; equal scores go to the alphabetically first licence. Equal blocks of a
     text count once. A null, empty or one-word text has no matches. Repeated rows are
-    scanned each; other columns are ignored.
+    scanned each; other columns are ignored. A notice inside a longer block, or over
+    several lines of a comment, is no block: ``find_notices`` finds those.
     """
     text = F.col("text")
-    guard = rf"(?i)(?<![a-z0-9])(?:{'|'.join(guard_words(limit))})(?![a-z0-9])"
+    guard = _guard(guard_words(limit))
     low, high = limit / (2 - limit) - _ROUNDING, (2 - limit) / limit + _ROUNDING
 
     def best(block: Column) -> Column:
@@ -178,6 +203,44 @@ def scan_licenses(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     return docs.select("doc_id", F.coalesce(found, none).alias("matches"))
 
 
+def find_notices(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """``doc_id`` and ``notices`` (license, first_word, n_words, dice) per row of ``docs(doc_id, text)``.
+
+    A notice is any run of as many words as a template or clause has (fewer at the end of
+    the text) that begins with one of its bigrams and has a Dice coefficient of at least
+    ``limit`` with it; overlapping runs are all listed. Words are runs of ASCII letters and
+    digits, so line breaks and comment marks do not part a notice. Only templates of whose
+    bigrams the text has enough are looked for word by word.
+    """
+    text, known = F.col("text"), TEMPLATES + CLAUSES
+    least = limit / (2 - limit) - _ROUNDING
+
+    def runs(grams: Column, t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(t["grams"], F.get(grams, i - 1)))
+
+        def score(i: Column) -> Column:
+            part = F.slice(grams, i, t["n_words"] - 1)
+            both, own = F.size(F.array_intersect(part, t["grams"])), F.size(F.array_distinct(part))
+            return F.struct(
+                t["license"].alias("license"),
+                (i - 1).alias("first_word"),
+                (F.size(part) + 1).alias("n_words"),
+                (F.lit(2.0) * both / (own + F.size(t["grams"]))).alias("dice"),
+            )
+
+        return F.filter(F.transform(starts, score), lambda m: m["dice"] >= limit)
+
+    def notices(grams: Column) -> Column:
+        likely = F.filter(
+            _templates(known), lambda t: F.size(F.array_intersect(grams, t["grams"])) >= F.size(t["grams"]) * F.lit(least)
+        )
+        return F.flatten(F.transform(likely, lambda t: runs(grams, t)))
+
+    found = F.when(text.rlike(_guard(guard_words(limit, known))), F.flatten(F.transform(F.array(_all_bigrams(text)), notices)))
+    none = F.array().cast("array<struct<license:string,first_word:int,n_words:int,dice:double>>")
+    return docs.select("doc_id", F.coalesce(found, none).alias("notices"))
+
+
 def _better(a: Column, b: Column) -> Column:
     return (
         F.when(a["dice"] > b["dice"], -1)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import textwrap
 import zlib
 
 import duckdb
@@ -470,6 +472,23 @@ def test_license_matches_equal_brute_force(spark, rows):
     assert len(got[500]) == 1 and got[402] == []
 
 
+def test_notices_inside_longer_blocks(spark):
+    """In a sentence, in comments wrapped at 72 columns, and the clause that tells BSD-3 from BSD-2."""
+    known = licenses.TEMPLATES + licenses.CLAUSES
+    texts = {i: f"{prose(random.Random(i), 30)} {t} {prose(random.Random(-i), 30)}" for i, (_, t) in enumerate(known)}
+    mit = " ".join(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
+    for i, mark in enumerate(("# ", " * ", "// ")):
+        texts[200 + i] = "Copyright (c) Jane Doe\n" + "\n".join(mark + x for x in textwrap.wrap(mit, 72)) + "\nimport os"
+    texts |= {300: "Frobnicator 1.2 by Jane Doe. Released under the MIT License. See LICENSE.", 301: None, 302: "", 303: "license", 304: "the license of a work"}
+    got = {r["doc_id"]: r["notices"] for r in licenses.find_notices(frame(spark, list(texts.items()))).collect()}
+    for i, (name, t) in enumerate(known):
+        exact = [(m["license"], m["n_words"]) for m in got[i] if m["dice"] == 1.0]
+        assert (name, len(re.findall("[a-zA-Z0-9]+", t))) in exact, t
+    assert all(len([m for m in got[i] if m["dice"] == 1.0]) == 2 for i in (200, 201, 202))
+    assert [tuple(m) for m in got[300] if m["dice"] == 1.0] == [("MIT", 6, 5, 1.0)]
+    assert all(got[i] == [] for i in (301, 302, 303, 304))
+
+
 def test_guard_words_cover_every_template():
     guard = set(licenses.guard_words())
     for _, text in licenses.TEMPLATES:
