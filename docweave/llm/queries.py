@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import language_id, licenses, line_dedup, packing, pii, positional_index, repetition, simhash, suffixes, warc
+from docweave.llm import (
+    dialogue,
+    language_id,
+    lexical,
+    licenses,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    positional_index,
+    repetition,
+    simhash,
+    suffixes,
+    warc,
+)
 from docweave.sources.tables import table
 
 QUERIES = {}
@@ -202,3 +216,45 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_RANKED = """
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM documents
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+norms AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM lengths, totals),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), totals
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+
+@query("op11_ranked_search", _RANKED)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(table(spark, sf_dir, "conversations")))
