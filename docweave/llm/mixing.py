@@ -37,7 +37,7 @@ MAX_BLOCKS = 1 << 28
 SHARD_BLOCKS = 4096
 #: Subtrees handed to tasks.
 SUBTREES = 256
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 _SIZED = "_row long, doc_id long, source string, _hash long, size long"
 _DRAWS = "shard long, position long, _ix int, epoch int, block long"
