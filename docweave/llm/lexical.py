@@ -7,9 +7,10 @@ buckets in that order and keeps each query's best rows and the score to beat:
 
 * Cauchy-Schwarz: a bucket whose longest vector cannot reach that score is passed by,
   first in the scan (for all queries), then for single queries;
-* coordinate bounds: inside a bucket the query's heaviest coordinates are summed first.
-  What a vector can still reach is bounded by the lengths of both remainders; rows
-  below the score to beat go;
+* coordinate bounds: inside a bucket no coordinate exceeds its largest value there. The
+  query's coordinates that could give most are summed first; what a vector can still get
+  from the others is bounded by their largest values and by the lengths of both
+  remainders; rows below the score to beat go;
 * survivors are scored again exactly in 64-bit integers from their whole vectors.
 
 The first bucket of every range gives starting scores for all tasks. Bounds only skip rows
@@ -35,8 +36,8 @@ TOP = 20
 #: Text of one block of queries.
 QUERY_BYTES = 4 << 20
 BUCKET_ROWS = 4096
-#: Share of a query's squared length that its focus coordinates hold.
-FOCUS = 0.8
+#: Share of the score to beat that the coordinates outside the focus may reach together.
+REST = 0.3
 #: Relative slack for rounding in the bounds; scores themselves are integers.
 SLACK = 1e-9
 SLICE_BYTES = 1 << 20
@@ -203,28 +204,35 @@ class _Bucket:
         self.rows, sorted_ids = rows[order], ids[order]
         self.values = impacts[order] * roots[sorted_ids]
         self.terms, self.at = np.unique(sorted_ids, return_index=True)
+        self.most = np.maximum.reduceat(self.values, self.at) if len(self.at) else np.zeros(0)
         self.at = np.append(self.at, len(sorted_ids))
 
-    def postings(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, values and the position in ``ids`` of all entries of these coordinates."""
-        spot = np.searchsorted(self.terms, ids)
-        there = np.flatnonzero((spot < len(self.terms)) & (self.terms[np.minimum(spot, len(self.terms) - 1)] == ids))
-        lo, hi = self.at[spot[there]], self.at[spot[there] + 1]
-        count = hi - lo
-        ahead = np.cumsum(count) - count
-        index = np.arange(int(count.sum())) + np.repeat(lo - ahead, count)
-        return self.rows[index], self.values[index], np.repeat(there, count)
-
     def survivors(self, query: dict, least: float) -> np.ndarray:
-        """Rows that may reach ``least`` by their focus coordinates and the lengths of the rest."""
-        rows, values, which = self.postings(query["focus"])
+        """Rows that may reach ``least``, by their focus coordinates and bounds of the rest."""
+        spot = np.searchsorted(self.terms, query["ids"])
+        spot[spot == len(self.terms)] = 0
+        there = np.flatnonzero(self.terms[spot] == query["ids"])
+        spot, scaled = spot[there], query["scaled"][there]
+        order = np.argsort(-scaled * self.most[spot], kind="stable")
+        spot, scaled = spot[order], scaled[order]
+        bound = np.append(np.cumsum((scaled * self.most[spot])[::-1])[::-1], 0.0)  # of coordinate i and all after it
+        if bound[0] * (1 + SLACK) < least:
+            return np.zeros(0, np.int64)
+        k = int(np.searchsorted(-bound, -REST * least))
+        spot, scaled, rest = spot[:k], scaled[:k], bound[k]
+        count = self.at[spot + 1] - self.at[spot]
+        ahead = np.cumsum(count) - count
+        index = np.arange(int(count.sum())) + np.repeat(self.at[spot] - ahead, count)
+        rows, values = self.rows[index], self.values[index]
         n = len(self.lengths)
-        part = np.bincount(rows, values * query["focus_values"][which], n)
-        if query["rest"] == 0:
-            return np.flatnonzero((part > 0) & (part * (1 + SLACK) >= least))
-        held = np.bincount(rows, values * values, n)
-        rest = np.sqrt(np.maximum(0.0, self.lengths * self.lengths * (1 + SLACK) - held))
-        return np.flatnonzero((part + query["rest"] * rest) * (1 + SLACK) >= least)
+        part = np.bincount(rows, values * np.repeat(scaled, count), n)
+        near = np.flatnonzero((part + rest) * (1 + SLACK) >= least)
+        if rest == 0 or not len(near):
+            return near
+        held = np.bincount(rows, values * values, n)[near]
+        left = np.sqrt(np.maximum(0.0, self.lengths[near] ** 2 * (1 + SLACK) - held))
+        apart = math.sqrt(max(0.0, query["length"] ** 2 * (1 + SLACK) - float(scaled @ scaled)))
+        return near[(part[near] + apart * left) * (1 + SLACK) >= least]
 
     def exact(self, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Integer scores of rows; ``weight`` has one number per coordinate."""
@@ -236,18 +244,9 @@ class _Bucket:
 
 
 def _prepared(asked: list[tuple[np.ndarray, np.ndarray]], roots: np.ndarray) -> list[dict]:
-    """Per query: terms and integer weights, scaled coordinates, length, and focus coordinates (the heaviest)."""
-    out = []
-    for ids, value in asked:
-        scaled = value / roots[ids]
-        order = np.argsort(-scaled, kind="stable")
-        squares = np.cumsum(scaled[order] ** 2)
-        length = math.sqrt(squares[-1]) if len(ids) else 0.0
-        k = int(np.searchsorted(squares, FOCUS * squares[-1])) + 1 if len(ids) else 0
-        top = order[:k]
-        rest = math.sqrt(max(0.0, squares[-1] - squares[k - 1])) if k < len(ids) else 0.0
-        out.append({"ids": ids, "value": value, "length": length, "focus": ids[top], "focus_values": scaled[top], "rest": rest})
-    return out
+    """Per query: terms, integer weights, coordinates scaled by the root of the term's weight, and their length."""
+    scaled = [value / roots[ids] for ids, value in asked]
+    return [{"ids": ids, "value": value, "scaled": x, "length": math.sqrt(x @ x)} for (ids, value), x in zip(asked, scaled)]
 
 
 def _search(batches, asked, weights: np.ndarray, least: list[int], k: int) -> Iterator[pa.RecordBatch]:
