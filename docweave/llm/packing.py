@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ SHARD_PIECES = 8192
 END_ID = 1
 CACHE_WORDS = 1 << 21
 TEXT_BLOCK = 1 << 22
+#: Unknown words that go to the tokenizer as one string.
+JOINED_WORDS = 512
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _row long"
 
@@ -36,9 +39,19 @@ class WordIds:
 
     The tokenizer removes white space before it merges, so the ids of a text are
     the ids of its words in a row. Each distinct word is encoded once per worker
-    and cache; a full cache is emptied, so memory stays bounded.
+    process, whose tasks share one cache; a full cache is emptied, so memory stays bounded.
+    Known words are two sorted runs: new ones enter the short run, which now and then
+    joins the long one.
     """
 
+    _of_process: dict[str, WordIds] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        if path not in cls._of_process:
+            cls._of_process[path] = cls(path)
+        return cls._of_process[path]
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
@@ -47,43 +60,75 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.runs = [empty, empty]
         self.starts = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.runs)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row and their number per word, told apart by offsets in joined strings."""
+        parts = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        flat, sizes = [], []
+        for part in parts:
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            first = np.fromiter(map(itemgetter(0), found.offsets), np.int64)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            sizes.append(np.bincount(np.searchsorted(ends, first, "right"), minlength=len(part)))
+            flat.append(np.array(found.ids, np.uint32))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) > CACHE_WORDS:
-            self.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        slots = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(ids))
+        """Add words by their hashes; ``keys`` is sorted."""
+        ids, sizes = self._ids(words)
+        slots = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(keys))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for row in ids for x in row), np.uint32, int(sizes.sum()))])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.flat = np.concatenate([self.flat, ids])
+        long, short = self.runs[0], _merged(*self.runs[1], keys, slots)
+        if 8 * len(short[0]) > len(long[0]) + (1 << 16):
+            long, short = _merged(*long, *short), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.runs = [long, short]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in self.runs:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                there = known[at] == keys
+                out[there] = slots[at[there]]
+        return out
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids per word."""
         hashes = word_hashes(buf, starts, ends)
         uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        known = np.isin(uniq, self.keys, assume_unique=True)
-        if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
-            self.clear()
-            known[:] = False
-        if not known.all():
-            at = first[~known]
+        slots = self._slots(uniq)
+        new = slots < 0
+        if new.any():
+            if len(self) + int(new.sum()) > CACHE_WORDS:
+                self.clear()
+                new[:] = True
+            at = first[new]
             data = buf.tobytes()
-            self._learn(uniq[~known], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at], ends[at])])
-        slots = self.slots[np.searchsorted(self.keys, uniq)][inverse]
+            self._learn(uniq[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            slots = self._slots(uniq)
+        slots = slots[inverse]
         begin, count = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
         ahead = np.concatenate([[0], np.cumsum(count)])
         index = np.arange(int(ahead[-1])) + np.repeat(begin - ahead[:-1], count)
         return self.flat[index], count
 
 
+def _merged(keys: np.ndarray, slots: np.ndarray, more: np.ndarray, more_slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(keys, more)
+    return np.insert(keys, at, more), np.insert(slots, at, more_slots)
+
+
 def _pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path)
+    words = WordIds.shared(path)
     for batch in batches:
         doc_ids, rows = batch.column("doc_id"), batch.column("_row")
         for lo, hi, buf, offsets in text_blocks(batch.column("text"), TEXT_BLOCK):
