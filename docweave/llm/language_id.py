@@ -299,8 +299,9 @@ class LanguageIdentifier(NamedTuple):
     def score(self, docs: DataFrame, *carry: str) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(self.models)
         rows = docs.select(*carry, "text")
-        schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-        schema += ", best string, posterior double, cross_entropy double, n_chars_scored long"
+        schema = rows.drop("text").schema
+        for name, kind in (("best", "string"), ("posterior", "double"), ("cross_entropy", "double"), ("n_chars_scored", "long")):
+            schema = schema.add(name, kind)
         return rows.mapInArrow(lambda it: _scored(it, shared), schema)
 
     def predict(self, docs: DataFrame, *carry: str) -> DataFrame:
@@ -355,6 +356,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not rejected, with all their columns, ``text`` unchanged."""
     model = LanguageIdentifier.train(docs.where(~held_out(F.col("doc_id"))))
-    names = docs.columns
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
     kept = docs.withColumn("_row", F.struct(*names))
     return model.predict(kept, "_row").where("NOT rejected").select("_row.*")

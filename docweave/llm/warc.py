@@ -142,27 +142,28 @@ def arc_record(url: str, date: str, body: bytes, version: int, offset: int, name
 def parse_arc(data: bytes) -> Iterator[dict]:
     """Records of an ARC file, plain or in gzip members.
 
-    The version block decides how header lines are split; a line that does not fit is
-    skipped up to the next one that does. A body shorter than declared is ``truncated``.
+    The version block, which only the first record of a file can be (``info``), decides how
+    header lines are split; a line that does not fit is skipped up to the next one that
+    does. A body shorter than declared is ``truncated``.
     """
     data = unpacked(data)
-    at, version = 0, 1
+    at, version, first = 0, 1, True
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
         line = data[at:end].rstrip(b"\r")
-        head = _HEADERS[version].fullmatch(line) or (_HEADERS[2].fullmatch(line) if line.startswith(b"filedesc:") else None)
-        head = head or (_HEADERS[1].fullmatch(line) if line.startswith(b"filedesc:") else None)
+        info = first and line.startswith(b"filedesc:")
+        head = (_HEADERS[2].fullmatch(line) or _HEADERS[1].fullmatch(line)) if info else _HEADERS[version].fullmatch(line)
         if not line or not head:
             at = end + 1
             continue
         size = int(head["length"])
         body = data[end + 1 : end + 1 + size]
         record = {k: head[k].decode("utf-8", "replace") for k in ("url", "ip", "date", "mime")}
-        if line.startswith(b"filedesc:"):
+        if info:
             version = 2 if body.startswith(b"2") else 1
-        yield record | {"body": body, "offset": at, "truncated": len(body) < size, "version": version}
-        at = end + 1 + size
+        yield record | {"body": body, "offset": at, "truncated": len(body) < size, "version": version, "info": info}
+        at, first = end + 1 + size, False
 
 
 def _arc_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -249,7 +250,7 @@ def _converted(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa
                 rows.append(
                     (file, r["offset"], _http_int(head, b"X-Page-Id"), record_id(file, r["offset"], r["url"], r["date"]), r["url"], r["ip"],
                      _iso(r["date"]), r["mime"], r["version"], r["truncated"], head if payloads else b"", payload if payloads else b"",
-                     hashlib.sha256(payload).hexdigest(), len(payload), r["url"].startswith("filedesc:"))
+                     hashlib.sha256(payload).hexdigest(), len(payload), r["info"])
                 )
                 held += len(payload)
                 if held >= ARCHIVE_BYTES or len(rows) >= 4096:
@@ -259,9 +260,19 @@ def _converted(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa
                 yield batch_of(rows)
 
 
-def arc_records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Parsed records of all ARC files below ``folder`` with synthesised WARC fields."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+def _files(spark: SparkSession, folder: str, manifest: DataFrame | None) -> DataFrame:
+    """Archive files of a folder, or only those of its manifest.
+
+    A lost task is run again and may come to other files; the manifest has what the task
+    that counted wrote. Spark lists as many paths on the driver when it reads a folder.
+    """
+    paths = folder if manifest is None else [f"{folder}/{r['path']}" for r in manifest.select("path").collect()]
+    return spark.read.format("binaryFile").load(paths)
+
+
+def arc_records(spark: SparkSession, folder: str, payloads: bool = True, manifest: DataFrame | None = None) -> DataFrame:
+    """Parsed records of all ARC files below ``folder``, or of its ``manifest``, with synthesised WARC fields."""
+    files = _files(spark, folder, manifest).select("path", "content")
     return files.mapInArrow(lambda it: _converted(it, payloads), _CONVERTED)
 
 
@@ -314,8 +325,10 @@ def _warc_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
     yield out.manifest()
 
 
-def convert(spark: SparkSession, arc_folder: str, revisit_bytes: int = REVISIT_BYTES) -> tuple[str, DataFrame]:
-    """Convert all ARC files of a folder to WARC files; returns their folder and the manifest.
+def convert(
+    spark: SparkSession, arc_folder: str, revisit_bytes: int = REVISIT_BYTES, arc_manifest: DataFrame | None = None
+) -> tuple[str, DataFrame]:
+    """Convert the ARC files of a folder or its manifest to WARC files; returns their folder and the manifest.
 
     Of records with equal payloads of at least ``revisit_bytes`` the one with the
     smallest key is the response; ties and missing keys follow file and offset.
@@ -324,7 +337,7 @@ def convert(spark: SparkSession, arc_folder: str, revisit_bytes: int = REVISIT_B
         F.col("key").isNull().alias("no_key"), "key", "file", "offset", "id", "url", "date"
     )
     firsts = (
-        arc_records(spark, arc_folder, payloads=False)
+        arc_records(spark, arc_folder, False, arc_manifest)
         .where((F.col("n_bytes") >= revisit_bytes) & ~F.col("info"))
         .groupBy("digest")
         .agg(F.min(first_of).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -333,7 +346,7 @@ def convert(spark: SparkSession, arc_folder: str, revisit_bytes: int = REVISIT_B
     )
     firsts = stored(firsts, "firsts")
     known = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
-    records = arc_records(spark, arc_folder)
+    records = arc_records(spark, arc_folder, True, arc_manifest)
     joined = records.join(known, "digest", "left")
     itself = (F.col("first.file") == F.col("file")) & (F.col("first.offset") == F.col("offset"))
     refers = (F.col("n_bytes") >= revisit_bytes) & ~F.col("info") & F.col("first").isNotNull() & ~itself
@@ -386,9 +399,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all WARC files of a folder; ``valid`` tells whether a stored payload has its stated digest."""
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, _READ)
+def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Records of all WARC files of a folder or its manifest; ``valid`` tells whether a stored payload has its stated digest."""
+    return _files(spark, folder, manifest).select("content").mapInArrow(_read, _READ)
 
 
 def archive_pages(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -401,5 +414,5 @@ def archive_pages(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     arc, written = write_arc(pages)
     if written.count() == 0:
         return spark.createDataFrame([], _READ)
-    warc, _ = convert(spark, arc, revisit_bytes)
-    return read_warc(spark, warc)
+    warc, converted = convert(spark, arc, revisit_bytes, written)
+    return read_warc(spark, warc, converted)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from docweave.llm import dialogue, lexical, mixing
+import corpus_pipeline
+from docweave.llm import dialogue, lexical, mixing, warc
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -248,3 +250,35 @@ def test_few_chunks_run_again(spark):
     assert tuple(vectors[0]["start"]) == start and sum(v["total"] for v in vectors) == total
     assert [tuple(v["end"]) for v in vectors[:-1]] == [whole[50 * i + 49] for i in range(199)]
     assert len(passes) <= 3 and all(p < 200 for p in passes[1:])
+
+
+# ---- archives and the pipeline on odd columns and addresses
+
+
+def test_a_page_with_the_address_of_a_file_head_is_a_page(spark):
+    rows = [(1, "filedesc://x", "<p>one</p>"), (2, "http://a", "<p>two</p>"), (3, "filedesc:y z", "<p>" + "long " * 50), (4, "http://b", "<p>" + "long " * 50)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()
+    assert sorted((r["key"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
+
+
+def test_files_of_a_lost_attempt_are_not_read(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, "http://b", "y")], "page_id long, url string, html string").repartition(1)
+    folder, manifest = warc.write_arc(pages)
+    name = manifest.collect()[0]["path"]
+    path = folder.removeprefix("file://")
+    (Path(path) / name.replace("-00000.", "-00001.")).write_bytes((Path(path) / name).read_bytes())
+    made, converted = warc.convert(spark, folder, arc_manifest=manifest)
+    assert sorted(r["key"] for r in warc.read_warc(spark, made, converted).collect()) == [1, 2]
+
+
+def test_every_stage_keeps_columns_with_odd_names(spark):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c d` string, _row string, row string"
+    rows = [(i, f"The house number {i} stands in street {i * 7} of the old town.", "en", "s", 60, f"x{i}", "y", "z", "w") for i in range(40)]
+    rows += [(100, None, None, None, None, None, None, None, None), (101, "", "en", "s", 0, "x", "y", "z", "w")]
+    docs = spark.createDataFrame(rows, ddl)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SMALL)
+        assert kept.columns == docs.columns, name
+        found = {r["doc_id"]: r["a.b"] for r in kept.collect()}
+        assert all(v in (f"x{k}", "x", None) for k, v in found.items()), name
+        assert stage(spark, docs.limit(0), SMALL).collect() == [], name
