@@ -11,6 +11,7 @@ from docweave.operators import validation
 from docweave.plans.documents import CHUNKS_SQL, LENGTH_SQL, any_sql
 from docweave.plans.registry import query
 from docweave.session import work_path
+from docweave.sources.slices import feed
 from docweave.sources.tables import table
 from docweave.streaming import ingest as live_ingest
 from docweave.streaming import live, repeats
@@ -177,31 +178,14 @@ def peak_concurrency(spark, d):
 # ---- streams over the same table -----------------------------------------------------------
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+SLICES = 3  # the tables come to the streams in so many runs
 
 
-def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all present files into a table of the shared folder, and read it."""
-    out = work_path(spark, name)
-    done = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    done.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-
-
-def _updated(spark: SparkSession, stream: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Run a windowed stream in update mode; every window comes out, open ones too."""
-    out = work_path(spark, name)
-    live.start_updates(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return live.read_updates(spark, f"{out}/rows", *keys)
+def _updated(rows: DataFrame, live_rows, name: str, *keys: str) -> DataFrame:
+    """Run a windowed stream in update mode over slices; every window comes out, open ones too."""
+    out = work_path(rows.sparkSession, name)
+    feed(rows, "ts", SLICES, lambda s: live.start_updates(live_rows(s), f"{out}/rows", f"{out}/checkpoint"))
+    return live.read_updates(rows.sparkSession, f"{out}/rows", *keys)
 
 
 @query(
@@ -211,8 +195,13 @@ def _updated(spark: SparkSession, stream: DataFrame, name: str, *keys: str) -> D
         FROM events GROUP BY 1, 2""",
 )
 def stream_metrics(spark, d):
-    metrics = live.live_metrics(_stream(spark, d, "events"), "value", F.col("value") < 50, "event_type")
-    return _updated(spark, metrics, "live-metrics", "window_start", "event_type")
+    return _updated(
+        events(spark, d),
+        lambda s: live.live_metrics(s, "value", F.col("value") < 50, "event_type"),
+        "live-metrics",
+        "window_start",
+        "event_type",
+    )
 
 
 @query(
@@ -220,34 +209,56 @@ def stream_metrics(spark, d):
     f"SELECT {_start(3600)} AS window_start, user_id, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def stream_over_limit(spark, d):
-    breaches = live.live_over_limit(_stream(spark, d, "events"), "user_id", 1, seconds=3600)
-    return _updated(spark, breaches, "live-limit", "window_start", "user_id")
+    return _updated(
+        events(spark, d), lambda s: live.live_over_limit(s, "user_id", 1, seconds=3600), "live-limit", "window_start", "user_id"
+    )
 
 
 @query(
     "stream_first_asked",
-    "SELECT DISTINCT event_type || '|' || props AS asked FROM events",
+    """WITH RECURSIVE asked AS (SELECT event_type || '|' || props AS asked, epoch_us(ts) AS t FROM events),
+       stored AS (
+         SELECT asked, min(t) AS t FROM asked GROUP BY asked
+         UNION ALL
+         SELECT s.asked, min(a.t) FROM stored s JOIN asked a ON a.asked = s.asked AND a.t >= s.t + 3600000000 GROUP BY s.asked, s.t)
+       SELECT asked, t AS asked_at FROM stored""",
 )
 def stream_first_asked(spark, d):
-    """Requests that pass once; which of the repeats does depends on arrival, the set does not."""
-    key = query_key(
-        F.col("event_type"), F.lit("default"), F.lit(5), F.lit(True), F.lit(True), F.create_map(F.lit("props"), F.col("props"))
-    )
-    keyed = _stream(spark, d, "events").select(
-        "ts", key.alias("cache_key"), F.concat_ws("|", "event_type", "props").alias("asked")
-    )
-    return _drain(spark, repeats.first_asked(keyed, "cache_key"), "first-asked").select("asked")
+    """Requests that find no answer younger than an hour, out of a log that comes in slices."""
+    return first_asked_in(spark, d, SLICES)
+
+
+def first_asked_in(spark: SparkSession, d: str, slices: int) -> DataFrame:
+    rows = events(spark, d).select("ts", "event_type", "props")
+    out = work_path(spark, "first-asked")
+    props = F.create_map(F.lit("props"), F.col("props"))
+    parts = (F.col("event_type"), F.lit("default"), F.lit(5), F.lit(True), F.lit(True), props)
+    key = F.when(F.col("event_type").isNotNull(), F.concat_ws("|", query_key(*parts), "event_type", "props"))
+
+    def start(stream: DataFrame):
+        passed = repeats.first_asked(stream.withColumn("cache_key", key), "cache_key")
+        sink = passed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
+        return sink.outputMode("append").trigger(availableNow=True).start()
+
+    # a heartbeat far behind the last request moves the watermark past it
+    heartbeat = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).where("ts IS NOT NULL")
+    feed(rows, "ts", slices, start, heartbeat.select("ts", F.lit(None).alias("event_type"), F.lit(None).alias("props")))
+    passed = spark.read.schema("key string, asked_at timestamp").parquet(f"{out}/rows")
+    return passed.select(F.substring_index("key", "|", -2).alias("asked"), F.unix_micros("asked_at").alias("asked_at"))
 
 
 def _ingest(spark: SparkSession, d: str) -> str:
     out = work_path(spark, "ingest")
-    docs = _stream(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("doc_id"), "source", F.col("text").alias("content")
-    )
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
     metadata = F.create_map(
         F.lit("source"), F.col("source"), F.lit("file_type"), F.lit("txt"), F.lit("filename"), F.col("doc_id")
     )
-    live_ingest.start_ingest(docs, metadata, out, f"{out}/checkpoint").awaitTermination()
+
+    def start(stream: DataFrame):
+        named = stream.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.col("text").alias("content"))
+        return live_ingest.start_ingest(named, metadata, out, f"{out}/checkpoint")
+
+    feed(docs, "doc_id", SLICES, start)
     return out
 
 

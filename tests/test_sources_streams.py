@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from docweave.operators import requests as rq
 from docweave.operators import vectors
 from docweave.operators.validation import ValidationOptions
 from docweave.sources import files, store
+from docweave.sources.slices import feed
 from docweave.sources.tables import spread
 from docweave.streaming import ingest, live, repeats
 
@@ -164,10 +166,60 @@ def test_updates_hold_windows_that_are_still_open(spark, tmp_path):
     assert got == {(r.window_start, r.k): r.requests for r in batch.collect()} and sorted(got.values()) == [2, 4]
 
 
+def sequential(rows, ttl):
+    """Requests that find no valid answer, one key after the other in order of time."""
+    out, stored = [], {}
+    for t, k in sorted(set(rows)):
+        if k not in stored or t - stored[k] >= ttl:
+            stored[k] = t
+            out.append((k, t))
+    return sorted(out)
+
+
+END = [(1_000_000, None, 0.0)]
+
+
 def test_repeats_pass_again_after_the_ttl(spark, tmp_path):
-    stream, _p = slices(spark, tmp_path, [[(0, "a", 1.0)], [(60, "a", 2.0), (61, "b", 3.0)], [(9000, "c", 4.0)], [(9001, "c", 4.5)], [(9002, "a", 5.0)]])
+    """The answer is stored at 0 and serves until just before 3600; hits do not renew it."""
+    batches = [[(0, "a", 1.0)], [(60, "a", 2.0), (61, "b", 3.0)], [(3599, "a", 4.0)], [(3600, "a", 4.5)], [(7199, "a", 5.0)], [(7200, "a", 6.0)], END]
+    stream, _p = slices(spark, tmp_path, batches)
     rows = run(spark, repeats.first_asked(stream, "k"), tmp_path, "repeats").collect()
-    assert sorted((r.k, r.v) for r in rows) == [("a", 1.0), ("a", 5.0), ("b", 3.0), ("c", 4.0)]
+    assert sorted((r.key, int((r.asked_at - T0).total_seconds())) for r in rows) == [("a", 0), ("a", 3600), ("a", 7200), ("b", 61)]
+
+
+def test_repeats_do_not_depend_on_micro_batches(spark, tmp_path):
+    """Late by up to ten minutes, in any split: the outcome of a scan in order of time."""
+    rng = random.Random(8)
+    log = sorted((rng.randrange(40_000), rng.choice("aaabcd"), 0.0) for _ in range(400))
+    late = sorted(log, key=lambda r: r[0] + rng.randrange(590))
+    for n in (1, 7):
+        folder = tmp_path / f"in-{n}"
+        folder.mkdir()
+        size = -(-len(late) // n)
+        stream, _p = slices(spark, folder, [late[i : i + size] for i in range(0, len(late), size)] + [END])
+        rows = run(spark, repeats.first_asked(stream, "k", ttl_seconds=900), folder, "repeats").collect()
+        got = sorted((r.key, int((r.asked_at - T0).total_seconds())) for r in rows)
+        assert got == sequential([(t, k) for t, k, _ in log], 900)
+
+
+def test_a_fed_table_gives_one_result_for_any_slices(spark, small):
+    from docweave.plans.requests import first_asked_in
+
+    rows = [(r["t"], r["k"]) for r in spark.read.parquet(f"{small}/events.parquet").selectExpr("unix_micros(timestamp(ts)) AS t", "concat_ws('|', event_type, props) AS k").collect()]
+    want = sequential(rows, 3_600_000_000)
+    for n in (1, 7):
+        assert sorted((r["asked"], r["asked_at"]) for r in first_asked_in(spark, small, n).collect()) == want
+
+
+def test_feed_with_missing_or_equal_order(spark, tmp_path):
+    for name, rows in (("none", []), ("null", [(None, "a")]), ("mixed", [(None, "a"), (1, "b"), (1, "c"), (9, "d")])):
+        seen = []
+
+        def start(stream):
+            return stream.writeStream.foreachBatch(lambda b, _i: seen.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+
+        feed(spark.createDataFrame(rows, "t long, k string"), "t", 4, start)
+        assert sorted(seen, key=str) == sorted(rows, key=str)
 
 
 def test_incremental_ingest_is_idempotent(spark, tmp_path):
