@@ -1,5 +1,4 @@
-"""Vector collections: merge, delete, statistics, exact and approximate search
-(R1-R7, A1-A3).
+"""Vector collections: merge, delete, statistics and exact search.
 
 Exact search multiplies Arrow batches of vectors with a block of queries in
 numpy and keeps only the best ``k`` per query, so pairs never become rows.
@@ -167,16 +166,13 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, np.n
 class _Best:
     """Best ``k`` per query over the batches of one task."""
 
-    def __init__(self, k: int, decimals: int, distinct: bool = False):
-        self.k, self.decimals, self.distinct = k, decimals, distinct
+    def __init__(self, k: int, decimals: int):
+        self.k, self.decimals = k, decimals
         self.rows: tuple[np.ndarray, ...] | None = None
 
     def _prune(self, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         q, good, _score, ids, _keep = rows
         order = np.lexsort((np.unique(ids, return_inverse=True)[1], -good, q))
-        if self.distinct and len(order):  # a pair met in several buckets sits next to itself
-            a, b = order[1:], order[:-1]
-            order = order[np.r_[True, (q[a] != q[b]) | (ids[a] != ids[b])]]
         q_sorted = q[order]
         starts = np.flatnonzero(np.r_[True, q_sorted[1:] != q_sorted[:-1]]) if len(q_sorted) else np.array([], int)
         position = np.arange(len(q_sorted)) - np.repeat(starts, np.diff(np.r_[starts, len(q_sorted)]))
@@ -201,25 +197,6 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _codes(m: np.ndarray, lsh: tuple[int, int, int]) -> np.ndarray:
-    """Bucket number per row and hash table: one bit per random plane."""
-    seed, tables, planes = lsh
-    normals = np.random.default_rng(seed).standard_normal((tables * planes, m.shape[1]))
-    bits = (m @ normals.T > 0).reshape(len(m), tables, planes)
-    return (bits * (1 << np.arange(planes))).sum(axis=2)
-
-
-def _blocks(q: np.ndarray, v: np.ndarray, lsh) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of queries and vectors to compare: all, or those that share a bucket."""
-    if lsh is None:
-        yield np.arange(len(q)), np.arange(len(v))
-        return
-    q_codes, v_codes = _codes(q, lsh), _codes(v, lsh)
-    for t in range(q_codes.shape[1]):
-        for code in np.intersect1d(q_codes[:, t], v_codes[:, t]):
-            yield np.flatnonzero(q_codes[:, t] == code), np.flatnonzero(v_codes[:, t] == code)
-
-
 def _shapes(cols: np.ndarray, lists: pa.Array) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
     """Row numbers per (collection, dimension); rows without a vector belong to none."""
     dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -244,9 +221,9 @@ class _QueryBlock(NamedTuple):
 
 
 def _search_batches(
-    batches: Iterator[pa.RecordBatch], block: _QueryBlock, k: int, metric: str, decimals: int, schema: pa.Schema, lsh=None
+    batches: Iterator[pa.RecordBatch], block: _QueryBlock, k: int, metric: str, decimals: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    best = _Best(k, decimals, distinct=lsh is not None)
+    best = _Best(k, decimals)
     rows = max(1, PAIRS_AT_ONCE // max(1, len(block.ids)))
     for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
@@ -255,17 +232,15 @@ def _search_batches(
                 continue
             q_rows, q_mat = block.groups[shape]
             mat = _matrix(batch.column(2).take(pa.array(v_rows)))
-            for qi, vi in _blocks(q_mat, mat, lsh):
-                q_index, v_index = q_rows[qi], v_rows[vi]
-                score, good = _scores(q_mat[qi], mat[vi], metric)
-                best.add(q_index, good, score, ids[v_index], keep[v_index])
+            score, good = _scores(q_mat, mat, metric)
+            best.add(q_rows, good, score, ids[v_rows], keep[v_rows])
     if best.rows is not None:
         q, _good, score, ids, keep = best.rows
         columns = [pa.array(block.ids[q].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int], lsh):
+def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int]):
     """Every query block meets every vector block in its own bounded task."""
     q_rows, v_rows = rows
     q_blocks, v_blocks = math.ceil(n_q / q_rows), max(1, math.ceil(v.count() / v_rows))
@@ -285,7 +260,7 @@ def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, deci
         block = _QueryBlock.of(left)
         names = ["id", "collection", "embedding", "_keep"]
         batch = pa.RecordBatch.from_arrays([right[c].chunk(0) for c in names], names=names)
-        found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema, lsh))
+        found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema))
         return pa.Table.from_batches(found, schema) if found else empty
 
     return (
@@ -305,7 +280,6 @@ def exact_topk(
     decimals: int = 6,
     query_bound: int = QUERY_ROWS_BOUND,
     vector_block: int = VECTOR_BLOCK_ROWS,
-    lsh: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors of the query's collection per query.
 
@@ -315,7 +289,7 @@ def exact_topk(
     digits; ties by id. ``filter_mode='pre'`` filters the scan, ``'post'``
     filters inside the ``k`` hits. A query meets the vectors of its collection
     that have its dimension, whatever others there are; one that meets none finds
-    nothing (see ``misfits``). ``lsh`` is set by ``approximate_topk``.
+    nothing (see ``misfits``).
     """
     if metric not in ("cosine", "l2") or filter_mode not in ("pre", "post"):
         raise ValueError("metric is 'cosine' or 'l2', filter_mode 'pre' or 'post'")
@@ -351,13 +325,14 @@ def exact_topk(
         schema = pa.schema([("query_id", q_arrow), ("id", id_arrow), ("score", pa.float64()), ("_keep", pa.bool_())])
 
         def search(batches):
-            return _search_batches(batches, shared.value, k, metric, decimals, schema, lsh)
+            return _search_batches(batches, shared.value, k, metric, decimals, schema)
 
         partial = v.mapInArrow(search, T.StructType(fields))
     else:
         out = {"query_id": q_arrow, "id": id_arrow, "fields": fields}
         q_rows = max(1, min(query_bound, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
-        partial = _search_grid(q, v, n, k, metric, decimals, out, (q_rows, vector_block), lsh)
+        v_rows = max(1, min(vector_block, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
+        partial = _search_grid(q, v, n, k, metric, decimals, out, (q_rows, v_rows))
 
     scored = partial.withColumn("score", F.round("score", decimals))
     order = [F.col("score").desc() if metric == "cosine" else F.col("score").asc(), F.col("id").asc()]
@@ -391,21 +366,6 @@ def misfits(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return asked.select("query_id", F.col("dimension").cast("long").alias("dimension"), reason.alias("reason"))
 
 
-# ---- approximate search --------------------------------------------------------------------
-
-
-def approximate_topk(
-    queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, planes: int = 6, seed: int = 7, **options
-) -> DataFrame:
-    """Approximate cosine search by sign hashes of random planes.
-
-    Only vectors that share one of a query's ``tables`` buckets are compared;
-    they are scored exactly. Bucket mates are matched inside the tasks of the
-    exact search, so a bucket of any size never turns into rows of pairs.
-    """
-    return exact_topk(queries, vectors, k, lsh=(seed, tables, planes), **options)
-
-
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found."""
     found = exact.select("query_id", "id").join(

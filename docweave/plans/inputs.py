@@ -34,6 +34,12 @@ def _with_vectors(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return made.withColumn("embedding", F.coalesce("_given", "embedding")).drop("_given", "_open")
 
 
+def term_vectors(spark: SparkSession, d: str, name: str, key: str, as_: str) -> DataFrame:
+    """Texts of a table with the vectors of their terms, no supplied ones among them."""
+    texts = spread(table(spark, d, name).select(F.col(key).alias(as_), F.lower(F.coalesce("text", F.lit(""))).alias("_text")), as_)
+    return embed_with(texts, "_text", term_counts_model(VECTOR_DIM)).select(as_, "embedding")
+
+
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """All documents with a vector; the collection is the language."""
     docs = spread(table(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "id")

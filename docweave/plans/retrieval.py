@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.ranks import top_per_group
 from docweave.functions.text import NO_RESULT_TEXT, WS
 from docweave.functions.vector import norm, unit
-from docweave.operators import context, evaluation, keyword, ranking, retrieval, vectors
+from docweave.operators import approximate, context, evaluation, keyword, ranking, retrieval, vectors
 from docweave.plans import inputs as inp
 from docweave.plans.documents import digest, docs
 from docweave.plans.registry import lit, query
@@ -216,11 +217,35 @@ def topk_mixed_dimensions(spark, d):
 )
 def approximate_recall(spark, d):
     """Exact hits, and whether the approximate search finds at least nine tenths of them."""
-    q, v = inp.questions(spark, d), flat(inp.corpus(spark, d))
-    found = vectors.recall(vectors.approximate_topk(q, v, 10, tables=24, planes=4), vectors.exact_topk(q, v, 10))
+    q, v = inp.term_vectors(spark, d, "benchmark", "item_id", "query_id"), inp.term_vectors(spark, d, "documents", "doc_id", "id")
+    hits, _ = approximate.approximate_topk(q, v, 10)
+    found = vectors.recall(hits, vectors.exact_topk(q, v, 10))
     return found.select("expected", (F.col("recall") >= 0.9).alias("reached"))
 
 
+@query("approximate_work")
+def approximate_work(spark, d):
+    """Pairs of question and document, those in probed lists, and those that were scored in full."""
+    q, v = inp.term_vectors(spark, d, "benchmark", "item_id", "query_id"), inp.term_vectors(spark, d, "documents", "doc_id", "id")
+    _, counts = approximate.approximate_topk(q, v, 10)
+    return counts.select(F.lit(q.count() * v.count()).alias("pairs"), "scanned", "scored")
+
+
+@query(
+    "neighbour_graph",
+    """SELECT 5 * count(*) AS expected, true AS reached FROM documents WHERE doc_id % 20 = 0 HAVING (SELECT count(*) FROM documents) > 5""",
+)
+def neighbour_graph(spark, d):
+    """The neighbour graph of all documents, against exact neighbours of those with an id divisible by 20."""
+    v = inp.term_vectors(spark, d, "documents", "doc_id", "id")
+    links = approximate.neighbour_graph(v, 5, probes=16)
+    asked = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    near = vectors.exact_topk(asked, v, 6).where(F.col("id") != F.col("query_id")).drop("rank")
+    near = top_per_group(near, ["query_id"], [F.col("score").desc(), F.col("id").asc()], 5)
+    found = vectors.recall(links.select(F.col("source").alias("query_id"), F.col("target").alias("id")), near)
+    return found.select("expected", (F.col("recall") >= 0.95).alias("reached"))
+
+
 @query(
     "hash_embed_stats",
     f"""SELECT count(*) AS texts, 64 AS min_dim, 64 AS max_dim, min(n) AS min_length, max(n) AS max_length

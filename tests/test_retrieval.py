@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import keyword, retrieval, vectors
+from docweave.operators import approximate, keyword, retrieval, vectors
 
 
 def vector_rows(n, dim, seed, collections=("default",)):
@@ -89,15 +89,75 @@ def test_empty_and_odd_inputs(spark):
     assert 999 not in {r.id for r in vectors.exact_topk(qdf, odd, 60).collect()}
 
 
-@pytest.mark.parametrize("bound", [4096, 4])
-def test_approximate_search_finds_most(spark, bound):
-    q, v, qdf, vdf = frames(spark, n_v=200)
-    found = vectors.approximate_topk(qdf, vdf, 5, tables=12, planes=3, query_bound=bound, vector_block=64)
-    assert vectors.recall(found, vectors.exact_topk(qdf, vdf, 5)).first().recall > 0.8
-    rows = found.collect()
+def clustered(spark, n, collections=("a",)):
+    """Vectors around 40 centres in 32 dimensions, as arrays and as a table."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    m = centres[rng.integers(0, 40, n)] + 0.35 * rng.standard_normal((n, 32))
+    rows = [(i, collections[i % len(collections)], x.tolist()) for i, x in enumerate(m)]
+    return m, spark.createDataFrame(rows, "id long, collection string, embedding array<float>")
+
+
+@pytest.mark.parametrize("broadcast_rows", [4096, 0])
+def test_approximate_search_reads_probed_lists_only(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(approximate, "QUERY_ROWS", broadcast_rows)
+    monkeypatch.setattr(approximate, "CHUNK_ROWS", 40)  # long lists are cut
+    _m, vdf = clustered(spark, 3000, ("a", "b"))
+    q = vdf.where("id % 60 = 0").withColumnRenamed("id", "query_id")
+    index = approximate.build(vdf, lists=60)
+    hits, counts = index.topk(q, 10, probes=6)
+    got = vectors.recall(hits, vectors.exact_topk(q, vdf, 10)).first()
+    work = counts.first()
+    assert got.expected == 500 and got.recall >= 0.9
+    assert work.scored <= work.scanned < 0.2 * 3000 * 50 and work.scored < 0.1 * 3000 * 50
+    rows = hits.collect()
     assert len({(r.query_id, r.id) for r in rows}) == len(rows)
-    # one plane-free table puts everything into one bucket and is exact
-    assert ranked(vectors.approximate_topk(qdf, vdf, 5, tables=1, planes=0)) == brute(q, v, 5)
+    exact = {(r.query_id, r.id): r.score for r in vectors.exact_topk(q, vdf, 10).collect()}
+    assert all(r.score == exact[r.query_id, r.id] for r in rows if (r.query_id, r.id) in exact)
+
+
+def test_all_lists_and_an_exact_screen_are_the_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(approximate, "TAIL_COSINE", 1.0)
+    _m, vdf = clustered(spark, 400)
+    q = vdf.where("id < 20").withColumnRenamed("id", "query_id")
+    hits, _ = approximate.approximate_topk(q, vdf, 7, probes=12, lists=12)
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.score) for r in df.collect())
+    assert key(hits) == key(vectors.exact_topk(q, vdf, 7))
+
+
+def test_lists_are_partitions_that_the_scan_prunes(spark):
+    _m, vdf = clustered(spark, 500)
+    index = approximate.build(vdf, lists=10)
+    plan = index.rows.where(F.col("list").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan
+    assert index.rows.count() == 500
+
+
+def test_approximate_search_on_odd_input(spark):
+    ddl = "id long, collection string, embedding array<float>"
+    mixed = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 0.0]), (3, "a", None), (4, "a", []), (5, "a", [1.0, 0.0, 0.0]), (6, "b", [1.0, 0.0]), (7, "a", [1.0, 0.0])], ddl)
+    q = spark.createDataFrame([(9, "a", [2.0, 0.0]), (10, "a", None), (11, "c", [1.0, 0.0]), (12, "a", [1.0])], "query_id long, collection string, embedding array<float>")
+    hits, _ = approximate.approximate_topk(q, mixed, 5)
+    assert [(r.query_id, r.id, r.score) for r in hits.orderBy("query_id", "rank").collect()] == [(9, 1, 1.0), (9, 7, 1.0), (9, 2, 0.0)]
+    assert approximate.approximate_topk(q, mixed.limit(0), 5)[0].count() == 0
+    assert approximate.approximate_topk(q.limit(0), mixed, 5)[0].count() == 0
+    assert approximate.neighbour_graph(mixed.limit(0), 3).count() == 0
+
+
+def test_neighbour_graph_finds_the_nearest(spark):
+    m, vdf = clustered(spark, 1500)
+    links = approximate.neighbour_graph(vdf, 5, probes=3, rounds=1, lists=40).collect()
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    best = [set(np.lexsort((np.arange(1500), -s[i]))[:5]) for i in range(1500)]
+    found = {}
+    for r in links:
+        found.setdefault(r.source, set()).add(r.target)
+        assert abs(s[r.source, r.target] - r.score) < 2e-6
+    assert all(len(v) == 5 and k not in v for k, v in found.items()) and len(found) == 1500
+    assert sum(len(best[k] & v) for k, v in found.items()) >= 0.95 * 7500
 
 
 def test_upsert_modes_and_delete(spark):
