@@ -216,7 +216,7 @@ class Mixture:
 
     def placements(self) -> DataFrame:
         """Drawn spans: shard, position of the block in it, epoch, _row, doc_id, first_word, n_words."""
-        return self.spans().join(self.draws, ["_ix", "block"])
+        return self.spans().join(self.draws.hint("merge"), ["_ix", "block"])  # its size is not known beforehand
 
     def taken(self) -> DataFrame:
         """Per document: doc_id, source, size, source_size, target, taken."""
