@@ -12,6 +12,8 @@ from docweave.operators import approximate, context, evaluation, keyword, rankin
 from docweave.plans import inputs as inp
 from docweave.plans.documents import digest, docs
 from docweave.plans.registry import lit, query
+from docweave.session import work_path
+from docweave.sources.buckets import BucketTable
 from docweave.sources.tables import table
 
 BASE = inp.CORPUS_SQL
@@ -83,7 +85,12 @@ merged AS (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY seq
     f"WITH {_UPDATES_SQL} SELECT collection, id, note, round(embedding[1]::DOUBLE, 6) AS first_component FROM merged WHERE r = 1",
 )
 def vector_upsert(spark, d):
-    merged = vectors.upsert(*_updates(spark, d))
+    """The updates are merged into a stored table, of which only the touched buckets are read and written."""
+    base, updates = _updates(spark, d)
+    stored = BucketTable(spark, work_path(spark, "collection"), ["collection", "id"], buckets=16)
+    stored.merge(base)
+    stored.merge(updates, "seq")
+    merged = stored.read()
     first = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
     return merged.select("collection", "id", "note", first.alias("first_component"))
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docweave.operators.chunking import chunk_documents
 from docweave.operators.validation import DEFAULT, ValidationOptions, split_valid, validate
 from docweave.operators.vectors import hash_embed
+from docweave.sources.buckets import BucketTable
 from docweave.sources.tables import spread
 
 
@@ -49,12 +50,12 @@ def start_ingest(
     overlap: int = 200,
     embed: Callable[[DataFrame, str], DataFrame] = hash_embed,
 ) -> StreamingQuery:
-    """Write chunks and rejects of each micro-batch.
+    """Merge the chunks of each micro-batch into a bucketed table, and write its rejects.
 
-    A micro-batch owns one partition folder and overwrites it when it is
-    replayed, so a restart neither loses nor repeats rows, and no batch reads
-    the store back. The folder carries a name that belongs to the checkpoint: a new
-    checkpoint on an existing store adds to it.
+    The table counts a micro-batch once, by the number of its checkpoint and its own, so
+    a restart neither loses nor repeats rows; only buckets that hold a chunk again are
+    written anew. Rejects have one folder per micro-batch, which a replay overwrites. A
+    new checkpoint on an existing store adds to it.
     """
     run = _run_of(stream.sparkSession, store, checkpoint)
 
@@ -63,7 +64,7 @@ def start_ingest(
         # both sinks read the checked rows of this micro-batch
         validated = validate(rows, opt=opt).persist(StorageLevel.MEMORY_AND_DISK)
         chunks, rejected = prepare_validated(validated, size, overlap, embed)
-        chunks.write.mode("overwrite").parquet(f"{store}/chunks/run={run}/batch={batch_id}")
+        chunk_table(batch.sparkSession, store).merge(chunks, run=str(run), batch=batch_id)
         rejected.write.mode("overwrite").parquet(f"{store}/rejected/run={run}/batch={batch_id}")
         validated.unpersist()
 
@@ -90,12 +91,13 @@ def _run_of(spark: SparkSession, store: str, checkpoint: str) -> int:
     return known[checkpoint]
 
 
+def chunk_table(spark: SparkSession, store: str) -> BucketTable:
+    return BucketTable(spark, f"{store}/chunks", ["chunk_id"])
+
+
 def read_chunks(spark: SparkSession, store: str) -> DataFrame:
-    """Newest row per chunk id over all micro-batches, later checkpoints after earlier ones."""
-    rows = spark.read.parquet(f"{store}/chunks")
-    fields = [c for c in rows.columns if c not in ("chunk_id", "run", "batch")]
-    newest = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*fields), F.struct("run", "batch")).alias("_new"))
-    return newest.select("chunk_id", "_new.*")
+    """One row per chunk id, the newest over all micro-batches, later checkpoints after earlier ones."""
+    return chunk_table(spark, store).read()
 
 
 def read_rejected(spark: SparkSession, store: str) -> DataFrame:
