@@ -103,7 +103,8 @@ class BucketTable:
         path = work_path(self.spark, "staged")
         newest.withColumn("bucket", self._bucket()).write.parquet(path)
         staged = self.spark.read.parquet(path)
-        touched = {r["bucket"] for r in staged.select("bucket").distinct().collect()}  # at most ``buckets``
+        sizes = staged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``buckets``
+        touched = {r["bucket"] for r in sizes}
         there = [p for p in pairs if p[0] in touched]
         changed: set[int] = set()
         if there:
@@ -119,8 +120,8 @@ class BucketTable:
             out = kept.join(staged.select(*self.keys), self.keys, "left_anti").unionByName(staged, allowMissingColumns=True)
         version += 1
         if touched:
-            parts = -(-out.count() // (len(touched) * ROWS_PER_FILE))  # tasks for one bucket
-            spread = F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(max(1, parts)))
+            parts = -(-max(r["n"] for r in sizes) // ROWS_PER_FILE)  # tasks for one bucket
+            spread = F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(parts))
             (
                 out.repartition("bucket", spread)
                 .write.mode("overwrite")  # of an attempt that never got its manifest
