@@ -132,16 +132,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = No
     return pairs.join(found, "pair_id", "left")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: every node gets the smallest node of its component.
 
     Each round takes the smallest label among neighbours and then the label of
     that label, so the number of rounds grows with the logarithm of long chains
-    in the usual case. Ends when nothing changes.
+    in the usual case. Ends when nothing changes, which must come: labels only fall.
     """
     links, hubs = _links(edges, directed=False)
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
-    for _ in range(max_rounds):
+    while True:
         offered = (
             _along(labels.withColumnRenamed("node", "src"), links, hubs)
             .groupBy(F.col("dst").alias("node"))
@@ -158,19 +158,21 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
         hop = lower.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         jumped = skew_join(lower, hop, ["label"], ["node"], crowded, "left")
         labels = cut_lineage(jumped.select("node", F.coalesce("jump", "label").alias("label")))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Communities: each round a node takes its neighbours' most frequent label.
 
     All nodes change at once; of equally frequent labels the smallest wins, so
-    a fixed number of rounds has one result. Labels of a hub's neighbours are
-    counted before the shuffle.
+    every round has one result. Rounds end when no label changes, or when all labels are
+    those of an earlier round (they would run in a circle for ever), or after ``rounds``.
+    A round is known by its hash. Labels of a hub's neighbours are counted before the shuffle.
     """
     links, hubs = _links(edges, directed=False)
     labels = nodes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
-    for step in range(1, rounds + 1):
+    seen, step = set(), 0
+    while rounds is None or step < rounds:
+        step += 1
         votes = (
             _along(labels.withColumnRenamed("node", "src"), links, hubs)
             .groupBy(F.col("dst").alias("node"), "label")
@@ -180,8 +182,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
         labels = labels.join(chosen.select("node", F.col("label").alias("vote")), "node", "left").select(
             "node", F.coalesce("vote", "label").alias("label")
         )
-        if step < rounds:
+        if rounds is None or step < rounds:
             labels = cut_lineage(labels)
+            state = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("label", "node"))).first()
+            if state in seen:
+                break
+            seen.add(state)
     return labels.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
 
 

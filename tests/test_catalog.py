@@ -222,3 +222,23 @@ def test_paths_have_no_hop_limit(spark):
     got = {r.pair_id: r.hops for r in graph.shortest_paths(edges, pairs).collect()}
     assert got == {1: 20, 2: None}
     assert graph.shortest_paths(edges, pairs, max_hops=5).where("hops IS NOT NULL").count() == 0
+
+
+def test_label_propagation_ends_by_itself(spark):
+    """Two triangles with a bridge settle; a single link swaps its labels for ever and is stopped."""
+    def labels(links, rounds=None):
+        e = spark.createDataFrame(links, "source_doc string, target_doc string")
+        n = e.select(F.col("source_doc").alias("doc_id")).union(e.select("target_doc")).distinct()
+        return {r.doc_id: r.cluster for r in graph.label_propagation(n, e, rounds).collect()}
+
+    two = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f")]
+    settled = labels(two)
+    assert settled == labels(two, 30)
+    assert sorted(labels([("a", "b")]).values()) == ["a", "b"]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 40
+    e = spark.createDataFrame([((i * 37) % n, ((i + 1) * 37) % n) for i in range(n - 1)], "source_doc long, target_doc long")
+    got = graph.components(spark.range(n + 1).select(F.col("id").alias("doc_id")), e).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [1, n]
