@@ -379,6 +379,76 @@ def test_personal_data(spark, rows):
     assert pii.find_personal_data(frame(spark, rows).limit(0)).count() == 0
 
 
+def planted_text(kind: str, good: bool, rng: random.Random) -> tuple[str, str]:
+    """A sentence with one span of ``kind``, right or a near miss, and the span."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    if kind == "secret":
+        value = pick("0123456789abcdef", 40)
+        return (f'set token = "{value}" and go on' if good else f"see commit {value} of the tree"), value
+    if kind == "card":
+        body = "4" + pick("0123456789", 14)
+        last = next(d for d in "0123456789" if pii.luhn(body + d))
+        if good:  # beside another number, where the base rule sees one long run of digits
+            return f"the card {body}{last} {pick('123456789', 16)} was", body + last
+        value = body + str((int(last) + 1) % 10)
+        return f"article number {value} is", value
+    if kind == "email":
+        value = f"{pick('abcdefgh', 6)} (at) {pick('klmnop', 5)} (dot) {'com' if good else 'zzq'}"
+        return (f"contact by mail {value} please" if good else f"the total {value} please"), value
+    if kind == "iban":
+        body = pick("0123456789", 18)
+        check = 98 - int(body + "131400") % 97
+        value = f"DE{check if good else (check + 1) % 97:02d}{body}"
+        return (f"bank account {value} thanks" if good else f"order {value} thanks"), value
+    value = f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}" if good else f"9{pick('0123456789', 2)}-00-0000"
+    return (f"social security number: {value}." if good else f"part {value}."), value
+
+
+def test_added_spans_of_each_kind(spark):
+    rng, rows, planted = random.Random(8), [], {}
+    for kind in ("secret", "card", "email", "iban", "ssn"):
+        for i in range(60):
+            text, value = planted_text(kind, i % 2 == 0, rng)
+            text = f"{'word ' * rng.randint(0, 30)}{text} {'more ' * rng.randint(0, 30)}"
+            planted[len(rows)] = (kind, i % 2 == 0, text.index(value), text.index(value) + len(value))
+            rows.append((len(rows), text))
+    clean = range(len(rows), len(rows) + 200)
+    rows += [(i, f"plain words {i} of a text/without-any/personal_data in 2024, page 1{i}") for i in clean]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for kind in ("secret", "card", "email", "iban", "ssn"):
+        right = wrong = 0
+        for doc, (k, good, a, b) in planted.items():
+            found = any(pii.KINDS[s["kind"]] == k and (s["start"], s["stop"]) == (a, b) for s in got[doc])
+            right, wrong = right + (k == kind and good and found), wrong + (k == kind and not good and found)
+        assert right >= 27 and wrong <= 1, (kind, right, wrong)
+    assert sum(bool(got[i]) for i in clean) <= 2
+
+
+def test_secrets_of_the_documents(spark, small):
+    """Each value that the texts assign to a token is a span, and the commonest pattern is not the only one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    n = 0
+    for doc_id, text in docs.collect():
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text or ""):
+            n += 1
+            assert any((pii.KINDS[s["kind"]], s["start"], s["stop"]) == ("secret", m.start(1), m.end(1)) for s in got[doc_id])
+    assert n > 5
+
+
+def test_proposals_of_hostile_texts_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        for unit in ("token=", "token token", " +1", "1.", "1 ", "A-", "a", "A1 ", "(at) "):
+            text = unit * n
+            pii._extra(text, pii.base_spans(text))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_label_model_finds_the_unreliable_labeler():
     rng = random.Random(6)
     seen: dict[str, int] = {}
