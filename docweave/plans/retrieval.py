@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.ranks import top_per_group
 from docweave.functions.text import NO_RESULT_TEXT, WS
 from docweave.functions.vector import norm, unit
-from docweave.operators import approximate, context, evaluation, keyword, ranking, retrieval, vectors
+from docweave.operators import approximate, context, evaluation, impacts, keyword, ranking, retrieval, vectors
 from docweave.plans import inputs as inp
 from docweave.plans.documents import digest, docs
 from docweave.plans.registry import lit, query
@@ -297,6 +297,21 @@ def bm25_topk(spark, d):
     return hits(bm25(spark, d, 10))
 
 
+def impact_index(spark: SparkSession, d: str) -> impacts.ImpactIndex:
+    index = keyword.write_index(docs(spark, d), work_path(spark, "terms"))
+    return impacts.write_impacts(index, work_path(spark, "impacts"))
+
+
+@query("bm25_pruned", f"WITH {BASE}, {inp.bm25_hits_sql('hits', 10)} SELECT query_id, id, score, rank FROM hits")
+def bm25_pruned(spark, d):
+    return hits(impacts.search_impacts(impact_index(spark, d), inp.questions(spark, d), 10))
+
+
+@query("bm25_pruned_work")
+def bm25_pruned_work(spark, d):
+    return impacts.search_work(impact_index(spark, d), inp.questions(spark, d), 10)
+
+
 HYBRID_SQL = f"""{BASE}, {inp.cosine_hits_sql('semantic', 10)}, {inp.bm25_hits_sql('word_hits', 10)},
   {inp.rrf_sql('fused', 'semantic', 'word_hits', 5)}"""
 

@@ -1,11 +1,12 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import approximate, keyword, retrieval, vectors
+from docweave.operators import approximate, impacts, keyword, retrieval, vectors
 
 
 def vector_rows(n, dim, seed, collections=("default",)):
@@ -282,3 +283,49 @@ def test_index_of_one_pass_equals_the_other(spark, tmp_path):
     assert sorted(map(tuple, one.terms.collect())) == sorted(map(tuple, two.terms.collect()))
     assert one.corpus.first().asDict() == two.corpus.first().asDict()
     assert keyword.search_index(one, asked, 5).collect() == keyword.search_index(two, asked, 5).collect() != []
+
+
+def zipf_corpus(n, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"t{i}" for i in range(400)]
+    chance = 1 / np.arange(1, 401)
+    sizes = rng.integers(0, 60, n)
+    return [(i, " ".join(rng.choice(words, size, p=chance / chance.sum()))) for i, size in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("term_bytes,pair_rows,heads", [(32 * 1024 * 1024, 500_000, 64), (-1, -1, 2)])
+def test_pruned_search_equals_the_full_one(spark, tmp_path, few_rows_are_hot, monkeypatch, term_bytes, pair_rows, heads):
+    monkeypatch.setattr(keyword, "QUERY_TERMS_BYTES", term_bytes)
+    monkeypatch.setattr(impacts, "BROADCAST_ROWS", pair_rows)
+    monkeypatch.setattr(impacts, "HEADS", heads)
+    corpus = zipf_corpus(400, 5) + [(900, None), (901, "t1 t1 t2"), (902, "t1 t1 t2")]  # nulls and ties
+    asked = [(i, text) for i, text in zipf_corpus(25, 6)] + [(50, "t0 t0 t0"), (51, "zz"), (52, ""), (53, "t399 zz t0")]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    index = keyword.build_index(docs).write(str(tmp_path / "index"))
+    pruned = impacts.write_impacts(index, str(tmp_path / "impacts"))
+    for k in (1, 7):
+        full = sorted(map(tuple, keyword.search_index(index, queries, k).select("query_id", "id", "score", "rank").collect()))
+        got = sorted(map(tuple, impacts.search_impacts(pruned, queries, k).select("query_id", "id", "score", "rank").collect()))
+        assert got == full and full
+    monkeypatch.setattr(impacts, "SKIP", 1.0)  # the fewest postings
+    work = {r.query_id: r for r in impacts.search_work(pruned, queries, 1).collect()}
+    assert sum(r.read for r in work.values()) < 0.5 * sum(r.postings for r in work.values())
+    assert 51 not in work and 52 not in work
+
+
+def test_pruned_search_reads_only_levels_it_needs(spark, tmp_path):
+    docs = spark.createDataFrame(zipf_corpus(300, 7), "doc_id long, text string")
+    index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
+    queries = spark.createDataFrame([(1, "t350 t0")], "query_id long, text string")
+    _, matches = impacts._plan(index, queries, 1, "text", 6)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)", plan)[1]
+    assert "shelf" in filters and "level" in filters
+    assert matches.count() > 0
+
+
+def test_pruned_search_of_an_empty_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
+    assert impacts.search_impacts(index, spark.createDataFrame(QUERIES, "query_id int, text string"), 3).count() == 0
