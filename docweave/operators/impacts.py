@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from docweave.functions.ranks import hot_keys, skew_join, top_per_group
 from docweave.operators import keyword
@@ -65,7 +66,7 @@ def write_impacts(index: TermIndex, path: str) -> ImpactIndex:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("overwrite").partitionBy("shelf", "level").parquet(f"{path}/impacts")
     spark = index.postings.sparkSession
-    impacts = spark.read.parquet(f"{path}/impacts")
+    impacts = spark.read.schema(rows.schema).parquet(f"{path}/impacts")
     best = top_per_group(impacts.drop("shelf", "level"), ["term"], [F.col("impact").desc(), F.col("doc_id")], HEADS)
     best.drop("rank").write.mode("overwrite").parquet(f"{path}/heads")
     bounds = impacts.groupBy("term").agg(
@@ -81,7 +82,10 @@ def write_impacts(index: TermIndex, path: str) -> ImpactIndex:
 
 
 def read_impacts(spark: SparkSession, path: str) -> ImpactIndex:
-    return ImpactIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("impacts", "heads", "terms", "forward")))
+    heads, terms, forward = (spark.read.parquet(f"{path}/{name}") for name in ("heads", "terms", "forward"))
+    # an index without postings has no folder to tell its columns
+    schema = StructType([*heads.schema.fields, StructField("shelf", IntegerType()), StructField("level", IntegerType())])
+    return ImpactIndex(spark.read.schema(schema).parquet(f"{path}/impacts"), heads, terms, forward)
 
 
 def _exact(index: ImpactIndex, asked: DataFrame, pairs: DataFrame, decimals: int) -> DataFrame:
