@@ -36,9 +36,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_ROWS_BOUND = 4096
 QUERY_BYTES_BOUND = 64 * 1024 * 1024
-VECTOR_BLOCK_ROWS = 65_536
-# pairs scored at once by one task: bounds its memory whatever the batch sizes
-PAIRS_AT_ONCE = 4_000_000
+VECTOR_BLOCK_ROWS = 32_768
+# a query block of the grid may hold this many times the rows of a query set that is broadcast
+GRID_BLOCKS = 8
+# fewer pairs than this are not worth a task of their own
+PAIRS_PER_TASK = 1 << 24
+# pairs screened at once by one task, and those of them scored: bounds its memory whatever the batch sizes
+TILE_QUERIES = 512
+PAIRS_AT_ONCE = 2_000_000
+CANDIDATES_AT_ONCE = 1 << 16
 
 
 # ---- collections -------------------------------------------------------------------
@@ -153,43 +159,55 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """(score, goodness) of all pairs of a block; goodness is larger for better pairs."""
-    sims = q @ v.T
-    if metric == "cosine":
-        return sims, sims
-    d = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * sims
-    np.maximum(d, 0.0, out=d)
-    return d, -d
+class _Tile:
+    """Some queries of a block and their best ``k`` over the vectors that pass by.
 
+    Pairs are screened in single precision against the ``k``-th best so far, with room for
+    its error and the rounding; only those that pass are scored, in double precision.
+    """
 
-class _Best:
-    """Best ``k`` per query over the batches of one task."""
-
-    def __init__(self, k: int, decimals: int):
-        self.k, self.decimals = k, decimals
-        self.rows: tuple[np.ndarray, ...] | None = None
-
-    def _prune(self, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    def __init__(self, rows: np.ndarray, unit_rows: np.ndarray, k: int, metric: str, decimals: int):
+        self.rows, self.unit, self.k, self.l2, self.decimals = rows, unit_rows, k, metric != "cosine", decimals
+        self.short = unit_rows.astype(np.float32)
+        self.square = (unit_rows * unit_rows).sum(1)
+        # a product of unit vectors is off by at most dim * 2^-24, twice (vector and bar), doubled for distances
+        self.slack = 10.0**-decimals + (8 if self.l2 else 4) * (unit_rows.shape[1] + 4) * 2.0**-24
+        self.least = np.full(len(rows), -np.inf)
+        self.best: tuple[np.ndarray, ...] | None = None
+
+    def _candidates(self, short: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = self.short @ short.T
+        if self.l2:
+            good = 2 * good - self.square[:, None].astype(np.float32) - square[None, :].astype(np.float32)
+        bar, n = self.least - self.slack, good.shape[1]
+        if n > self.k and not np.isfinite(bar).all():
+            bar = np.maximum(bar, np.partition(good, n - self.k, axis=1)[:, n - self.k] - self.slack)
+        return np.nonzero(good >= bar[:, None])
+
+    def add(self, unit_rows: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
+        square = (unit_rows * unit_rows).sum(1)
+        q_all, v_all = self._candidates(unit_rows.astype(np.float32), square)
+        for lo in range(0, len(q_all), CANDIDATES_AT_ONCE):  # many when vectors tie
+            q, v = q_all[lo : lo + CANDIDATES_AT_ONCE], v_all[lo : lo + CANDIDATES_AT_ONCE]
+            score = np.einsum("ij,ij->i", self.unit[q], unit_rows[v])
+            if self.l2:
+                score = np.maximum(self.square[q] + square[v] - 2.0 * score, 0.0)
+            good = np.round(-score if self.l2 else score, self.decimals)
+            near = good >= self.least[q]
+            q, v, score, good = q[near], v[near], score[near], good[near]
+            self._merge((q, good, score, ids[v], keep[v]))
+
+    def _merge(self, new: tuple[np.ndarray, ...]) -> None:
+        rows = new if self.best is None else tuple(np.concatenate(p) for p in zip(self.best, new))
         q, good, _score, ids, _keep = rows
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -good, q))
-        q_sorted = q[order]
-        starts = np.flatnonzero(np.r_[True, q_sorted[1:] != q_sorted[:-1]]) if len(q_sorted) else np.array([], int)
-        position = np.arange(len(q_sorted)) - np.repeat(starts, np.diff(np.r_[starts, len(q_sorted)]))
-        return tuple(a[order[position < self.k]] for a in rows)
-
-    def add(self, q_index: np.ndarray, good: np.ndarray, score: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
-        good = np.round(good, self.decimals)
-        n = good.shape[1]
-        if n > self.k:
-            # keep every pair that ties with the k-th best; the order by id decides later
-            bar = np.partition(good, n - self.k, axis=1)[:, n - self.k]
-            qi, vi = np.nonzero(good >= bar[:, None])
-        else:
-            qi, vi = (a.ravel() for a in np.indices(good.shape))
-        new = (q_index[qi], good[qi, vi], score[qi, vi], ids[vi], keep[vi])
-        rows = new if self.rows is None else tuple(np.concatenate(p) for p in zip(self.rows, new))
-        self.rows = self._prune(rows)
+        by_id = np.unique(ids, return_inverse=True)[1] if ids.dtype.kind in "UO" else ids
+        order = np.lexsort((by_id, -good, q))
+        q = q[order]
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
+        position = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+        self.best = tuple(a[order[position < self.k]] for a in rows)
+        last = order[position == self.k - 1]
+        self.least[rows[0][last]] = good[last]
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -223,27 +241,47 @@ class _QueryBlock(NamedTuple):
 def _search_batches(
     batches: Iterator[pa.RecordBatch], block: _QueryBlock, k: int, metric: str, decimals: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
-    best = _Best(k, decimals)
-    rows = max(1, PAIRS_AT_ONCE // max(1, len(block.ids)))
+    tiles = {
+        shape: [
+            _Tile(q_rows[i : i + TILE_QUERIES], q_mat[i : i + TILE_QUERIES], k, metric, decimals)
+            for i in range(0, len(q_rows), TILE_QUERIES)
+        ]
+        for shape, (q_rows, q_mat) in block.groups.items()
+    }
+    rows = max(1, PAIRS_AT_ONCE // max(1, min(TILE_QUERIES, len(block.ids))))
     for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
         for shape, v_rows in _shapes(batch.column(1).to_numpy(zero_copy_only=False).astype(str), batch.column(2)):
-            if shape not in block.groups:
-                continue
-            q_rows, q_mat = block.groups[shape]
-            mat = _matrix(batch.column(2).take(pa.array(v_rows)))
-            score, good = _scores(q_mat, mat, metric)
-            best.add(q_rows, good, score, ids[v_rows], keep[v_rows])
-    if best.rows is not None:
-        q, _good, score, ids, keep = best.rows
-        columns = [pa.array(block.ids[q].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
+            if shape in tiles:
+                mat = _matrix(batch.column(2).take(pa.array(v_rows)))
+                for tile in tiles[shape]:
+                    tile.add(mat, ids[v_rows], keep[v_rows])
+    for tile in (t for some in tiles.values() for t in some if t.best is not None):
+        q, _good, score, ids, keep = tile.best
+        columns = [pa.array(block.ids[tile.rows[q]].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _cuts(n_q: int, n_v: int, rows: tuple[int, int], cores: int) -> tuple[int, int]:
+    """Blocks of queries and of vectors: as few as their size allows, enough for all cores."""
+    q_blocks, v_blocks = max(1, math.ceil(n_q / rows[0])), max(1, math.ceil(n_v / rows[1]))
+    wanted = min(4 * cores, math.ceil(n_q * n_v / PAIRS_PER_TASK))
+    while q_blocks * v_blocks < wanted:
+        if n_q / q_blocks > n_v / v_blocks:
+            q_blocks *= 2
+        else:
+            v_blocks *= 2
+    return q_blocks, v_blocks
+
+
 def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, decimals: int, out, rows: tuple[int, int]):
-    """Every query block meets every vector block in its own bounded task."""
-    q_rows, v_rows = rows
-    q_blocks, v_blocks = math.ceil(n_q / q_rows), max(1, math.ceil(v.count() / v_rows))
+    """Every query block meets every vector block in its own bounded task.
+
+    A query moves once per vector block and a vector once per query block, so blocks are large.
+    """
+    q_blocks, v_blocks = _cuts(n_q, v.count(), rows, q.sparkSession.sparkContext.defaultParallelism)
+    # the sides may come from one table: a cogroup of columns with one identity loses them
+    q = q.select(*(F.col(c).alias(c) for c in q.columns))
     q_side = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
         "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))
     )
@@ -256,11 +294,10 @@ def _search_grid(q: DataFrame, v: DataFrame, n_q: int, k: int, metric: str, deci
         empty = schema.empty_table()
         if not (left.num_rows and right.num_rows):
             return empty
-        left, right = left.combine_chunks(), right.combine_chunks()
         block = _QueryBlock.of(left)
         names = ["id", "collection", "embedding", "_keep"]
-        batch = pa.RecordBatch.from_arrays([right[c].chunk(0) for c in names], names=names)
-        found = list(_search_batches(iter([batch]), block, k, metric, decimals, schema))
+        batches = right.select(names).to_batches()
+        found = list(_search_batches(iter(batches), block, k, metric, decimals, schema))
         return pa.Table.from_batches(found, schema) if found else empty
 
     return (
@@ -330,7 +367,7 @@ def exact_topk(
         partial = v.mapInArrow(search, T.StructType(fields))
     else:
         out = {"query_id": q_arrow, "id": id_arrow, "fields": fields}
-        q_rows = max(1, min(query_bound, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
+        q_rows = max(1, min(GRID_BLOCKS * query_bound, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
         v_rows = max(1, min(vector_block, QUERY_BYTES_BOUND // (8 * max(dim, 1))))
         partial = _search_grid(q, v, n, k, metric, decimals, out, (q_rows, v_rows))
 

@@ -51,6 +51,31 @@ def ranked(df, value="id"):
     return out
 
 
+def test_grid_searches_a_table_with_itself(spark):
+    """Both sides of the grid come from one table, so their columns have one identity."""
+    _, v, _, vdf = frames(spark)
+    own = vdf.select(F.col("id").alias("query_id"), "embedding", "collection")
+    got = ranked(vectors.exact_topk(own, vdf, 4, query_bound=2, vector_block=16))
+    assert got == brute([(x[0], x[1], x[2]) for x in v], v, 4)
+
+
+def test_cuts_of_the_grid_serve_all_cores_with_few_copies():
+    rows = (32_768, 32_768)
+    assert vectors._cuts(600_000, 600_000, rows, 12) == (19, 19)  # a row moves 19 times, 600 000 of them 38 in all
+    q, v = vectors._cuts(10_000, 10_000, rows, 12)
+    assert 6 <= q * v <= 48
+    assert vectors._cuts(0, 0, rows, 12) == (1, 1)
+
+
+def test_many_ties_keep_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CANDIDATES_AT_ONCE", 7)
+    v = spark.range(90).select("id", F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding")).repartition(3)
+    asked = v.select(F.col("id").alias("query_id"), "embedding").where("query_id < 3")
+    for bound in (4096, 1):
+        got = vectors.exact_topk(asked, v, 5, query_bound=bound, vector_block=16)
+        assert ranked(got) == {i: [0, 1, 2, 3, 4] for i in range(3)}
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 @pytest.mark.parametrize("bound", [4096, 4])
 def test_exact_topk_on_both_plans(spark, metric, bound, monkeypatch):
