@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.best import Best
 from docweave.functions.ranks import top_per_group
 from docweave.functions.text import tokens
 from docweave.operators.validation import metadata_filter
@@ -167,22 +168,18 @@ class _Tile:
     """
 
     def __init__(self, rows: np.ndarray, unit_rows: np.ndarray, k: int, metric: str, decimals: int):
-        self.rows, self.unit, self.k, self.l2, self.decimals = rows, unit_rows, k, metric != "cosine", decimals
+        self.rows, self.unit, self.l2 = rows, unit_rows, metric != "cosine"
         self.short = unit_rows.astype(np.float32)
         self.square = (unit_rows * unit_rows).sum(1)
         # a product of unit vectors is off by at most dim * 2^-24, twice (vector and bar), doubled for distances
         self.slack = 10.0**-decimals + (8 if self.l2 else 4) * (unit_rows.shape[1] + 4) * 2.0**-24
-        self.least = np.full(len(rows), -np.inf)
-        self.best: tuple[np.ndarray, ...] | None = None
+        self.best = Best(len(rows), k, decimals)
 
     def _candidates(self, short: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         good = self.short @ short.T
         if self.l2:
             good = 2 * good - self.square[:, None].astype(np.float32) - square[None, :].astype(np.float32)
-        bar, n = self.least - self.slack, good.shape[1]
-        if n > self.k and not np.isfinite(bar).all():
-            bar = np.maximum(bar, np.partition(good, n - self.k, axis=1)[:, n - self.k] - self.slack)
-        return np.nonzero(good >= bar[:, None])
+        return np.nonzero(good >= self.best.bar(good, self.slack)[:, None])
 
     def add(self, unit_rows: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
         square = (unit_rows * unit_rows).sum(1)
@@ -192,22 +189,7 @@ class _Tile:
             score = np.einsum("ij,ij->i", self.unit[q], unit_rows[v])
             if self.l2:
                 score = np.maximum(self.square[q] + square[v] - 2.0 * score, 0.0)
-            good = np.round(-score if self.l2 else score, self.decimals)
-            near = good >= self.least[q]
-            q, v, score, good = q[near], v[near], score[near], good[near]
-            self._merge((q, good, score, ids[v], keep[v]))
-
-    def _merge(self, new: tuple[np.ndarray, ...]) -> None:
-        rows = new if self.best is None else tuple(np.concatenate(p) for p in zip(self.best, new))
-        q, good, _score, ids, _keep = rows
-        by_id = np.unique(ids, return_inverse=True)[1] if ids.dtype.kind in "UO" else ids
-        order = np.lexsort((by_id, -good, q))
-        q = q[order]
-        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
-        position = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        self.best = tuple(a[order[position < self.k]] for a in rows)
-        last = order[position == self.k - 1]
-        self.least[rows[0][last]] = good[last]
+            self.best.add(q, -score if self.l2 else score, ids[v], score, keep[v])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -256,8 +238,8 @@ def _search_batches(
                 mat = _matrix(batch.column(2).take(pa.array(v_rows)))
                 for tile in tiles[shape]:
                     tile.add(mat, ids[v_rows], keep[v_rows])
-    for tile in (t for some in tiles.values() for t in some if t.best is not None):
-        q, _good, score, ids, keep = tile.best
+    for tile in (t for some in tiles.values() for t in some if t.best.rows is not None):
+        q, _good, ids, score, keep = tile.best.rows
         columns = [pa.array(block.ids[tile.rows[q]].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -245,6 +245,30 @@ def test_bm25_on_both_plans(spark, tmp_path, few_rows_are_hot, monkeypatch, term
         assert got == expected
 
 
+def test_bm25_in_small_pieces(spark, tmp_path, monkeypatch):
+    """Pieces of any size, documents without terms between them, string ids and ties."""
+    corpus = [(f"d{i:03}", t) for i, t in zipf_corpus(150, 8)] + [("x", None), ("a", "t1 t1 t2"), ("b", "t1 t1 t2"), ("", "?!")]
+    docs = spark.createDataFrame(corpus, "doc_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(i, t) for i, t in zipf_corpus(20, 9)] + [(50, "t1"), (51, "zz")], "query_id int, text string")
+    monkeypatch.setattr(keyword, "QUERY_TERMS_BYTES", -1)
+    joined = sorted(map(tuple, keyword.search_documents(docs, queries, 6).select("query_id", "id", "score", "rank").collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(keyword, "TERMS_AT_ONCE", 50)
+    monkeypatch.setattr(keyword, "PARTS_AT_ONCE", 70)
+    stored = keyword.write_index(docs, str(tmp_path / "i"))
+    for found in (keyword.search_documents(docs, queries, 6), keyword.search_index(stored, queries, 6)):
+        assert sorted(map(tuple, found.select("query_id", "id", "score", "rank").collect())) == joined
+    assert len({r[0] for r in joined}) == len({q for q, *_ in joined}) > 15
+
+
+def test_bm25_pairs_never_become_rows(spark):
+    """Neither pairs of query and document nor postings are grouped or moved: only the best of each task are."""
+    docs = spark.createDataFrame(CORPUS, "doc_id int, text string")
+    queries = spark.createDataFrame(QUERIES, "query_id int, text string")
+    plan = keyword.search_documents(docs, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Generate" not in plan
+
+
 def test_bm25_of_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert keyword.search_documents(docs, spark.createDataFrame(QUERIES, "query_id int, text string"), 3).count() == 0
