@@ -48,7 +48,9 @@ QUERY_ROWS = 4096
 QUERY_VALUES = 4 << 20
 #: Rows of a list that one task of the shuffled search holds; its queries come in blocks of as many.
 CHUNK_ROWS = 16_384
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 2_000_000
+#: Below every cosine: the score to beat of a query that has none yet.
+NO_BAR = -2.0
 SLACK = 1e-5
 
 
@@ -127,6 +129,17 @@ class _Best:
         if self.size > 1.25 * self.k * self.n:
             self.prune()
 
+    def add_block(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """All pairs of some queries with some rows; only those that can be among the best ``k`` are kept."""
+        n = len(ids)
+        if n > self.k:
+            last = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
+            self.least[q] = np.maximum(self.least[q], np.round(last, self.decimals))
+            a, b = np.nonzero(scores >= last[:, None] - 10.0**-self.decimals)
+        else:
+            a, b = (x.ravel() for x in np.indices(scores.shape))
+        self.add(q[a], scores[a, b], ids[b])
+
     def prune(self) -> None:
         if not self.rows:
             return
@@ -181,11 +194,16 @@ def _scan(batch: pa.RecordBatch, queries: _Queries, spaces: dict[int, Space], be
                 there = rows[(lists[rows] == number) & (names[rows] == name)]
                 step = max(1, PAIRS_AT_ONCE // max(1, len(mine)))
                 for lo in range(0, len(there), step):
-                    part = there[lo : lo + step]
+                    part, mine = there[lo : lo + step], asked[queries.collections[asked] == name]
                     q, m = queries.matrix(dim, mine), dense(vectors, part)
+                    counts[0] += len(mine) * len(part)
+                    fresh = best.least[mine] <= NO_BAR
+                    if fresh.any():  # no score to beat yet: all their pairs are scored, the best of them go on
+                        counts[1] += int(fresh.sum()) * len(part)
+                        best.add_block(mine[fresh], q[fresh] @ m.T, ids[part])
+                        mine, q = mine[~fresh], q[~fresh]
                     short = heads.take(pa.array(part)).flatten().to_numpy().reshape(len(part), -1).astype(np.float64)
                     a, b = _screened(spaces[dim], q, best.least[mine], short, tails[part].astype(np.float64))
-                    counts[0] += len(mine) * len(part)
                     counts[1] += len(a)
                     best.add(mine[a], np.einsum("ij,ij->i", q[a], m[b]), ids[part[b]])
 
@@ -213,7 +231,7 @@ def _block(table: pa.Table, spaces: dict[int, Space], k_least: str | None = None
     for i, probed in enumerate(table["lists"].to_pylist()):
         for number in probed or ():
             lists.setdefault(number, []).append(i)
-    least = np.array([-2.0 if x is None else x for x in table["least"].to_pylist()])
+    least = np.array([NO_BAR if x is None else x for x in table["least"].to_pylist()])
     names = np.array(table["collection"].to_pylist(), object).astype(str)
     return _Queries(table["query_id"].to_pylist(), names, {n: np.array(x) for n, x in lists.items()}, rows, least)
 
@@ -336,7 +354,9 @@ def build(vectors: DataFrame, path: str | None = None, lists: int | None = None)
     """
     spark = vectors.sparkSession
     path = path or work_path(spark, "lists")
-    rows = _with_collection(vectors).select("id", "collection", "embedding").where(F.array_size("embedding") > 0)
+    # read for sizes, samples and lists; what makes them may be costly, and a filter would make them twice
+    rows = _stored(_with_collection(vectors).select("id", "collection", "embedding"), "vectors")
+    rows = rows.where(F.array_size("embedding") > 0)
     sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.array_size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     spaces, first = {}, 0
     for dim, n in sorted(sizes.items()):
@@ -374,12 +394,11 @@ def neighbour_graph(vectors: DataFrame, k: int, probes: int = PROBES, rounds: in
     that are not linked yet are scored, ``rounds`` times. Score 6 digits, ties by id.
     """
     index = build(vectors, lists=lists)
-    rows = _with_collection(vectors).select("id", "collection", "embedding").where(F.array_size("embedding") > 0)
+    rows = index.rows.select("id", "collection", "embedding")
     hits, _ = index.topk(rows.withColumnRenamed("id", "query_id"), k + 1, probes)
     order = [F.col("score").desc(), F.col("target").asc()]
     found = hits.where(F.col("query_id") != F.col("id")).select(F.col("query_id").alias("source"), F.col("id").alias("target"), "score")
     links = _stored(top_per_group(found, ["source"], order, k).drop("rank"), "neighbours")
-    unit_rows = _stored(rows.select("id", "collection", _unit(F.col("embedding")).alias("unit")), "units") if rounds else None
     for _ in range(rounds):
         around = links.select("source", "target").union(links.select(F.col("target").alias("source"), F.col("source").alias("target")))
         # at most k of the vectors that name one as their neighbour stand for a hub
@@ -387,16 +406,26 @@ def neighbour_graph(vectors: DataFrame, k: int, probes: int = PROBES, rounds: in
         two = around.select(F.col("source").alias("middle"), F.col("target").alias("end"))
         far = links.select("source", F.col("target").alias("middle")).join(two, "middle").where("source != end")
         far = far.select("source", F.col("end").alias("target")).distinct().join(links, ["source", "target"], "left_anti")
-        a = unit_rows.select(F.col("id").alias("source"), F.col("collection").alias("_ca"), F.col("unit").alias("_a"))
-        b = unit_rows.select(F.col("id").alias("target"), F.col("collection").alias("_cb"), F.col("unit").alias("_b"))
+        a = rows.select(F.col("id").alias("source"), F.col("collection").alias("_ca"), F.col("embedding").alias("_a"))
+        b = rows.select(F.col("id").alias("target"), F.col("collection").alias("_cb"), F.col("embedding").alias("_b"))
         pairs = far.join(a, "source").join(b, "target").where((F.col("_ca") == F.col("_cb")) & (F.size("_a") == F.size("_b")))
-        dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        more = pairs.select("source", "target", F.round(dot, 6).alias("score"))
+        more = _cosines(pairs.select("source", "target", "_a", "_b"))
         links = _stored(top_per_group(links.unionByName(more), ["source"], order, k).drop("rank"), "neighbours")
     return links
 
 
-def _unit(c):
-    wide = F.transform(c, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
+def _cosines(pairs: DataFrame) -> DataFrame:
+    """``source, target, score`` of pairs with vectors ``_a`` and ``_b`` of one dimension."""
+    ends = pairs.schema.fields[:2]
+    schema = pa.schema([(f.name, _KINDS[f.dataType.simpleString()]) for f in ends] + [("score", pa.float64())])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            for _, rows in _shapes(batch.column("_a")):
+                score[rows] = np.einsum("ij,ij->i", dense(batch.column("_a"), rows), dense(batch.column("_b"), rows))
+            columns = [batch.column(0), batch.column(1), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    made = pairs.mapInArrow(scored, T.StructType([*ends, T.StructField("score", T.DoubleType())]))
+    return made.select("source", "target", F.round("score", 6).alias("score"))

@@ -170,6 +170,29 @@ def test_approximate_search_on_odd_input(spark):
     assert approximate.neighbour_graph(mixed.limit(0), 3).count() == 0
 
 
+def test_vectors_are_made_once_for_the_neighbour_graph(spark):
+    """What makes the vectors may be costly, so the graph reads stored ones."""
+    made = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        made.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), float(t.count("a")), 1.0])
+
+    texts = spark.createDataFrame([(i, "a" * (i % 7) + "b" * (i % 11)) for i in range(60)], "id long, t string")
+    links = approximate.neighbour_graph(vectors.embed_with(texts, "t", model).drop("t"), 3, probes=3, lists=6)
+    assert links.count() == 180 and made.value == 60
+
+
+def test_first_look_keeps_the_best_of_a_block():
+    best = approximate._Best(2, 3, np.full(2, approximate.NO_BAR), 6)
+    scores = np.random.default_rng(3).uniform(-1, 1, (2, 50))
+    best.add_block(np.arange(2), scores, np.arange(50))
+    assert best.size < 10  # not all hundred pairs
+    best.prune()
+    q, _, ids = best.rows[0]
+    assert [ids[q == i].tolist() for i in range(2)] == np.argsort(-scores, axis=1)[:, :3].tolist()
+
+
 def test_neighbour_graph_finds_the_nearest(spark):
     m, vdf = clustered(spark, 1500)
     links = approximate.neighbour_graph(vdf, 5, probes=3, rounds=1, lists=40).collect()
