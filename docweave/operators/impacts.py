@@ -6,22 +6,35 @@ of a query are then taken from the strongest to the weakest: a document whose st
 term is the j-th needs there what the weaker terms together cannot bring. Postings lie by
 term and impact level, so weaker ones are not read at all. A document whose postings
 read, with all that the others can add, stay below that score is dropped; the rest is scored
-from a forward table, which gives the same rows as the full search.
+from the forward table of the term index, which gives the same rows as the full search.
+
+A posting meets the queries of its term inside a task that has all postings of its document:
+pairs of query and document become rows only when they stay open.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from docweave.functions.ranks import hot_keys, skew_join, top_per_group
 from docweave.operators import keyword
 from docweave.operators.keyword import K1, B, TermIndex
 from docweave.session import cut_lineage
 
+# tasks receive the kernels below inside the job, so no worker has to install this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHELVES = 16
 LOWEST = -8
 #: Best postings kept per term for the first look; more than ``k`` of a search is not needed.
@@ -29,18 +42,20 @@ HEADS = 64
 #: Share of the needed score that postings which are not read may add up to. At 1 the fewest are
 #: read, but nearly all documents with any of them stay open; lower values leave few to score.
 SKIP = 0.15
+#: Postings of a shelf that are dealt to one task and written to one file per level.
+SHELF_ROWS = 2_000_000
 #: Query-document pairs up to which they go to every task; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
 @dataclass
 class ImpactIndex:
-    """``impacts(term, doc_id, impact, shelf, level)``, ``heads``, ``terms(term, df, top, bottom)``, ``forward(doc_id, impacts)``."""
+    """``impacts(term, doc_id, impact, shelf, level)``, ``heads``, ``terms(term, df, idf, top)`` and the term index."""
 
     impacts: DataFrame
     heads: DataFrame
     terms: DataFrame
-    forward: DataFrame
+    source: TermIndex
 
 
 def _level(impact: Column) -> Column:
@@ -53,48 +68,58 @@ def _shelf(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SHELVES)).cast("int")
 
 
+def _impact(idf: Column, tf: Column, dl: Column, avg_len: float) -> Column:
+    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avg_len))
+
+
 def write_impacts(index: TermIndex, path: str) -> ImpactIndex:
-    """Store the impacts of a term index; frequent terms are split over tasks by impact."""
+    """Store the impacts of a term index; its forward table is used as it is.
+
+    Frequent terms are split over tasks. The heads of a term of few postings are those postings,
+    which are only copied; for the others each task passes on its best.
+    """
     avg_len = keyword._figures(index.corpus)["avg_len"]
     hot = hot_keys(index.terms, ["term"], "df")
-    weighted = skew_join(index.postings, index.terms.select("term", "idf"), ["term"], ["doc_id"], hot)
-    tf, dl = F.col("tf"), F.col("doc_len")
-    impact = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avg_len))
-    rows = weighted.select("term", "doc_id", impact.alias("impact"))
+    weighted = skew_join(index.postings, index.terms.select("term", "idf", "df"), ["term"], ["doc_id"], hot)
+    impact = _impact(F.col("idf"), F.col("tf"), F.col("doc_len"), avg_len)
+    rows = weighted.select("term", "doc_id", impact.alias("impact"), (F.col("df") <= HEADS).alias("few"))
     rows = rows.withColumn("shelf", _shelf(F.col("term"))).withColumn("level", _level(F.col("impact")))
-    order = ["shelf", "level", "term", "impact", "doc_id"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.mode("overwrite").partitionBy("shelf", "level").parquet(f"{path}/impacts")
-    spark = index.postings.sparkSession
+    postings = index.terms.agg(F.sum("df")).first()[0] or 0
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 + postings // (SHELVES * SHELF_ROWS)))
+    rows.repartition("shelf", "level", part).write.mode("overwrite").partitionBy("shelf", "level").parquet(f"{path}/impacts")
+    spark = index.terms.sparkSession
     impacts = spark.read.schema(rows.schema).parquet(f"{path}/impacts")
-    best = top_per_group(impacts.drop("shelf", "level"), ["term"], [F.col("impact").desc(), F.col("doc_id")], HEADS)
-    best.drop("rank").write.mode("overwrite").parquet(f"{path}/heads")
-    bounds = impacts.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.max("impact").alias("top"), F.min("impact").alias("bottom")
-    )
-    bounds.write.mode("overwrite").parquet(f"{path}/terms")
-    # one value per document: its distinct terms
-    forward = impacts.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "impact"))).alias("impacts")
-    )
-    forward.write.mode("overwrite").parquet(f"{path}/forward")
-    return read_impacts(spark, path)
-
-
-def read_impacts(spark: SparkSession, path: str) -> ImpactIndex:
-    heads, terms, forward = (spark.read.parquet(f"{path}/{name}") for name in ("heads", "terms", "forward"))
+    heads = impacts.where("few").select("term", "impact", "doc_id")
+    heads.write.mode("overwrite").parquet(f"{path}/heads")
+    many = impacts.where("NOT few").select("term", "impact", "doc_id")
+    best = top_per_group(many, ["term"], [F.col("impact").desc(), F.col("doc_id")], HEADS)
+    best.drop("rank").write.mode("append").parquet(f"{path}/heads")
+    # the best posting of a term is among its heads
+    tops = spark.read.parquet(f"{path}/heads").groupBy("term").agg(F.max("impact").alias("top"))
+    index.terms.select("term", "df", "idf").join(tops, "term").write.mode("overwrite").parquet(f"{path}/terms")
+    return read_impacts(spark, path, index)
+
+
+def read_impacts(spark: SparkSession, path: str, index: TermIndex) -> ImpactIndex:
+    heads, terms = (spark.read.parquet(f"{path}/{name}") for name in ("heads", "terms"))
     # an index without postings has no folder to tell its columns
     schema = StructType([*heads.schema.fields, StructField("shelf", IntegerType()), StructField("level", IntegerType())])
-    return ImpactIndex(spark.read.schema(schema).parquet(f"{path}/impacts"), heads, terms, forward)
+    return ImpactIndex(spark.read.schema(schema).parquet(f"{path}/impacts"), heads, terms, index)
 
 
 def _exact(index: ImpactIndex, asked: DataFrame, pairs: DataFrame, decimals: int) -> DataFrame:
     """Score of ``pairs(query_id, doc_id)`` from the forward table."""
-    wanted = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("wanted"))
+    entry = F.struct("term", F.struct("qtf", "idf").alias("weight"))
+    wanted = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(entry)).alias("wanted"))
+    avg_len = keyword._figures(index.source.corpus)["avg_len"]
     few = pairs.count() <= BROADCAST_ROWS
-    met = index.forward.join(F.broadcast(pairs) if few else pairs, "doc_id").join(wanted, "query_id")
-    common = F.array_intersect(F.map_keys("impacts"), F.map_keys("wanted"))
-    part = lambda total, term: total + F.col("impacts")[term] * F.col("wanted")[term]
+    met = index.source.forward.join(F.broadcast(pairs) if few else pairs, "doc_id").join(wanted, "query_id")
+    common = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.map_contains_key("wanted", x["terms"]))
+
+    def part(total: Column, x: Column) -> Column:
+        weight = F.col("wanted")[x["terms"]]
+        return total + _impact(weight["idf"], x["counts"], F.col("doc_len"), avg_len) * weight["qtf"]
+
     return met.select("query_id", "doc_id", F.round(F.aggregate(common, F.lit(0.0), part), decimals).alias("score"))
 
 
@@ -137,30 +162,175 @@ def _folders(impacts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _matches(index: ImpactIndex, probes: DataFrame, sendable: bool) -> DataFrame:
-    """``query_id, doc_id``, what they add to ``hope``, and ``needed``, per posting that a probe reads."""
-    wanted = probes.where("least <= top").drop("df", "bottom")
+    """``doc_id, term, impact`` of each posting that some probe reads."""
+    wanted = probes.groupBy("term").agg(F.min("least").alias("least"), F.max("top").alias("top")).where("least <= top")
     if sendable:
         levels = F.sequence(_level(F.col("least")), _level(F.col("top")))
-        wanted = wanted.withColumn("shelf", _shelf(F.col("term"))).withColumn("level", F.explode(levels))
+        wanted = cut_lineage(wanted.withColumn("shelf", _shelf(F.col("term"))).withColumn("level", F.explode(levels)))
         met = _folders(index.impacts, wanted).join(F.broadcast(wanted), ["shelf", "level", "term"])
     else:
         met = skew_join(index.impacts, wanted, ["term"], ["doc_id"], hot_keys(index.terms, ["term"], "df"))
-    gain = F.col("qtf") * F.col("impact") - F.col("reach")
-    return met.where("impact >= least").select("query_id", "doc_id", gain.alias("gain"), "hope", "needed")
-
-
-def _candidates(matches: DataFrame) -> DataFrame:
-    """``query_id, doc_id`` whose postings read, with the most that the others add, reach the needed score."""
-    sums = matches.groupBy("query_id", "doc_id").agg(
-        F.sum("gain").alias("gain"), F.max("hope").alias("hope"), F.max("needed").alias("needed"), F.count(F.lit(1)).alias("n")
+    return met.where("impact >= least").select("doc_id", "term", "impact")
+
+
+class _Probes(NamedTuple):
+    """Query ids with the ``hope`` and ``needed`` of each; sorted terms, and per term where its probes start."""
+
+    ids: pa.Array
+    hope: np.ndarray
+    needed: np.ndarray
+    terms: pa.Array
+    starts: np.ndarray
+    queries: np.ndarray
+    qtf: np.ndarray
+    least: np.ndarray
+    reach: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> _Probes:
+        table = table.combine_chunks().sort_by("term")
+        query, term = (table[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+        numbers = term.indices.to_numpy(zero_copy_only=False)  # ascending, as the terms are sorted
+        queries = query.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.unique(queries, return_index=True)[1]
+        qtf, least, reach, hope, needed = (
+            table[c].to_numpy().astype(np.float64) for c in ("qtf", "least", "reach", "hope", "needed")
+        )
+        starts = np.searchsorted(numbers, np.arange(len(term.dictionary) + 1))
+        return _Probes(
+            query.dictionary, hope[first], needed[first], term.dictionary.cast(pa.string()), starts, queries, qtf, least, reach
+        )
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by ``doc_id``, cut between documents."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        ids = rows["doc_id"].to_numpy()
+        cut = int(np.argmax(ids == ids[-1])) if len(ids) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        rest = rows.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _met(batches: Iterator[pa.RecordBatch], probes: _Probes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Postings that the probes read (queries by documents), whether a pair is open, and the document ids."""
+    n = len(probes.ids)
+    for rows in _documents(batches):
+        ids, row = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+        number = pc.index_in(rows["term"].combine_chunks(), value_set=probes.terms).to_numpy(zero_copy_only=False)
+        impact = rows["impact"].to_numpy()
+        fan = probes.starts[number + 1] - probes.starts[number]
+        parts = np.bincount(row, weights=fan, minlength=len(ids)).astype(np.int64)
+        for lo, hi in keyword._pieces(np.maximum(parts, n), keyword.PARTS_AT_ONCE):
+            some, width = slice(*np.searchsorted(row, [lo, hi])), hi - lo
+            f = fan[some]
+            at = np.repeat(probes.starts[number[some]] - (np.cumsum(f) - f), f) + np.arange(f.sum())
+            value, doc = np.repeat(impact[some], f), np.repeat(row[some] - lo, f)
+            reads = value >= probes.least[at]
+            at, value, doc = at[reads], value[reads], doc[reads]
+            place = probes.queries[at] * width + doc
+            read = np.bincount(place, minlength=n * width).reshape(n, width)
+            gain = np.bincount(place, weights=probes.qtf[at] * value - probes.reach[at], minlength=n * width)
+            reached = gain.reshape(n, width) + probes.hope[:, None] >= probes.needed[:, None]
+            yield read, (read > 0) & reached, ids[lo:hi]
+
+
+def _sums(matches: DataFrame, probes: DataFrame) -> DataFrame:
+    """The same by join and shuffle, for probes that are too many to send: ``query_id, doc_id, n, open``."""
+    mine = probes.select("query_id", "term", "qtf", "least", "reach", "hope", "needed")
+    hot = hot_keys(mine.groupBy("term").agg(F.count(F.lit(1)).alias("n")), ["term"], "n")
+    met = skew_join(matches, mine, ["term"], ["doc_id"], hot).where("impact >= least")
+    sums = met.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("qtf") * F.col("impact") - F.col("reach")).alias("gain"),
+        F.max("hope").alias("hope"),
+        F.max("needed").alias("needed"),
+        F.count(F.lit(1)).alias("n"),
     )
     return sums.withColumn("open", F.col("gain") + F.col("hope") >= F.col("needed"))
 
 
-def _plan(index: ImpactIndex, queries: DataFrame, k: int, text: str, decimals: int) -> tuple[DataFrame, DataFrame]:
+class _Plan(NamedTuple):
+    asked: DataFrame
+    matches: DataFrame
+    probes: DataFrame
+    sendable: bool
+
+
+def _planned(index: ImpactIndex, queries: DataFrame, k: int, text: str, decimals: int) -> _Plan:
     asked = cut_lineage(keyword._query_terms(queries, text).join(index.terms, "term"))
     probes = cut_lineage(_probes(asked, _thresholds(index, asked, k, decimals), decimals))
-    return asked, _matches(index, probes, keyword._sendable(asked))
+    ids = asked.schema["query_id"].dataType, index.heads.schema["doc_id"].dataType
+    sendable = all(kind in keyword._KINDS for kind in ids) and keyword._sendable(asked)
+    return _Plan(asked, _matches(index, probes, sendable), probes, sendable)
+
+
+def _plan(index: ImpactIndex, queries: DataFrame, k: int, text: str, decimals: int) -> tuple[DataFrame, DataFrame]:
+    """Weighted query terms, and the postings that the search reads."""
+    return _planned(index, queries, k, text, decimals)[:2]
+
+
+def _by_document(plan: _Plan, fields: list[StructField], kernel, *others) -> DataFrame:
+    """``kernel(batches, probes, schema, *others)`` over the postings read, all of a document in one task."""
+    columns = plan.probes.where("least <= top").select("query_id", "term", "qtf", "least", "reach", "hope", "needed")
+    shared = plan.matches.sparkSession.sparkContext.broadcast((_Probes.of(columns.toArrow()), *others))
+    schema = pa.schema([(f.name, keyword._KINDS.get(f.dataType, pa.list_(pa.int32()))) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes, *rest = shared.value
+        return kernel(batches, probes, schema, *rest)
+
+    rows = plan.matches.repartition("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def _open_batches(
+    batches: Iterator[pa.RecordBatch], probes: _Probes, schema: pa.Schema, ids: pa.Array
+) -> Iterator[pa.RecordBatch]:
+    """One row per document with open pairs: its queries, by their place in ``ids``."""
+    place = pc.index_in(probes.ids, value_set=ids).to_numpy(zero_copy_only=False)
+    for _, opened, docs in _met(batches, probes):
+        d, q = np.nonzero(opened.T)
+        some = np.unique(d)
+        starts = np.append(np.searchsorted(d, some), len(d)).astype(np.int32)
+        queries = pa.ListArray.from_arrays(pa.array(starts), pa.array(place[q].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(docs[some].tolist(), schema[0].type), queries], schema=schema)
+
+
+def _work_batches(batches: Iterator[pa.RecordBatch], probes: _Probes, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    read, scored = np.zeros((2, len(probes.ids)), np.int64)
+    for reads, opened, _ in _met(batches, probes):
+        read += reads.sum(1)
+        scored += opened.sum(1)
+    yield pa.RecordBatch.from_arrays([probes.ids.cast(schema[0].type), pa.array(read), pa.array(scored)], schema=schema)
+
+
+def _scored(index: ImpactIndex, plan: _Plan, k: int, decimals: int) -> DataFrame:
+    """Scores of the open pairs, whose postings read, with the most that the others add, reach the needed score.
+
+    When the query terms can be sent, a document meets its queries as one row, and tasks pass on their best.
+    """
+    if not plan.sendable:
+        pairs = _sums(plan.matches, plan.probes).where("open").select("query_id", "doc_id")
+        return _exact(index, plan.asked, cut_lineage(pairs), decimals)
+    asked = keyword._Asked.of(plan.asked.select("query_id", "term", "qtf", "idf").toArrow())
+    fields = [plan.matches.schema["doc_id"], StructField("queries", ArrayType(IntegerType()))]
+    opened = _by_document(plan, fields, _open_batches, asked.ids)
+    docs = index.source.forward.join(opened, "doc_id")
+    avg_len = keyword._figures(index.source.corpus)["avg_len"]
+    return keyword._scored_in_tasks(docs, plan.asked.schema["query_id"], asked, avg_len, k, decimals)
+
+
+def _work(plan: _Plan) -> DataFrame:
+    if not plan.sendable:
+        return _sums(plan.matches, plan.probes).groupBy("query_id").agg(F.sum("n").alias("read"), F.count_if("open").alias("scored"))
+    fields = [plan.asked.schema["query_id"], StructField("read", LongType()), StructField("scored", LongType())]
+    sums = _by_document(plan, fields, _work_batches).groupBy("query_id")
+    return sums.agg(F.sum("read").alias("read"), F.sum("scored").alias("scored"))
 
 
 def search_impacts(index: ImpactIndex, queries: DataFrame, k: int, text: str = "text", decimals: int = 6) -> DataFrame:
@@ -169,14 +339,14 @@ def search_impacts(index: ImpactIndex, queries: DataFrame, k: int, text: str = "
     Terms that no document has and queries without terms give no rows. The result does
     not depend on ``HEADS``; a low value only makes the first look weaker.
     """
-    asked, matches = _plan(index, queries, k, text, decimals)
-    scored = _exact(index, asked, cut_lineage(_candidates(matches).where("open").select("query_id", "doc_id")), decimals)
+    plan = _planned(index, queries, k, text, decimals)
+    scored = _scored(index, plan, k, decimals)
     order = [F.col("score").desc(), F.col("doc_id").asc()]
     return top_per_group(scored.where("score > 0"), ["query_id"], order, k).withColumnRenamed("doc_id", "id")
 
 
 def search_work(index: ImpactIndex, queries: DataFrame, k: int, text: str = "text", decimals: int = 6) -> DataFrame:
     """Per query: ``postings`` of its terms, ``read`` by the search, and ``scored`` documents."""
-    asked, matches = _plan(index, queries, k, text, decimals)
-    done = _candidates(matches).groupBy("query_id").agg(F.sum("n").alias("read"), F.count_if("open").alias("scored"))
-    return asked.groupBy("query_id").agg(F.sum("df").alias("postings")).join(done, "query_id", "left").na.fill(0, ["read", "scored"])
+    plan = _planned(index, queries, k, text, decimals)
+    postings = plan.asked.groupBy("query_id").agg(F.sum("df").alias("postings"))
+    return postings.join(_work(plan), "query_id", "left").na.fill(0, ["read", "scored"])

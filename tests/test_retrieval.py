@@ -397,6 +397,16 @@ def test_pruned_search_reads_only_levels_it_needs(spark, tmp_path):
     assert matches.count() > 0
 
 
+def test_pruned_search_reads_a_posting_once_for_all_queries(spark, tmp_path):
+    docs = spark.createDataFrame(zipf_corpus(300, 8), "doc_id long, text string")
+    index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
+    queries = spark.createDataFrame([(i, f"t0 t1 t{i}") for i in range(40)], "query_id long, text string")
+    _, matches = impacts._plan(index, queries, 5, "text", 6)
+    assert 0 < matches.count() == matches.select("doc_id", "term").distinct().count()
+    work = {r.query_id: r for r in impacts.search_work(index, queries, 5).collect()}
+    assert sum(r.read for r in work.values()) > matches.count()  # each query still counts what it reads
+
+
 def test_pruned_search_of_an_empty_corpus(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
