@@ -55,13 +55,11 @@ def related(
         "incoming": [("target_doc", "source_doc")],
         "both": [("source_doc", "target_doc"), ("target_doc", "source_doc")],
     }[direction]
-    parts = [
-        wanted.select(F.col(own).alias("doc_id"), F.col(other).alias("related_doc"), "relationship_type", "weight")
-        for own, other in sides
-    ]
-    found = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).join(
-        asked.select("doc_id").distinct(), "doc_id", "left_semi"
-    )
+    # both directions of an edge come from one row: the edges are computed once
+    ends = F.array(*(F.struct(F.col(own).alias("doc_id"), F.col(other).alias("related_doc")) for own, other in sides))
+    rows = wanted.select(F.explode(ends).alias("_end"), "relationship_type", "weight")
+    rows = rows.select("_end.doc_id", "_end.related_doc", "relationship_type", "weight")
+    found = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     best = found.groupBy("doc_id", "related_doc", "relationship_type").agg(F.max("weight").alias("weight"))
     order = [F.col("weight").desc(), F.col("related_doc").asc(), F.col("relationship_type").asc()]
     return top_per_group(best, ["doc_id"], order, max_results)

@@ -10,7 +10,7 @@ from docweave.functions.text import SPACE_CHARS
 from docweave.operators.requests import window_start
 from docweave.operators.vectors import embed_with, term_counts_model
 from docweave.plans.registry import lit
-from docweave.sources.tables import spread, table
+from docweave.sources.tables import dealt, spread, table
 
 AS_OF = "1999-06-01 00:00:00"
 SPACES_SQL = lit(SPACE_CHARS)
@@ -256,7 +256,7 @@ def trade_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
             a.alias("source_doc"), b.alias("target_doc"), F.lit(kind).alias("relationship_type"), weight.alias("weight")
         )
 
-    sold = li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    sold = dealt(li, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
     edges = (
         link(sold, key("P", "l_partkey"), key("S", "l_suppkey"), "reference", F.col("w"))
         .union(link(su, key("S", "s_suppkey"), key("N", "s_nationkey"), "hierarchy", F.lit(1.0)))

@@ -12,6 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that one task groups at once.
+GROUPED_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A table as read, dealt by ``keys`` in tasks of bounded size for a grouping by nearly unique keys.
+
+    Without this a task groups all rows of its split before the shuffle, to no use, and as many as a
+    shuffle partition has after it. The rows of a Parquet table are counted from its footers.
+    """
+    return df.repartition(-(-df.count() // GROUPED_ROWS) or 1, *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when a scan has fewer tasks than the session has cores.
 

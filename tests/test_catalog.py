@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.ranks import bucketed_row_number, hot_keys, skew_join
 from docweave.operators import graph, ingest, tenants, versions
+from docweave.sources import tables
 
 VERSIONS = "document_id string, version_number long, created_by string, change_summary string, content string, metadata map<string,string>"
 LOG = [
@@ -121,6 +122,21 @@ def test_edge_types(spark, net):
     assert (good.count(), bad.count()) == (7, 2)
 
 
+def test_related_computes_the_edges_once(spark, net):
+    asked = spark.createDataFrame([("A",)], "doc_id string")
+    edges = net[1].groupBy("source_doc", "target_doc", "relationship_type").agg(F.sum("weight").alias("weight"))
+    plan = graph.related(edges, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum(weight") == 1
+
+
+def test_grouped_rows_are_dealt_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "GROUPED_ROWS", 100)
+    rows = spark.range(1050).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    counted = tables.dealt(rows, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    assert counted.rdd.getNumPartitions() == 11 and counted.count() == 1050
+    assert tables.dealt(rows.limit(0), "a").count() == 0
+
+
 def test_related(spark, net):
     asked = spark.createDataFrame([("a",)], "doc_id string")
 
