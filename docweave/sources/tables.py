@@ -16,13 +16,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 GROUPED_ROWS = 250_000
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """A table as read, dealt by ``keys`` in tasks of bounded size for a grouping by nearly unique keys.
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, least: int = 1) -> DataFrame:
+    """A table as read, dealt by ``keys`` in tasks of about ``rows`` rows, at ``least`` so many.
 
-    Without this a task groups all rows of its split before the shuffle, to no use, and as many as a
-    shuffle partition has after it. The rows of a Parquet table are counted from its footers.
+    For a grouping by nearly unique keys: without this a task groups all rows of its split before the
+    shuffle, to no use, and as many as a shuffle partition has after it. And for costly work per row,
+    where few splits hold the rows. The rows of a Parquet table are counted from its footers.
     """
-    return df.repartition(-(-df.count() // GROUPED_ROWS) or 1, *keys)
+    return df.repartition(max(least, -(-df.count() // (rows or GROUPED_ROWS))), *keys)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

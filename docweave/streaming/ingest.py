@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from docweave.operators.chunking import chunk_documents
 from docweave.operators.validation import DEFAULT, ValidationOptions, split_valid, validate
 from docweave.operators.vectors import hash_embed
+from docweave.session import work_path
 from docweave.sources.buckets import BucketTable
-from docweave.sources.tables import spread
+from docweave.sources.tables import dealt
+
+#: Documents that one task checks or splits.
+BATCH_ROWS = 2000
 
 
 def prepare(
@@ -40,6 +43,11 @@ def prepare_validated(
     return embed(chunk_documents(kept, size=size, overlap=overlap), "content"), rejected
 
 
+def _even(batch: DataFrame) -> DataFrame:
+    """Rows of a micro-batch dealt evenly: a large file is read by few tasks, however many splits it has."""
+    return dealt(batch, "doc_id", "content", rows=BATCH_ROWS, least=batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def start_ingest(
     stream: DataFrame,
     metadata: Column,
@@ -60,13 +68,13 @@ def start_ingest(
     run = _run_of(stream.sparkSession, store, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = spread(batch.withColumn("metadata", metadata), "doc_id")
-        # both sinks read the checked rows of this micro-batch
-        validated = validate(rows, opt=opt).persist(StorageLevel.MEMORY_AND_DISK)
-        chunks, rejected = prepare_validated(validated, size, overlap, embed)
-        chunk_table(batch.sparkSession, store).merge(chunks, run=str(run), batch=batch_id)
+        spark = batch.sparkSession
+        # both sinks read the checked rows of this micro-batch; they are stored, as no memory holds a large one
+        checked = work_path(spark, "checked")
+        validate(_even(batch).withColumn("metadata", metadata), opt=opt).write.parquet(checked)
+        chunks, rejected = prepare_validated(spark.read.parquet(checked), size, overlap, embed)
+        chunk_table(spark, store).merge(chunks, run=str(run), batch=batch_id)
         rejected.write.mode("overwrite").parquet(f"{store}/rejected/run={run}/batch={batch_id}")
-        validated.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

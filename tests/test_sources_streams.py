@@ -27,6 +27,15 @@ def folder(tmp_path):
     return base
 
 
+def test_a_micro_batch_in_one_split_is_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "BATCH_ROWS", 10)
+    rows = spark.range(400).selectExpr("cast(id as string) AS doc_id", "concat('text ', id) AS content").coalesce(1)
+    for _ in range(spark.sparkContext.defaultParallelism):  # empty splits
+        rows = rows.union(spark.createDataFrame([], rows.schema))
+    sizes = [len(part) for part in ingest._even(rows).rdd.glom().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 40
+
+
 def test_load_directory(spark, folder):
     rows = {r.filename: r for r in files.load_directory(spark, str(folder)).collect()}
     assert set(rows) == {"sample.txt", "README.MD", "nested.txt"}
