@@ -38,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUERY_ROWS_BOUND = 4096
 QUERY_BYTES_BOUND = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 32_768
+# texts that are Python strings at once in a task that embeds them
+EMBED_ROWS = 256
 # a query block of the grid may hold this many times the rows of a query set that is broadcast
 GRID_BLOCKS = 8
 # fewer pairs than this are not worth a task of their own
@@ -114,11 +116,21 @@ def attach_vectors(texts: DataFrame, vectors: DataFrame, on: str) -> DataFrame:
 
 
 def embed_with(texts: DataFrame, text: str, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Attach vectors from a caller's batch model ``Series[str] -> Series[list]``."""
-    embed = F.pandas_udf(model, T.ArrayType(T.FloatType()))
+    """Attach vectors from a caller's batch model ``Series[str] -> Series[list]``.
+
+    The model gets short pieces of an Arrow batch, as the texts of a whole one take much memory as Python strings.
+    """
+    embed = F.arrow_udf(lambda column: _embedded(column, model), T.ArrayType(T.FloatType()))
     return texts.withColumn("embedding", embed(F.col(text)))
 
 
+def _embedded(column: pa.Array, model: Callable[[pd.Series], pd.Series]) -> pa.Array:
+    kind = pa.list_(pa.float32())
+    pieces = (column.slice(lo, EMBED_ROWS) for lo in range(0, len(column), EMBED_ROWS))
+    made = [pa.array(list(model(piece.to_pandas())), kind, from_pandas=True) for piece in pieces]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def hash_embed(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
     """Attach unit vectors of hashed token counts: the offline stand-in for a model."""
     counted = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_counts").transform(

@@ -397,6 +397,17 @@ def test_pruned_search_reads_only_levels_it_needs(spark, tmp_path):
     assert matches.count() > 0
 
 
+def test_models_get_texts_in_short_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "EMBED_ROWS", 3)
+
+    def model(texts):
+        return texts.map(lambda t: None if t is None else [float(t), float(len(texts))])
+
+    rows = spark.range(0, 10, 1, 1).selectExpr("id", "IF(id = 4, NULL, cast(id as string)) AS text")
+    got = {r.id: r.embedding for r in vectors.embed_with(rows, "text", model).collect()}
+    assert got == {i: None if i == 4 else [float(i), 1.0 if i == 9 else 3.0] for i in range(10)}
+
+
 def test_pruned_search_reads_a_posting_once_for_all_queries(spark, tmp_path):
     docs = spark.createDataFrame(zipf_corpus(300, 8), "doc_id long, text string")
     index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
