@@ -1,6 +1,9 @@
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -422,3 +425,36 @@ def test_pruned_search_of_an_empty_corpus(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     index = impacts.write_impacts(keyword.build_index(docs).write(str(tmp_path / "i")), str(tmp_path / "p"))
     assert impacts.search_impacts(index, spark.createDataFrame(QUERIES, "query_id int, text string"), 3).count() == 0
+
+
+def test_pruned_index_holds_all_postings_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(impacts, "BLOCK_POSTINGS", 200)  # many blocks, and documents longer than one
+    long = " ".join(f"t{i}" for i in range(300))
+    corpus = [(f"d{i}", text) for i, text in [*zipf_corpus(120, 9), (500, long), (501, "")]]
+    docs = spark.createDataFrame(corpus, "doc_id string, text string")
+    for name, texts in (("strings", docs), ("numbers", docs.withColumn("doc_id", F.expr("int(substr(doc_id, 2))")))):
+        index = keyword.build_index(texts).write(str(tmp_path / name))
+        pruned = impacts.write_impacts(index, str(tmp_path / f"{name}-impacts"))
+        rows = pruned.postings.collect()
+        avg_len = index.corpus.first()["avg_len"]
+        tf, dl = F.col("tf"), F.col("doc_len")
+        weight = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))
+        want = {(r.term, r.doc_id): r.w for r in index.postings.select("term", "doc_id", weight.alias("w")).collect()}
+        assert len(rows) == len(want) and {(r.term, r.doc_id): r.weight for r in rows} == pytest.approx(want)
+        blocks = pruned.blocks.select("block").distinct().count()
+        assert blocks > 5 and pruned.blocks.count() <= blocks * impacts.SHELVES * (impacts.HIGHEST - impacts.LOWEST + 1)
+        queries = spark.createDataFrame(zipf_corpus(12, 10), "query_id int, text string")
+        full = keyword.search_index(index, queries, 4).select("query_id", "id", "score", "rank").collect()
+        got = impacts.search_impacts(pruned, queries, 4).select("query_id", "id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, full)) != []
+
+
+def test_kernels_of_the_pruned_search_need_no_package_on_the_worker(tmp_path):
+    from pyspark import cloudpickle
+
+    kernels = (impacts._block_batches, impacts._open_batches, impacts._work_batches, impacts._head_batches)
+    (tmp_path / "kernels").write_bytes(cloudpickle.dumps(kernels))
+    code = "import pickle, sys; print(len(pickle.load(open('kernels', 'rb'))), 'docweave' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.split() == ["4", "False"], done.stderr
