@@ -63,7 +63,8 @@ class ImpactIndex:
 
     ``counts`` and ``tops`` are the postings and the largest weight per term; ``doc_ids`` and ``weights``
     are the postings, term after term. Numbers are packed in one binary value per row, ids too if they are
-    numbers (``_packed``): a list would pass each of them alone between the engine, files and Python.
+    numbers (``_packed``), and terms, which have no spaces, are one string: a list would pass each of them
+    alone between the engine, files and Python.
     """
 
     blocks: DataFrame
@@ -125,6 +126,12 @@ def _unpacked(column: pa.Array, number: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[places[0] : places[-1]].view(number) if data else np.zeros(0, number)
 
 
+def _terms(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all rows, and the row of each."""
+    lists = pc.split_pattern(batch.column("terms").cast(pa.string()), " ")
+    return lists.flatten(), np.repeat(np.arange(batch.num_rows), _lengths(lists))
+
+
 def _packed_ids(offsets: np.ndarray, ids: pa.Array, id_type: str | None) -> pa.Array:
     return _packed(offsets, ids.to_numpy(), id_type) if id_type else _lists(offsets, ids)
 
@@ -159,7 +166,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], avg_len: float, names: lis
             per_term, per_posting = np.r_[first, len(runs)], np.r_[runs[first], len(key)]
             columns = [
                 pa.array(np.full(len(first), block)),
-                _lists(per_term, known.dictionary.take(pa.array(term)).cast(pa.string())),
+                pc.binary_join(_lists(per_term, known.dictionary.take(pa.array(term)).cast(pa.string())), " "),
                 _packed(per_term, np.diff(np.r_[runs, len(key)]), "<i4"),
                 _packed(per_term, np.maximum.reduceat(weight, runs), "<f8"),
                 _packed_ids(per_posting, part.column("doc_id").take(pa.array(row[order])), id_type),
@@ -173,7 +180,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], avg_len: float, names: lis
 
 def _posting_batches(batches: Iterator[pa.RecordBatch], id_type: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        terms, counts = batch.column("terms").flatten(), _unpacked(batch.column("counts"), "<i4")
+        terms, counts = _terms(batch)[0], _unpacked(batch.column("counts"), "<i4")
         ids, weights = _unpacked_ids(batch.column("doc_ids"), id_type), _unpacked(batch.column("weights"), "<f8")
         term = np.repeat(np.arange(len(terms)), counts)
         for lo in range(0, len(term), BLOCK_POSTINGS):
@@ -203,7 +210,7 @@ def _block_schema(index: TermIndex) -> StructType:
     doc_id = index.forward.schema["doc_id"].dataType
     kinds = {
         "block": LongType(),
-        "terms": ArrayType(StringType()),
+        "terms": StringType(),
         "counts": BinaryType(),
         "tops": BinaryType(),
         "doc_ids": BinaryType() if doc_id in _NUMBERS else ArrayType(doc_id),
@@ -240,10 +247,10 @@ def _chosen(batch: pa.RecordBatch, terms: pa.Array, idf: np.ndarray, least: np.n
 
     Terms whose block maximum stays below are skipped.
     """
-    number = pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    own, row = _terms(batch)
+    number = pc.fill_null(pc.index_in(own, value_set=terms), -1).to_numpy(zero_copy_only=False)
     counts = _unpacked(batch.column("counts"), "<i4")
     starts = np.cumsum(counts, dtype=np.int64) - counts
-    row = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("terms")))
     runs = np.flatnonzero(number >= 0)
     mine = number[runs]
     top = _unpacked(batch.column("tops"), "<f8")[runs]
@@ -271,9 +278,10 @@ def _folders(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 def _top_batches(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[pa.RecordBatch]:
     """``term, level, n, top`` of the terms in each row; postings are not touched."""
     for batch in batches:
-        found = pc.index_in(batch.column("terms").flatten(), value_set=terms)
+        own, row = _terms(batch)
+        found = pc.index_in(own, value_set=terms)
         known = pc.is_valid(found)
-        level = np.repeat(batch.column("level").to_numpy(), _lengths(batch.column("terms")))
+        level = batch.column("level").to_numpy()[row]
         columns = [terms.take(found.filter(known)), pa.array(level).filter(known)]
         columns += [pa.array(_unpacked(batch.column(c), kind)).filter(known) for c, kind in (("counts", "<i4"), ("tops", "<f8"))]
         yield pa.RecordBatch.from_arrays(columns, ["term", "level", "n", "top"])
