@@ -40,13 +40,16 @@ QUERY_BYTES_BOUND = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 32_768
 # texts that are Python strings at once in a task that embeds them
 EMBED_ROWS = 256
+# bytes of texts whose terms a task counts at once
+EMBED_BYTES = 8 << 20
 # a query block of the grid may hold this many times the rows of a query set that is broadcast
 GRID_BLOCKS = 8
 # fewer pairs than this are not worth a task of their own
 PAIRS_PER_TASK = 1 << 24
-# pairs screened at once by one task, and those of them scored: bounds its memory whatever the batch sizes
+# pairs screened at once by one task, and those of them scored: bounds its memory whatever the batch sizes,
+# and what is screened stays in the cache of a core
 TILE_QUERIES = 512
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1 << 18
 CANDIDATES_AT_ONCE = 1 << 16
 
 
@@ -119,6 +122,7 @@ def embed_with(texts: DataFrame, text: str, model: Callable[[pd.Series], pd.Seri
     """Attach vectors from a caller's batch model ``Series[str] -> Series[list]``.
 
     The model gets short pieces of an Arrow batch, as the texts of a whole one take much memory as Python strings.
+    One with ``of_texts``, from Arrow texts to Arrow lists, gets larger pieces.
     """
     embed = F.arrow_udf(lambda column: _embedded(column, model), T.ArrayType(T.FloatType()))
     return texts.withColumn("embedding", embed(F.col(text)))
@@ -126,8 +130,13 @@ def embed_with(texts: DataFrame, text: str, model: Callable[[pd.Series], pd.Seri
 
 def _embedded(column: pa.Array, model: Callable[[pd.Series], pd.Series]) -> pa.Array:
     kind = pa.list_(pa.float32())
-    pieces = (column.slice(lo, EMBED_ROWS) for lo in range(0, len(column), EMBED_ROWS))
-    made = [pa.array(list(model(piece.to_pandas())), kind, from_pandas=True) for piece in pieces]
+    if of_texts := getattr(model, "of_texts", None):  # it needs no Python strings
+        ends = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).cumsum()
+        cuts = np.flatnonzero(np.diff(ends // EMBED_BYTES, prepend=0)).tolist()
+        made = [of_texts(column.slice(lo, hi - lo)) for lo, hi in zip([0, *cuts], [*cuts, len(column)])]
+    else:
+        pieces = (column.slice(lo, EMBED_ROWS) for lo in range(0, len(column), EMBED_ROWS))
+        made = [pa.array(list(model(piece.to_pandas())), kind, from_pandas=True) for piece in pieces]
     return pa.concat_arrays(made) if made else pa.array([], kind)
 
 
@@ -143,22 +152,122 @@ def hash_embed(texts: DataFrame, text: str, dim: int = 64) -> DataFrame:
 def term_counts_model(dim: int = 32) -> Callable[[pd.Series], pd.Series]:
     """A batch model for ``embed_with``: counts of terms per bucket, from the leading digits of their MD5.
 
-    Any engine that knows MD5 can compute the same vectors. Texts come in lower case.
+    Any engine that knows MD5 can compute the same vectors. Texts come in lower case; terms are found
+    and hashed in the bytes of all texts at once, and none becomes a Python value.
     """
 
+    def of_texts(texts: pa.Array) -> pa.Array:
+        counts = _term_counts(texts, dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * dim), pa.array(counts.ravel()))
+
     def model(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
+        return pd.Series(list(_term_counts(pa.array(texts, pa.string(), from_pandas=True), dim)), texts.index, dtype=object)
 
-        def bucket(term: str) -> int:
-            if term not in known:
-                known[term] = int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % dim
-            return known[term]
+    model.of_texts = of_texts
+    return model
 
-        return texts.map(
-            lambda t: np.bincount([bucket(w) for w in re.findall(r"\w+", t or "")], minlength=dim).astype(np.float32)
-        )
 
-    return model
+def _term_counts(texts: pa.Array, dim: int) -> np.ndarray:
+    """Terms per bucket of each text."""
+    column = pc.fill_null(texts.cast(pa.large_string()), "")
+    starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if starts[-1] == starts[0]:
+        return np.zeros((len(texts), dim), np.float32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+    starts = starts - starts[0]
+    word = _in_words(data)
+    edge = np.r_[True, word[1:] != word[:-1], True]
+    edge[starts] = True
+    cuts = np.flatnonzero(edge)
+    terms = np.flatnonzero(word[cuts[:-1]])
+    at, size = cuts[terms], np.diff(cuts)[terms]
+    bucket = _md5_heads(data, at, size) % dim
+    row = np.searchsorted(starts, at, side="right") - 1
+    return np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float32)
+
+
+MD5_TURNS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32)
+MD5_ADDED = np.array([int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], np.uint32)
+MD5_WORDS = [i if i < 16 else (5 * i + 1) % 16 if i < 32 else (3 * i + 5) % 16 if i < 48 else 7 * i % 16 for i in range(64)]
+MD5_AT_ONCE = 32_768
+
+
+def _md5_heads(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The number of the first seven hexadecimal digits of the MD5 of pieces of ``data``.
+
+    MD5 pads a piece of up to 55 bytes to one block. Pieces whose bytes fill equally many words of it go through together.
+    """
+    out = np.zeros(len(at), np.int64)
+    filled = np.where(size <= 55, size // 4 + 1, 0)
+    order = np.argsort(filled.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(filled[order], np.arange(16))
+    for i in order[: ends[1]].tolist():
+        out[i] = int(hashlib.md5(data[at[i] : at[i] + size[i]].tobytes()).hexdigest()[:7], 16)
+    data = np.r_[data, np.zeros(64, np.uint8)]
+    for n in range(1, 15):
+        for lo in range(ends[n], ends[n + 1], MD5_AT_ONCE):
+            some = order[lo : min(ends[n + 1], lo + MD5_AT_ONCE)]
+            place, length = np.arange(4 * n, dtype=np.uint8), size[some].astype(np.uint8)[:, None]
+            block = np.lib.stride_tricks.sliding_window_view(data, 4 * n)[at[some]]
+            block[place >= length] = 0
+            block[np.arange(len(some)), length[:, 0]] = 0x80
+            words = np.ascontiguousarray(block.view("<u4").T)
+            out[some] = _md5_first(words, 8 * size[some].astype(np.uint32)).byteswap() >> 4
+    return out
+
+
+def _md5_first(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """First word of the MD5 of blocks with these first words and lengths in bits, zero in between."""
+    start = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+    a, b, c, d = (np.full(len(bits), x, np.uint32) for x in start)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:  # c ^ (b | ~d)
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, MD5_ADDED[i], out=f)
+        if MD5_WORDS[i] < len(words):
+            np.add(f, words[MD5_WORDS[i]], out=f)
+        elif MD5_WORDS[i] == 14:
+            np.add(f, bits, out=f)
+        turn = MD5_TURNS[i // 16, i % 4]
+        np.left_shift(f, turn, out=t)
+        np.right_shift(f, np.uint32(32) - turn, out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    return a + start[0]
+
+
+def _in_words(data: np.ndarray) -> np.ndarray:
+    r"""Whether each byte of a UTF-8 text belongs to a character that ``\w`` matches."""
+    word = np.array([i < 128 and re.match(r"\w", chr(i)) is not None for i in range(256)])[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for j in (1, 2, 3):
+            more = size > j
+            point[more] = point[more] << 6 | data[lead[more] + j] & 0x3F
+        points, which = np.unique(point, return_inverse=True)
+        good = np.array([re.match(r"\w", chr(c)) is not None for c in points.tolist()])[which]
+        for j in range(4):
+            word[lead[size > j] + j] = good[size > j]
+    return word
 
 
 # ---- exact search -----------------------------------------------------------------------
@@ -176,32 +285,51 @@ class _Tile:
     """Some queries of a block and their best ``k`` over the vectors that pass by.
 
     Pairs are screened in single precision against the ``k``-th best so far, with room for
-    its error and the rounding; only those that pass are scored, in double precision.
+    its error and the rounding; only those that pass are scored, in double precision. Products and
+    marks of all tiles lie in one ``room``: fresh memory for each would cost more than the products.
     """
 
-    def __init__(self, rows: np.ndarray, unit_rows: np.ndarray, k: int, metric: str, decimals: int):
+    def __init__(self, rows: np.ndarray, unit_rows: np.ndarray, k: int, metric: str, decimals: int, room: tuple[np.ndarray, np.ndarray]):
+        self.room = room
         self.rows, self.unit, self.l2 = rows, unit_rows, metric != "cosine"
         self.short = unit_rows.astype(np.float32)
         self.square = (unit_rows * unit_rows).sum(1)
         # a product of unit vectors is off by at most dim * 2^-24, twice (vector and bar), doubled for distances
         self.slack = 10.0**-decimals + (8 if self.l2 else 4) * (unit_rows.shape[1] + 4) * 2.0**-24
-        self.best = Best(len(rows), k, decimals)
+        self.best, self.k = Best(len(rows), k, decimals), k
+        self.waiting: list[tuple[np.ndarray, ...]] = []
 
     def _candidates(self, short: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        good = self.short @ short.T
+        n, marks = len(self.short) * len(short), self.room[1]
+        good = np.matmul(self.short, short.T, out=self.room[0][:n].reshape(len(self.short), len(short)))
         if self.l2:
-            good = 2 * good - self.square[:, None].astype(np.float32) - square[None, :].astype(np.float32)
-        return np.nonzero(good >= self.best.bar(good, self.slack)[:, None])
-
-    def add(self, unit_rows: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
-        square = (unit_rows * unit_rows).sum(1)
-        q_all, v_all = self._candidates(unit_rows.astype(np.float32), square)
+            good *= 2
+            good -= self.square[:, None].astype(np.float32)
+            good -= square[None, :].astype(np.float32)
+        bar = self.best.bar(good, self.slack).astype(np.float32)
+        np.greater_equal(good, bar[:, None], out=marks[:n].reshape(good.shape))
+        marks[n : n + 8] = False
+        words = np.flatnonzero(marks[: n + -n % 8].view(np.uint64))  # few pairs pass: eight are looked at in one step
+        at = (words[:, None] * 8 + np.arange(8)).ravel()
+        return np.divmod(at[marks[at]], len(short))
+
+    def add(self, unit_rows: np.ndarray, short: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
+        square = (unit_rows * unit_rows).sum(1) if self.l2 else np.zeros(0)
+        q_all, v_all = self._candidates(short, square)
         for lo in range(0, len(q_all), CANDIDATES_AT_ONCE):  # many when vectors tie
             q, v = q_all[lo : lo + CANDIDATES_AT_ONCE], v_all[lo : lo + CANDIDATES_AT_ONCE]
             score = np.einsum("ij,ij->i", self.unit[q], unit_rows[v])
             if self.l2:
                 score = np.maximum(self.square[q] + square[v] - 2.0 * score, 0.0)
-            self.best.add(q, -score if self.l2 else score, ids[v], score, keep[v])
+            self.waiting.append((q, -score if self.l2 else score, ids[v], score, keep[v]))
+            # the sort is of all that is kept, so it waits for as many new ones once there is a score to beat
+            if sum(len(w[0]) for w in self.waiting) >= self.k * len(self.rows) or not np.isfinite(self.best.least).all():
+                self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            self.best.add(*(np.concatenate(c) for c in zip(*self.waiting)))
+            self.waiting = []
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -235,22 +363,28 @@ class _QueryBlock(NamedTuple):
 def _search_batches(
     batches: Iterator[pa.RecordBatch], block: _QueryBlock, k: int, metric: str, decimals: int, schema: pa.Schema
 ) -> Iterator[pa.RecordBatch]:
+    most = max(1, min(TILE_QUERIES, len(block.ids)))
+    rows = max(1, PAIRS_AT_ONCE // most)
+    room = np.empty(most * rows, np.float32), np.zeros(most * rows + 8, bool)
     tiles = {
         shape: [
-            _Tile(q_rows[i : i + TILE_QUERIES], q_mat[i : i + TILE_QUERIES], k, metric, decimals)
+            _Tile(q_rows[i : i + TILE_QUERIES], q_mat[i : i + TILE_QUERIES], k, metric, decimals, room)
             for i in range(0, len(q_rows), TILE_QUERIES)
         ]
         for shape, (q_rows, q_mat) in block.groups.items()
     }
-    rows = max(1, PAIRS_AT_ONCE // max(1, min(TILE_QUERIES, len(block.ids))))
     for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
         ids, keep = _ids(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
         for shape, v_rows in _shapes(batch.column(1).to_numpy(zero_copy_only=False).astype(str), batch.column(2)):
             if shape in tiles:
                 mat = _matrix(batch.column(2).take(pa.array(v_rows)))
+                short = mat.astype(np.float32)
                 for tile in tiles[shape]:
-                    tile.add(mat, ids[v_rows], keep[v_rows])
-    for tile in (t for some in tiles.values() for t in some if t.best.rows is not None):
+                    tile.add(mat, short, ids[v_rows], keep[v_rows])
+    for tile in (t for some in tiles.values() for t in some):
+        tile.settle()
+        if tile.best.rows is None:
+            continue
         q, _good, ids, score, keep = tile.best.rows
         columns = [pa.array(block.ids[tile.rows[q]].tolist()), pa.array(ids.tolist()), pa.array(score), pa.array(keep)]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)

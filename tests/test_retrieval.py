@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -6,6 +7,8 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,3 +461,45 @@ def test_kernels_of_the_pruned_search_need_no_package_on_the_worker(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.stdout.split() == ["4", "False"], done.stderr
+
+
+def found_share(m, links, k):
+    """Share of the exact ``k`` neighbours of all rows among the links."""
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    best = {(i, int(j)) for i in range(len(m)) for j in np.lexsort((np.arange(len(m)), -s[i]))[:k]}
+    found = {(r.source, r.target): r.score for r in links}
+    assert all(a != b and abs(s[a, b] - score) < 2e-6 for (a, b), score in found.items()) and len(found) == len(links) == k * len(m)
+    return len(best & set(found)) / len(best)
+
+
+def test_neighbour_graph_finds_scattered_vectors_too(spark):
+    """Vectors far from all others have their neighbours in many lists."""
+    m = np.random.default_rng(11).standard_normal((1200, 10))
+    vdf = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>").repartition(4)
+    assert found_share(m, approximate.neighbour_graph(vdf, 5, probes=4, lists=60).collect(), 5) >= 0.94
+
+
+def test_neighbour_graph_around_a_hub_of_copies(spark, monkeypatch):
+    """Copies all name the same few; areas and what meets a hub are cut into chunks."""
+    monkeypatch.setattr(approximate, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(approximate, "QUERY_CHUNKS", 1)
+    m, _ = clustered(spark, 300)
+    m[40:160] = m[40]
+    vdf = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>").repartition(4)
+    links = approximate.neighbour_graph(vdf, 4, probes=3, lists=12).collect()
+    assert found_share(m, links, 4) >= 0.95
+    copies = {r.source: set() for r in links if 40 <= r.source < 160}
+    for r in links:
+        copies.get(r.source, set()).add(r.target)
+    assert all(to == set([x for x in range(40, 45) if x != i][:4]) for i, to in copies.items())
+
+
+def test_term_vectors_equal_the_plain_count():
+    texts = ["", None, " ", "a", "_x__ ß12½٣²", "日本語 テキスト、词", "é x", "😀a𝒳b‍", " ".join("ä" * i + " b" for i in range(60)), *("x" * i for i in range(50, 70))]
+    plain = [np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 16 for w in re.findall(r"\w+", t or "")], minlength=16) for t in texts]
+    model = vectors.term_counts_model(16)
+    assert [x.tolist() for x in model(pd.Series(texts, dtype=object))] == [x.tolist() for x in plain]
+    assert vectors._embedded(pa.array([*texts, "z"]).slice(2, 9), model).to_pylist() == [x.tolist() for x in plain[2:11]]
